@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from spreadloom.llm import quality
+from spreadloom.llm import quality, secrets
 
 QUERIES = {
+    "op3_secret_scans": secrets.op3_secret_scans,
     "op5_quality_rules": quality.op5_quality_rules,
 }
 
 SQL = {
+    "op3_secret_scans": secrets.OP3_SQL,
     "op5_quality_rules": quality.OP5_SQL,
 }
