@@ -16,39 +16,42 @@ an empty result.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spreadloom.llm.common import documents, materialise
-from spreadloom.llm.tokens import ChunkTable, lists, small_batches
+from spreadloom.llm.common import documents
+from spreadloom.llm.tokens import id_type, small_batches, table
 
 CAPACITY = 4096
 GROUP_TOKENS = 2_000_000
+PACKED = "doc_id long, start long, doc_tokens long, ids binary, length long, sequence_id long, offset long"
+DIGESTS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 def pieces(df: DataFrame, path: str, end_id: int, capacity: int = CAPACITY) -> DataFrame:
-    """(doc_id, start, doc_tokens, ids) of every piece of every document."""
+    """(doc_id, start, doc_tokens, ids) of every piece of every document; ids as ``tokens.id_type`` has them."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, end = ChunkTable(path), np.asarray([end_id], "<u4").tobytes()
+        chunks = table(path)
+        end, width = np.array([end_id], chunks.kind).tobytes(), np.dtype(chunks.kind).itemsize
         for batch in small_batches(batches, "text"):
-            keys, starts, totals, ids, row = [], [], [], [], []
+            starts, totals, ids, row = [], [], [], []
             for k, text in enumerate(batch.column("text").to_pylist()):
-                whole = table.ids(text) + end
-                for lo in range(0, len(whole), 4 * capacity):
+                whole = chunks.ids(text) + end
+                for lo in range(0, len(whole), width * capacity):
                     row.append(k)
-                    starts.append(lo // 4)
-                    totals.append(len(whole) // 4)
-                    ids.append(whole[lo : lo + 4 * capacity])
+                    starts.append(lo // width)
+                    totals.append(len(whole) // width)
+                    ids.append(whole[lo : lo + width * capacity])
             keys = batch.column("doc_id").take(pa.array(row, pa.int64()))
-            yield pa.RecordBatch.from_arrays([keys, pa.array(starts, pa.int64()), pa.array(totals, pa.int64()), lists(ids)], ["doc_id", "start", "doc_tokens", "ids"])
+            yield pa.RecordBatch.from_arrays([keys, pa.array(starts, pa.int64()), pa.array(totals, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "start", "doc_tokens", "ids"])
 
-    return df.select("doc_id", "text").mapInArrow(cut, "doc_id long, start long, doc_tokens long, ids array<int>")
+    return df.select("doc_id", "text").mapInArrow(cut, "doc_id long, start long, doc_tokens long, ids binary")
 
 
 class Tournament:
@@ -83,45 +86,45 @@ def first_fit_decreasing(lengths: list[int], capacity: int) -> list[tuple[int, i
     return out
 
 
-def pack(parts: DataFrame, groups: int, capacity: int = CAPACITY, seed: int = 20) -> DataFrame:
-    """Add ``sequence_id`` (gapless over all groups) and ``offset`` to the pieces."""
+def pack(parts: DataFrame, groups: int, width: int, capacity: int = CAPACITY, seed: int = 20, then: Callable[[pa.Table], pa.Table] | None = None, schema: str = PACKED) -> DataFrame:
+    """Add ``sequence_id`` and ``offset`` to the pieces, whose ids have ``width`` bytes each.
 
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(length=pdf.ids.map(len))
-        pdf = pdf.sort_values(["length", "doc_id", "start"], ascending=[False, True, True], kind="stable", na_position="first")
-        placed = first_fit_decreasing(pdf.length.tolist(), capacity)
-        return pdf.drop(columns="length").assign(local=[x for x, _ in placed], offset=[x for _, x in placed])
+    A sequence's id is its group's number in the upper bits and its number within the group below. ``then`` maps what a
+    group gives, in the same task.
+    """
 
-    dealt = parts.withColumn("grp", F.pmod(F.xxhash64("doc_id", "start", F.lit(seed)), F.lit(groups)).cast("int"))
-    filled = materialise(dealt.groupBy("grp").applyInPandas(fill, "doc_id long, start long, doc_tokens long, ids array<int>, grp int, local long, offset long"), "packed")
-    # one row for each group: the sequences of the groups before it
-    counts = filled.groupBy("grp").agg((F.max("local") + 1).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("grp").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return filled.join(counts.select("grp", before.alias("before")), "grp").select("doc_id", "start", "doc_tokens", "ids", (F.col("before") + F.col("local")).alias("sequence_id"), "offset")
+    def fill(pieces: pa.Table) -> pa.Table:
+        group = pieces.column("grp")[0].as_py() if pieces.num_rows else 0
+        pieces = pieces.append_column("length", pc.cast(pc.divide(pc.binary_length(pieces.column("ids")), width), pa.int64()))
+        order = pc.sort_indices(pieces.select(["length", "doc_id", "start"]), [("length", "descending"), ("doc_id", "ascending"), ("start", "ascending")], null_placement="at_start")
+        pieces = pieces.take(order)
+        placed = np.array(first_fit_decreasing(pieces.column("length").to_pylist(), capacity), np.int64).reshape(-1, 2)
+        pieces = pieces.append_column("sequence_id", pa.array((group << 32) + placed[:, 0])).append_column("offset", pa.array(placed[:, 1]))
+        pieces = pieces.select(["doc_id", "start", "doc_tokens", "ids", "length", "sequence_id", "offset"])
+        return then(pieces) if then else pieces
 
+    dealt = parts.withColumn("grp", F.pmod(F.xxhash64("doc_id", "start", F.lit(seed)), F.lit(groups)))
+    return dealt.groupBy("grp").applyInArrow(fill, schema)
 
-def pack_documents(df: DataFrame, path: str, end_id: int = 2, capacity: int = CAPACITY, group_tokens: int = GROUP_TOKENS) -> DataFrame:
-    """The packed pieces of a table of documents. Four bytes of text count as a token when groups are planned."""
-    size = df.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 4)).first()[0] or 0
-    return pack(pieces(df, path, end_id, capacity), max(1, -(-size // (4 * group_tokens))), capacity)
 
+def digest(pieces: pa.Table, kind: str) -> pa.Table:
+    """The pieces with the checksum of their ids, as unsigned 32-bit integers, instead of the ids."""
+    crcs = [zlib.crc32(np.frombuffer(x, kind).astype("<u4")) for x in pieces.column("ids").to_pylist()]
+    return pieces.append_column("ids_crc32", pa.array(crcs, pa.int64())).select(["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-def digest(packed: DataFrame) -> DataFrame:
-    """One row for each piece, with the checksum of its ids instead of the ids."""
 
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column("ids")
-            values, ends = column.flatten().to_numpy(zero_copy_only=False).astype("<u4"), np.concatenate([[0], np.cumsum(column.value_lengths())])
-            crcs = [zlib.crc32(values[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
-            names = ["doc_id", "start", "doc_tokens", "sequence_id", "offset"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), column.value_lengths().cast(pa.int64()), pa.array(crcs, pa.int64())], [*names, "length", "ids_crc32"])
+def pack_documents(df: DataFrame, path: str, end_id: int = 2, capacity: int = CAPACITY, group_tokens: int = GROUP_TOKENS, digests: bool = False) -> DataFrame:
+    """The packed pieces of a table of documents. Four bytes of text count as a token when groups are planned.
 
-    schema = "doc_id long, start long, doc_tokens long, sequence_id long, offset long, length long, ids_crc32 long"
-    return packed.mapInArrow(sums, schema).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    With ``digests``, ids are handed on as their checksums.
+    """
+    size = df.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 4)).first()[0] or 0
+    groups, kind = max(1, -(-size // (4 * group_tokens))), id_type(path)
+    then, schema = (lambda t: digest(t, kind), DIGESTS) if digests else (None, PACKED)
+    return pack(pieces(df, path, end_id, capacity), groups, np.dtype(kind).itemsize, capacity, then=then, schema=schema)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return digest(pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")))
+    return pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), digests=True)

@@ -1,7 +1,8 @@
-"""Token ids of whole texts, with every distinct chunk of a batch encoded once.
+"""Token ids of whole texts, with distinct words encoded once by each worker.
 
-A chunk is a run without space or newline. For a tokenizer that drops white space and never joins across it, the ids of
-a text are the ids of its chunks in turn, so chunks are looked up in a bounded table and only unseen ones are encoded.
+A chunk is a run without space or newline, a word a chunk or its end marks. For a tokenizer that drops white space and
+never joins across it or from a letter to a mark, the ids of a text are the ids of its words in turn, so words are looked
+up in bounded tables that a worker keeps from task to task, and only unseen ones are encoded.
 """
 
 from __future__ import annotations
@@ -14,33 +15,72 @@ import pyarrow.compute as pc
 
 from spreadloom.llm.common import tokenizer
 
-#: Chunks that a worker remembers; the table starts anew beyond that.
-REMEMBERED = 400_000
+#: Chunks and words that a worker remembers; a table starts anew beyond that.
+CHUNKS, WORDS = 400_000, 800_000
+MARKS = ".,;:!?"
+LETTERS = frozenset(c for c in map(chr, range(256)) if c.isalpha() and c not in "\xaa\xba\xb5")
+_TABLES: dict[str, ChunkTable] = {}
+
+
+def parts(chunk: str) -> tuple[str, ...]:
+    """The chunk, or the chunk without the marks that end it and these marks."""
+    word = chunk.rstrip(MARKS)
+    if len(word) < len(chunk) and word and word[-1] in LETTERS:
+        return word, chunk[len(word) :]
+    return (chunk,)
+
+
+def id_type(path: str) -> str:
+    """Two bytes hold an id of a vocabulary of up to 65,536, else four; little-endian."""
+    return "<u2" if tokenizer(path).get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
+
+
+class WordTable(dict):
+    """word -> bytes of its ids."""
+
+    def __init__(self, path: str):
+        super().__init__()
+        self.encode, self.kind = tokenizer(path).encode, id_type(path)
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self[word] = np.array(self.encode(word, add_special_tokens=False).ids, self.kind).tobytes()
+        return ids
 
 
 class ChunkTable(dict):
-    """chunk -> its ids as little-endian unsigned 32-bit bytes."""
+    """chunk -> bytes of its ids."""
 
     def __init__(self, path: str):
         super().__init__()
-        self.encode = tokenizer(path).encode
+        self.words = WordTable(path)
+        self.kind = self.words.kind
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = self[chunk] = np.asarray(self.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+        found = parts(chunk)
+        ids = self[chunk] = self.words[chunk] if len(found) == 1 else self.words[found[0]] + self.words[found[1]]
         return ids
 
     def ids(self, text: str | None) -> bytes:
         """All ids of a text; null and empty texts have none."""
-        if len(self) > REMEMBERED:
+        if len(self) > CHUNKS:
             self.clear()
+        if len(self.words) > WORDS:
+            self.words.clear()
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" "))) if text else b""
 
 
-def lists(payloads: list[bytes]) -> pa.Array:
+def table(path: str) -> ChunkTable:
+    """This worker's table of a tokenizer."""
+    if path not in _TABLES:
+        _TABLES[path] = ChunkTable(path)
+    return _TABLES[path]
+
+
+def lists(payloads: list[bytes], kind: str = "<u4") -> pa.Array:
     """An array of lists of int32 from the bytes of each list."""
     ends = np.zeros(len(payloads) + 1, np.int32)
-    np.cumsum([len(x) // 4 for x in payloads], out=ends[1:])
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(payloads), "<i4")))
+    np.cumsum([len(x) // np.dtype(kind).itemsize for x in payloads], out=ends[1:])
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(payloads), kind).astype(np.int32)))
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -48,7 +88,7 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def small_batches(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``most`` bytes of ``column``, one row at least."""
     for batch in batches:
         sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0))
