@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import re
 import uuid
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,19 +30,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spreadloom.llm.common import documents, file_system, shared_folder, tokenizer
-from spreadloom.llm.tokens import flat, lists, small_batches
+from spreadloom.llm.tokens import flat, id_type, lists, parts, small_batches
 
 #: The white space of Unicode, which the tokenizer's split goes by.
-SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+SPACE = "\t\n\x0b\x0c\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+DICTIONARY = pa.schema([("word", pa.string()), ("ids", pa.binary())])
 WORD = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
-ENDED = re.compile(r"(.*[A-Za-zÀ-ÖØ-öø-ÿ])([.,;:!?]+)", re.S)
-
-
-def parts(word: str) -> tuple[str, ...]:
-    """The word, or the word and the marks that end it."""
-    if word[-1] in ".,;:!?" and (found := ENDED.fullmatch(word)):
-        return found.groups()
-    return (word,)
 
 
 def blocks(df: DataFrame) -> DataFrame:
@@ -83,53 +77,67 @@ def word_rows(df: DataFrame) -> DataFrame:
     return df.mapInArrow(distinct, "block long, word string")
 
 
-def encode_words(rows: DataFrame, path: str) -> DataFrame:
-    """(block, word, ids): each distinct word is encoded once and handed to every block that has it."""
+def sealed(words: list[str], ids: list[bytes]) -> bytes:
+    """A compressed Arrow stream of words and their ids."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, DICTIONARY, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_batch(pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(ids, pa.binary())], schema=DICTIONARY))
+    return sink.getvalue().to_pybytes()
+
+
+def encode_words(rows: DataFrame, path: str, held: int = 1_000_000) -> DataFrame:
+    """(block, payload): each distinct word is encoded once and handed to every block that has it.
+
+    A task gathers what it has for each block into compressed pieces, at most ``held`` words at a time.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, last, ids = tokenizer(path).encode, None, b""
+        encode, kind, last, ids, n = tokenizer(path).encode, id_type(path), None, b"", 0
+        found: dict[int, tuple[list[str], list[bytes]]] = defaultdict(lambda: ([], []))
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for block, (words, coded) in sorted(found.items()):
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([sealed(words, coded)], pa.binary())], ["block", "payload"])
+            found.clear()
+
         for batch in batches:
-            out = []
-            for word in batch.column("word").to_pylist():
+            for block, word in zip(batch.column("block").to_pylist(), batch.column("word").to_pylist(), strict=True):
                 if word != last:
-                    last, ids = word, np.asarray(encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("word"), pa.array(out, pa.binary())], ["block", "word", "ids"])
+                    last, ids = word, np.array(encode(word, add_special_tokens=False).ids, kind).tobytes()
+                words, coded = found[block]
+                words.append(word)
+                coded.append(ids)
+            n += batch.num_rows
+            if n >= held:
+                yield from flush()
+                n = 0
+        yield from flush()
 
     dealt = rows.repartition("word").sortWithinPartitions("word")
-    return dealt.mapInArrow(run, "block long, word string, ids binary")
+    return dealt.mapInArrow(run, "block long, payload binary")
 
 
 def write_dictionaries(encoded: DataFrame, folder: str) -> int:
-    """One Arrow file for each block, <block>.arrow; returns their number. A repeated task replaces equal files."""
+    """One file of compressed pieces for each block, <block>.words; returns their number. A repeated task replaces equal files."""
     spark = encoded.sparkSession
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = file_system(folder)
-        at, sink, writer, named, done = None, None, None, "", 0
-
-        def close() -> None:
-            writer.close()
-            sink.close()
-            fs.move(named, f"{base}/{at}.arrow")
-
+        at, sink, named, done = None, None, "", 0
         for batch in batches:
-            keys = batch.column("block").to_numpy()
-            cuts = np.flatnonzero(np.diff(keys)) + 1
-            for lo, hi in zip([0, *cuts], [*cuts, len(keys)], strict=True):
-                if hi == lo:
-                    continue
-                if keys[lo] != at:
-                    if writer:
-                        close()
-                    at, named, done = int(keys[lo]), f"{base}/_{uuid.uuid4().hex}", done + 1
+            for block, payload in zip(batch.column("block").to_pylist(), batch.column("payload").to_pylist(), strict=True):
+                if block != at:
+                    if sink:
+                        sink.close()
+                        fs.move(named, f"{base}/{at}.words")
+                    at, named, done = block, f"{base}/_{uuid.uuid4().hex}", done + 1
                     sink = fs.open_output_stream(named)
-                    writer = pa.ipc.new_stream(sink, batch.select(["word", "ids"]).schema)
-                writer.write_batch(batch.slice(lo, hi - lo).select(["word", "ids"]))
-        if writer:
-            close()
+                sink.write(len(payload).to_bytes(8, "little") + payload)
+        if sink:
+            sink.close()
+            fs.move(named, f"{base}/{at}.words")
         yield pa.RecordBatch.from_arrays([pa.array([done], pa.int64())], ["n"])
 
     dealt = encoded.repartition("block").sortWithinPartitions("block")
@@ -141,36 +149,48 @@ class BlockTable(dict):
 
     def __init__(self, folder: str, path: str, block: int):
         super().__init__()
-        self.encode = tokenizer(path).encode
-        fs, base = file_system(folder)
+        self.encode, self.kind = tokenizer(path).encode, id_type(path)
         self.words: dict[str, bytes] = {}
-        with fs.open_input_stream(f"{base}/{block}.arrow") as source:
-            for batch in pa.ipc.open_stream(source):
-                self.words.update(zip(batch.column("word").to_pylist(), batch.column("ids").to_pylist(), strict=True))
+        fs, base = file_system(folder)
+        with fs.open_input_stream(f"{base}/{block}.words") as source:
+            while size := source.read(8):
+                for batch in pa.ipc.open_stream(source.read(int.from_bytes(size, "little"))):
+                    self.words.update(zip(batch.column("word").to_pylist(), batch.column("ids").to_pylist(), strict=True))
 
     def __missing__(self, chunk: str) -> bytes:
         found = [self.words.get(p) for p in parts(chunk)]
-        ids = self[chunk] = np.asarray(self.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes() if None in found else b"".join(found)
+        ids = self[chunk] = np.array(self.encode(chunk, add_special_tokens=False).ids, self.kind).tobytes() if None in found else b"".join(found)
         return ids
 
 
-def encode(df: DataFrame, path: str) -> DataFrame:
-    """(doc_id, ids array<int>) of every document."""
-    placed = blocks(df)
-    folder = shared_folder(df.sparkSession, "words")
-    write_dictionaries(encode_words(word_rows(placed), path), folder)
+def join_words(folder: str, path: str):
+    """Batches of blocks -> (doc_id, ids): each word is looked up in its block's dictionary, in place."""
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, table = None, None
+        at, table, kind = None, None, id_type(path)
         for block, batch in by_block(batches):
             texts = batch.column("text").to_pylist()
             if block != at and any(texts):
                 at, table = block, None  # frees the last one first
                 table = BlockTable(folder, path, block)
             ids = [b"".join(map(table.__getitem__, WORD.findall(x))) if x else b"" for x in texts]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists(ids)], ["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists(ids, kind)], ["doc_id", "ids"])
+
+    return join
 
-    return placed.mapInArrow(join, "doc_id long, ids array<int>")
+
+def prepared(df: DataFrame, path: str) -> tuple[DataFrame, str]:
+    """The rows with their blocks, and the folder of the blocks' dictionaries."""
+    placed = blocks(df)
+    folder = shared_folder(df.sparkSession, "words")
+    write_dictionaries(encode_words(word_rows(placed), path), folder)
+    return placed, folder
+
+
+def encode(df: DataFrame, path: str) -> DataFrame:
+    """(doc_id, ids array<int>) of every document."""
+    placed, folder = prepared(df, path)
+    return placed.mapInArrow(join_words(folder, path), "doc_id long, ids array<int>")
 
 
 def piece_bytes(path: str) -> list[bytes]:
@@ -186,8 +206,8 @@ def piece_bytes(path: str) -> list[bytes]:
     return pieces
 
 
-def decode(df: DataFrame, path: str) -> DataFrame:
-    """Add ``decoded`` to (doc_id, ids): each id is joined with its piece; the table is bounded by the vocabulary."""
+def join_pieces(path: str):
+    """Batches with ``ids`` -> the same with ``decoded``: each id meets its piece; the table is bounded by the vocabulary."""
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece = piece_bytes(path).__getitem__
@@ -197,27 +217,31 @@ def decode(df: DataFrame, path: str) -> DataFrame:
             texts = [b"".join(map(piece, ids[a:b])).decode("utf-8", "replace") for a, b in zip(ends, ends[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
 
-    return df.mapInArrow(join, "doc_id long, ids array<int>, decoded string")
+    return join
 
 
-def digest(df: DataFrame) -> DataFrame:
-    """Counts and hashes of (doc_id, ids, decoded)."""
+def decode(df: DataFrame, path: str) -> DataFrame:
+    """Add ``decoded`` to (doc_id, ids)."""
+    return df.select("doc_id", "ids").mapInArrow(join_pieces(path), "doc_id long, ids array<int>, decoded string")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = list(map(str, range(1 << 16)))
-        for batch in batches:
-            values, ends = flat(batch.column("ids"))
-            ids, n = values.tolist(), np.diff(ends)
-            name = names.__getitem__ if not ids or max(ids) < len(names) else str
-            hashes = [hashlib.sha256(",".join(map(name, ids[a:b])).encode()).hexdigest() for a, b in zip(ends, ends[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(hashes, pa.string()), batch.column("decoded")], ["doc_id", "n_tokens", "ids_sha256", "decoded"])
 
-    found = df.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded string")
-    return found.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts and hashes of (doc_id, ids, decoded)."""
+    names = list(map(str, range(1 << 16)))
+    for batch in batches:
+        values, ends = flat(batch.column("ids"))
+        ids, n = values.tolist(), np.diff(ends)
+        name = names.__getitem__ if not ids or max(ids) < len(names) else str
+        hashes = [hashlib.sha256(",".join(map(name, ids[a:b])).encode()).hexdigest() for a, b in zip(ends, ends[1:], strict=False)]
+        texts = [hashlib.sha256(x.encode()).hexdigest() for x in batch.column("decoded").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(hashes, pa.string()), pa.array(texts, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
 def op2_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encodes, decodes and takes the digests in one pass of a worker, so that ids and texts need not leave it."""
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.json")
-    return digest(decode(encode(documents(spark, sf_dir), path), path))
+    placed, folder = prepared(documents(spark, sf_dir), path)
+    there, back = join_words(folder, path), join_pieces(path)
+    return placed.mapInArrow(lambda batches: digest(back(there(batches))), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
