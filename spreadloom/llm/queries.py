@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from spreadloom.llm import bpe, packing, quality, secrets, sharding
+from spreadloom.llm import bpe, packing, quality, secrets, sharding, tokenstore
 
 QUERIES = {
+    "op7_token_binary": tokenstore.op7_token_binary,
     "op6_sharding": sharding.op6_sharding,
     "op2_bpe_encode_decode": bpe.op2_bpe_encode_decode,
     "op10_packing": packing.op10_packing,
