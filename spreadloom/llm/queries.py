@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from spreadloom.llm import bpe, packing, quality, secrets, sharding, tokenstore
+from spreadloom.llm import bpe, packing, quality, secrets, sharding, tokenstore, warc
 
 QUERIES = {
+    "op1_warc": warc.op1_warc,
     "op7_token_binary": tokenstore.op7_token_binary,
     "op6_sharding": sharding.op6_sharding,
     "op2_bpe_encode_decode": bpe.op2_bpe_encode_decode,
@@ -14,6 +15,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op1_warc": warc.OP1_SQL,
     "op3_secret_scans": secrets.OP3_SQL,
     "op5_quality_rules": quality.OP5_SQL,
 }

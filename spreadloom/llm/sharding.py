@@ -168,14 +168,17 @@ def part_of(edges: np.ndarray):
     return F.arrow_udf(part, "int")
 
 
-def ranges(df: DataFrame, key: str, payload: Column, size: Column, multiple: int = 1, part_bytes: int = PART_BYTES) -> tuple[DataFrame, Splitters]:
-    """(rows dealt and sorted by key, splitters): parts of about ``part_bytes``, a multiple of ``multiple``."""
-    rows = keyed(df, key, payload, size)
-    narrow = materialise(rows.select("_key", "_mixed", "_row", "_size"), "keys")
+def plan(df: DataFrame, key: str, payload: Column, size: Column, multiple: int = 1, part_bytes: int = PART_BYTES) -> Splitters:
+    """Splitters of parts of about ``part_bytes``, a multiple of ``multiple``."""
+    narrow = materialise(keyed(df, key, payload, size).select("_key", "_mixed", "_row", "_size"), "keys")
     total = narrow.agg(F.sum("_size")).first()[0] or 0
-    parts = multiple * max(1, min(MAX_PARTS // multiple, -(-total // (multiple * part_bytes))))
-    found = split(narrow, parts)
-    return deal(rows, found), found
+    return split(narrow, multiple * max(1, min(MAX_PARTS // multiple, -(-total // (multiple * part_bytes)))))
+
+
+def ranges(df: DataFrame, key: str, payload: Column, size: Column, multiple: int = 1, part_bytes: int = PART_BYTES) -> tuple[DataFrame, Splitters]:
+    """(rows dealt and sorted by key, splitters)."""
+    found = plan(df, key, payload, size, multiple, part_bytes)
+    return deal(keyed(df, key, payload, size), found), found
 
 
 def shard(df: DataFrame, shards: int, key: str = "doc_id", text: str = "text") -> DataFrame:
