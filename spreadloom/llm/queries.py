@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from spreadloom.llm import bpe, packing, quality, secrets, sharding, tokenstore, warc
+from spreadloom.llm import bpe, packing, quality, secrets, sharding, tokenstore, toxicity, warc
 
 QUERIES = {
+    "op4_toxicity": toxicity.op4_toxicity,
     "op1_warc": warc.op1_warc,
     "op7_token_binary": tokenstore.op7_token_binary,
     "op6_sharding": sharding.op6_sharding,
