@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spreadloom.llm.common import documents
-from spreadloom.llm.tokens import id_type, small_batches, table
+from spreadloom.llm.tokens import ChunkTable, id_type, small_batches
 
 CAPACITY = 4096
 GROUP_TOKENS = 2_000_000
@@ -37,7 +37,7 @@ def pieces(df: DataFrame, path: str, end_id: int, capacity: int = CAPACITY) -> D
     """(doc_id, start, doc_tokens, ids) of every piece of every document; ids as ``tokens.id_type`` has them."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = table(path)
+        chunks = ChunkTable(path)
         end, width = np.array([end_id], chunks.kind).tobytes(), np.dtype(chunks.kind).itemsize
         for batch in small_batches(batches, "text"):
             starts, totals, ids, row = [], [], [], []

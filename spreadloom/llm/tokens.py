@@ -1,13 +1,14 @@
-"""Token ids of whole texts, with distinct words encoded once by each worker.
+"""Token ids of whole texts, with distinct words encoded once in each task.
 
 A chunk is a run without space or newline, a word a chunk or its end marks. For a tokenizer that drops white space and
 never joins across it or from a letter to a mark, the ids of a text are the ids of its words in turn, so words are looked
-up in bounded tables that a worker keeps from task to task, and only unseen ones are encoded.
+up in bounded tables, and only unseen ones are encoded. Tables end with their task: idle workers hold no memory.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -15,11 +16,10 @@ import pyarrow.compute as pc
 
 from spreadloom.llm.common import tokenizer
 
-#: Chunks and words that a worker remembers; a table starts anew beyond that.
-CHUNKS, WORDS = 400_000, 800_000
+#: Chunks and words that a table holds; it starts anew beyond that.
+CHUNKS, WORDS = 600_000, 600_000
 MARKS = ".,;:!?"
 LETTERS = frozenset(c for c in map(chr, range(256)) if c.isalpha() and c not in "\xaa\xba\xb5")
-_TABLES: dict[str, ChunkTable] = {}
 
 
 def parts(chunk: str) -> tuple[str, ...]:
@@ -35,15 +35,35 @@ def id_type(path: str) -> str:
     return "<u2" if tokenizer(path).get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
 
 
+#: Bytes as the byte-level alphabet shows them.
+BYTES = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or b >= 0xAE))}
+
+
 class WordTable(dict):
-    """word -> bytes of its ids."""
+    """word -> bytes of its ids.
+
+    A word of Latin letters alone is one piece for the tokenizer, whatever stands around it: where the tokenizer lowers
+    case, it is lowered first and handed to the model at once, in the byte-level alphabet.
+    """
 
     def __init__(self, path: str):
         super().__init__()
-        self.encode, self.kind = tokenizer(path).encode, id_type(path)
+        tok = tokenizer(path)
+        self.encode, self.kind = tok.encode, id_type(path)
+        self.code = "H" if self.kind == "<u2" else "I"
+        self.model = tok.model.tokenize
+        self.lowers = tok.normalizer is not None and tok.normalizer.normalize_str("A") == "a"
 
     def __missing__(self, word: str) -> bytes:
-        ids = self[word] = np.array(self.encode(word, add_special_tokens=False).ids, self.kind).tobytes()
+        if self.lowers and word and LETTERS.issuperset(word):
+            low = word.lower()
+            if low != word:
+                ids = self[word] = self[low]
+                return ids
+            found = [t.id for t in self.model(low if low.isascii() else low.encode().decode("latin-1").translate(BYTES))]
+        else:
+            found = self.encode(word, add_special_tokens=False).ids
+        ids = self[word] = pack(f"<{len(found)}{self.code}", *found)
         return ids
 
 
@@ -56,8 +76,8 @@ class ChunkTable(dict):
         self.kind = self.words.kind
 
     def __missing__(self, chunk: str) -> bytes:
-        found = parts(chunk)
-        ids = self[chunk] = self.words[chunk] if len(found) == 1 else self.words[found[0]] + self.words[found[1]]
+        word, *marks = parts(chunk)
+        ids = self[chunk] = self.words[word] + self.words[marks[0]] if marks else self.words[word]
         return ids
 
     def ids(self, text: str | None) -> bytes:
@@ -69,13 +89,6 @@ class ChunkTable(dict):
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" "))) if text else b""
 
 
-def table(path: str) -> ChunkTable:
-    """This worker's table of a tokenizer."""
-    if path not in _TABLES:
-        _TABLES[path] = ChunkTable(path)
-    return _TABLES[path]
-
-
 def lists(payloads: list[bytes], kind: str = "<u4") -> pa.Array:
     """An array of lists of int32 from the bytes of each list."""
     ends = np.zeros(len(payloads) + 1, np.int32)

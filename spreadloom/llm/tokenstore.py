@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from spreadloom.llm import simple8b
 from spreadloom.llm.common import documents, file_system, rename, shared_folder
 from spreadloom.llm.sharding import ranges
-from spreadloom.llm.tokens import small_batches, table
+from spreadloom.llm.tokens import ChunkTable, small_batches
 
 MAGIC = b"S8BTOK01"
 BLOCK = 1 << 16
@@ -117,7 +117,7 @@ def write(df: DataFrame, path: str, end_id: int, key: str = "doc_id", text: str
     dealt, _ = ranges(df.select(F.col(key).alias("key"), F.col(text).alias("text")), "key", F.coalesce("text", F.lit("")), F.coalesce(F.octet_length("text"), F.lit(0)) + 1)
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks, fs, named, writer = table(path), None, "", None
+        chunks, fs, named, writer = ChunkTable(path), None, "", None
         end = np.array([end_id], chunks.kind).tobytes()
         for batch in small_batches(batches, "text"):
             if batch.num_rows and writer is None:
