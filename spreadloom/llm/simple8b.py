@@ -12,6 +12,9 @@ import numpy as np
 PACKING = ((1, 64), (240, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
 COUNTS = np.array([n for n, _ in PACKING])
 LONGEST = 240
+#: Largest value of each packing by falling width, and the packings too narrow for each small value.
+LIMITS = np.array([(1 << b) - 1 for _, b in PACKING[1:]], np.uint64)
+NARROW = np.searchsorted(LIMITS, np.arange(1 << 16, dtype=np.uint64)).astype(np.int8)
 
 
 def encode(values: np.ndarray) -> np.ndarray:
@@ -20,18 +23,22 @@ def encode(values: np.ndarray) -> np.ndarray:
     if not n:
         return np.zeros(0, np.uint64)
     values = values.astype(np.uint64)
-    least, most, at = int(values.min()), int(values.max()), np.arange(n)
+    most = int(values.max())
+    # bits of each value, as the number of packings that are too narrow for it
+    widths = np.searchsorted(LIMITS, values).astype(np.int8) if most > len(NARROW) - 1 else NARROW[values]
     choice = np.zeros(n, np.int8)
     for selector in range(len(PACKING) - 1, 0, -1):  # by rising count: a longer packing that fits replaces a shorter one
-        count, bits = PACKING[selector]
-        if least >> bits:
-            break
-        if most >> bits:
-            large = np.where(values >> np.uint64(bits) != 0, at, n + LONGEST)
-            nearest = np.minimum.accumulate(large[::-1])[::-1]
-            choice[nearest - at >= count] = selector
-        else:
-            choice[:] = selector
+        count = COUNTS[selector]
+        wide = widths >= selector
+        if n - np.count_nonzero(wide) < min(count, n):
+            if not wide[-1]:  # the block's end may still be filled up
+                run = int(np.argmax(wide[::-1])) if wide.any() else n
+                choice[n - run :] = np.where(np.arange(run, 0, -1) <= count, selector, choice[n - run :])
+            continue
+        sums = np.zeros(n + count + 1, np.int32)
+        np.cumsum(wide, out=sums[1 : n + 1])
+        sums[n + 1 :] = sums[n]
+        choice[sums[count : n + count] == sums[:n]] = selector
     jumps, starts, k = COUNTS[choice].tolist(), [], 0
     while k < n:
         starts.append(k)
