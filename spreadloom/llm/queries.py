@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from spreadloom.llm import bpe, packing, quality, secrets, sharding, tokenstore, toxicity, warc
+from spreadloom.llm import bpe, neighbours, packing, quality, secrets, sharding, tokenstore, toxicity, warc
 
 QUERIES = {
+    "op9_nearest_neighbours": neighbours.op9_nearest_neighbours,
     "op4_toxicity": toxicity.op4_toxicity,
     "op1_warc": warc.op1_warc,
     "op7_token_binary": tokenstore.op7_token_binary,
@@ -16,6 +17,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op9_nearest_neighbours": neighbours.OP9_SQL,
     "op1_warc": warc.OP1_SQL,
     "op3_secret_scans": secrets.OP3_SQL,
     "op5_quality_rules": quality.OP5_SQL,
