@@ -20,7 +20,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,18 +92,28 @@ def pack(parts: DataFrame, groups: int, width: int, capacity: int = CAPACITY, se
     group gives, in the same task.
     """
 
-    def fill(pieces: pa.Table) -> pa.Table:
-        group = pieces.column("grp")[0].as_py() if pieces.num_rows else 0
-        pieces = pieces.append_column("length", pc.cast(pc.divide(pc.binary_length(pieces.column("ids")), width), pa.int64()))
-        order = pc.sort_indices(pieces.select(["length", "doc_id", "start"]), [("length", "descending"), ("doc_id", "ascending"), ("start", "ascending")], null_placement="at_start")
-        pieces = pieces.take(order)
+    def fill(group: int, pieces: pa.Table) -> pa.Table:
         placed = np.array(first_fit_decreasing(pieces.column("length").to_pylist(), capacity), np.int64).reshape(-1, 2)
         pieces = pieces.append_column("sequence_id", pa.array((group << 32) + placed[:, 0])).append_column("offset", pa.array(placed[:, 1]))
         pieces = pieces.select(["doc_id", "start", "doc_tokens", "ids", "length", "sequence_id", "offset"])
         return then(pieces) if then else pieces
 
-    dealt = parts.withColumn("grp", F.pmod(F.xxhash64("doc_id", "start", F.lit(seed)), F.lit(groups)))
-    return dealt.groupBy("grp").applyInArrow(fill, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        for batch in batches:
+            groups = batch.column("grp").to_numpy()
+            cuts = np.flatnonzero(np.diff(groups)) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, len(groups)], strict=True):
+                if hi > lo and groups[lo] != at:
+                    if held:
+                        yield from fill(at, pa.Table.from_batches(held)).to_batches()
+                    at, held = int(groups[lo]), []
+                held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield from fill(at, pa.Table.from_batches(held)).to_batches()
+
+    dealt = parts.withColumn("grp", F.pmod(F.xxhash64("doc_id", "start", F.lit(seed)), F.lit(groups))).withColumn("length", (F.octet_length("ids") / width).cast("long"))
+    return dealt.repartition("grp").sortWithinPartitions("grp", F.desc("length"), F.asc_nulls_first("doc_id"), "start").mapInArrow(run, schema)
 
 
 def digest(pieces: pa.Table, kind: str) -> pa.Table:
