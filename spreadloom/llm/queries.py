@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from spreadloom.llm import bpe, neighbours, packing, quality, secrets, sharding, tokenstore, toxicity, warc
+from spreadloom.llm import bpe, neardup, neighbours, packing, quality, secrets, sharding, tokenstore, toxicity, warc
 
 QUERIES = {
+    "op8_minhash_near_dedup": neardup.op8_minhash_near_dedup,
     "op9_nearest_neighbours": neighbours.op9_nearest_neighbours,
     "op4_toxicity": toxicity.op4_toxicity,
     "op1_warc": warc.op1_warc,
