@@ -106,6 +106,15 @@ def score(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, mi
     return out.drop("_words", "_hashes", "_windows", "_sorted", "_starts", "_lines")
 
 
+def keep(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows of ``df`` that the rules keep, with their counts.
+
+    The row number holds the filter above the projection; pushed below it, every rule would count its own words anew.
+    """
+    scored = score(df, text, rules).withColumn("_place", F.monotonically_increasing_id())
+    return scored.where(F.col("kept") & (F.col("_place") >= 0)).drop("_place")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
 
