@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 
 from spreadloom.llm.common import documents
 
-#: The base patterns.
-ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+#: The base patterns. Letters of the keywords stand in either case, spelt out so that no engine folds others.
+KEYWORDS = "password|passwd|secret|token|api_?key"
+ASSIGN = "(" + "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in KEYWORDS) + r""")["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 KINDS = ("assign", "access", "hex", "entropy")
@@ -37,8 +38,8 @@ HEX_CLASS = "^[0-9a-fA-F-]+$"
 #: Least entropy in bits per character, by class.
 HEX_BITS, BASE64_BITS = 2.9, 3.6
 ALLOW = "^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$|^[0-9-]+$|[Ee][Xx][Aa][Mm][Pp][Ll][Ee]"
-#: Millionths of c * log2(c).
-WEIGHTS = tuple(round(c * math.log2(c) * 1e6) if c else 0 for c in range(WINDOW + 1))
+#: Millionths of c * log2(c); a window holds one character more between entering and leaving.
+WEIGHTS = tuple(round(c * math.log2(c) * 1e6) if c else 0 for c in range(WINDOW + 2))
 
 
 def bound(bits: float) -> int:
