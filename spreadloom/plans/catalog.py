@@ -2,5 +2,77 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from spreadloom.operators import spread
+from spreadloom.plans import ledger
+from spreadloom.plans.dialect import DUCK, SPARK, Spark
+
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "conversations")
+Plan = Callable[[Spark], list[tuple[str, str]]]
+
+
+def statement(plan: Plan, d: Spark) -> str:
+    """The plan's relations as one statement; the last one is the result."""
+    relations = plan(d)
+    return "WITH " + ",\n".join(f"{name} AS ({sql})" for name, sql in relations) + f"\nSELECT * FROM {relations[-1][0]}"
+
+
+def runner(plan: Plan) -> Callable[[SparkSession, str], DataFrame]:
+    text = statement(plan, SPARK)
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        for table in TABLES:
+            if table in text:
+                spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
+        return spark.sql(text)
+
+    return run
+
+
+def lines(d: Spark, entity: str = "n_name"):
+    return [("lines", ledger.lines(d, entity))]
+
+
+def upto(*steps, entity: str = "n_name") -> Plan:
+    return lambda d: lines(d, entity) + [r for step in steps for r in step(d)]
+
+
+def only(plan: Plan, columns: str) -> Plan:
+    """Columns of the plan's last relation."""
+
+    def run(d: Spark):
+        relations = plan(d)
+        return [*relations, ("result", f"SELECT {columns} FROM {relations[-1][0]}")]
+
+    return run
+
+
+BASE = (spread.buckets, spread.derived)
+PLANS: dict[str, Plan] = {
+    "ledger_lines": upto(),
+    "map_labels": only(upto(spread.mapped), "entity, year, label, key, counted"),
+    "buckets": upto(spread.buckets),
+    "mapping_conservation": upto(spread.mapped, spread.conservation),
+    "stated_result": upto(spread.mapped, spread.stated),
+    "assumptions": upto(spread.mapped, spread.assumed),
+    "source_lineage": upto(spread.buckets, spread.lineage),
+    "derived_rows": upto(*BASE),
+    "ratios": upto(*BASE, spread.ratios),
+    "snap": upto(*BASE, spread.snap),
+    "growth": only(upto(*BASE, lambda d: spread.growth(d)[:2]), "*"),
+    "trends": upto(*BASE, spread.growth),
+    "trends_customers": upto(*BASE, spread.growth, entity="o_custkey"),
+    "cagr": upto(*BASE, spread.cagr),
+    "flags": upto(*BASE, spread.ratios, spread.flags),
+    "flags_customers": upto(*BASE, spread.ratios, spread.flags, entity="o_custkey"),
+    "flag_summary": only(upto(*BASE, spread.ratios, spread.flags, spread.cagr, lambda d: [("summary", "SELECT cagr.entity, max(cagr) AS revenue_cagr, count(CASE WHEN severity = 'red' THEN 1 END) AS red, count(CASE WHEN severity = 'amber' THEN 1 END) AS amber FROM cagr LEFT JOIN flags ON cagr.entity = flags.entity GROUP BY cagr.entity")]), "*"),
+    "tax_recovery": upto(*BASE, spread.tax_recovery, entity="o_custkey"),
+    "untaxed_null": upto(*BASE, lambda d: spread.untaxed(d, "CASE WHEN year % 2 = 0 THEN 'Company' ELSE 'Individual' END"), entity="o_custkey"),
+    "capital_debit_balance": upto(lambda d: [("sided", "SELECT *, CASE WHEN seq % 3 = 0 THEN 'right' ELSE 'left' END AS side FROM lines")], spread.debit_capital),
+    "borrowings_reclass": upto(spread.buckets, lambda d: [("notes", "SELECT entity, max(amount) AS amount FROM by_label WHERE label = 'Long Term Borrowings' GROUP BY entity")], spread.reclassed),
+}
+QUERIES = {name: runner(plan) for name, plan in PLANS.items()}
+ORACLES = {name: statement(plan, DUCK) for name, plan in PLANS.items()}
