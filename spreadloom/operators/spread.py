@@ -87,7 +87,7 @@ def cagr(d: Spark, key: str = "sales_other_income") -> Relations:
     return [
         ("points", f"SELECT entity, year, {key} AS v, row_number() OVER (PARTITION BY entity ORDER BY year) AS k, row_number() OVER (PARTITION BY entity ORDER BY year DESC) AS r FROM vals WHERE {key} <> 0"),
         ("ends", "SELECT entity, max(CASE WHEN k = 1 THEN year END) AS y0, max(CASE WHEN k = 1 THEN v END) AS v0, max(CASE WHEN r = 1 THEN year END) AS y1, max(CASE WHEN r = 1 THEN v END) AS v1 FROM points GROUP BY entity"),
-        ("cagr", "SELECT entity, CASE WHEN y1 > y0 AND v0 > 0 AND v1 > 0 THEN power(v1 / CAST(v0 AS DOUBLE), 1.0 / (y1 - y0)) - 1 END AS cagr FROM ends"),
+        ("cagr", "SELECT entity, CASE WHEN y1 > y0 AND v0 > 0 AND v1 > 0 THEN round(power(v1 / CAST(v0 AS DOUBLE), 1.0 / (y1 - y0)) - 1, 10) END AS cagr FROM ends"),
     ]
 
 

@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spreadloom.operators import spread
-from spreadloom.plans import ledger
+from spreadloom import sinks
+from spreadloom.functions import scalars
+from spreadloom.operators import layout, pooling, relevance, spread, trust, verification
+from spreadloom.plans import fixtures, ledger, rules
 from spreadloom.plans.dialect import DUCK, SPARK, Spark
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "conversations")
@@ -74,5 +76,141 @@ PLANS: dict[str, Plan] = {
     "capital_debit_balance": upto(lambda d: [("sided", "SELECT *, CASE WHEN seq % 3 = 0 THEN 'right' ELSE 'left' END AS side FROM lines")], spread.debit_capital),
     "borrowings_reclass": upto(spread.buckets, lambda d: [("notes", "SELECT entity, max(amount) AS amount FROM by_label WHERE label = 'Long Term Borrowings' GROUP BY entity")], spread.reclassed),
 }
+
+
+def literal(rows: list[tuple], names: str, select: Callable[[Spark], dict[str, str] | str], name: str = "given") -> Plan:
+    def plan(d: Spark):
+        chosen = select(d)
+        text = chosen if isinstance(chosen, str) else ", ".join(f"{e} AS {n}" for n, e in chosen.items())
+        return [(name, ledger.values(d, rows, names)), ("result", f"SELECT {text} FROM {name}")]
+
+    return plan
+
+
+def pages(step: Callable) -> Plan:
+    return lambda d: [("pages_in", ledger.values(d, fixtures.PAGES, "doc, page, text")), *step(d)]
+
+
+def documents_as_pages(step: Callable) -> Plan:
+    return lambda d: [("pages_in", "SELECT source AS doc, doc_id AS page, text FROM documents"), *step(d)]
+
+
+def text_lines(d: Spark):
+    return f"(SELECT doc, page, {d.each(d.lines('text'))} AS line FROM given)"
+
+
+PLANS |= {
+    "parse_indian_int": literal(fixtures.NUMBERS, "k, s", lambda d: {"k": "k", "n": scalars.to_int(d, "s")}),
+    "clean_amount": literal(fixtures.NUMBERS, "k, s", lambda d: {"k": "k", "n": scalars.clean_amount(d, "s")}),
+    "parse_line": literal(fixtures.LINES, "k, s", lambda d: {"k": "k", "label": scalars.line_label(d, "s"), "amount": scalars.line_amount(d, "s"), "kind": scalars.row_kind(d, "s")}),
+    "map_labels_wording": literal(fixtures.LABELS, "label, expected", lambda d: {"label": "label", "expected": "expected", "key": rules.map_label(d, "label"), "norm": rules.normal_label(d, "label"), "note": rules.first_of(d, "label", rules.CONVENTIONS)}),
+    "headings": literal(fixtures.HEADINGS, "k, s", lambda d: {"k": "k", "title": scalars.is_title(d, "s"), "address": scalars.is_address(d, "s"), "business": scalars.is_business(d, "s"), "section": rules.first_of(d, "s", rules.SECTIONS)}),
+    "fy_end_year": literal(fixtures.HEADINGS, "k, s", lambda d: {"k": "k", "year": scalars.period_year(d, "s")}),
+    "unit_scale": literal(fixtures.HEADINGS, "k, s", lambda d: {"k": "k", "scale": scalars.unit_scale(d, "s")}),
+    "norm_entity": literal(fixtures.HEADINGS, "k, s", lambda d: {"k": "k", "entity": scalars.norm_entity(d, "s"), "plain": scalars.normal_text(d, "s"), "repaired": scalars.repaired(d, "s")}),
+    "identity_fields": literal(fixtures.PAGES, "doc, page, text", lambda d: {"doc": "doc", "page": "page"} | scalars.identity(d, "text")),
+    "owner_loan_notes": lambda d: [("given", ledger.values(d, fixtures.PAGES, "doc, page, text")), ("result", f"SELECT doc, page, trim(line) AS line FROM {text_lines(d)} AS s WHERE {scalars.owner_loan(d, 'line')}")],
+    "relevance_page_kinds": pages(relevance.kinds),
+    "relevance_select": pages(relevance.selected),
+    "relevance_both_kinds": pages(relevance.both_kinds),
+    "read_paths": pages(relevance.read_paths),
+    "relevance_documents": documents_as_pages(relevance.selected),
+    "relevance_summary": documents_as_pages(relevance.summary),
+    "read_paths_documents": documents_as_pages(relevance.read_paths),
+    "vocab_score": lambda d: [("result", f"SELECT doc_id, {scalars.word_score(d, 'text', ['the', 'and', 'of', 'de', 'la', 'der', 'die'])} AS score, {scalars.garbled(d, 'text')} AS garbled FROM documents")],
+    "label_normal_documents": lambda d: [("heads", f"SELECT doc_id, {d.pick(d.lines('text'), '1')} AS line FROM documents"), ("result", f"SELECT doc_id, {rules.normal_label(d, 'line')} AS norm, {scalars.norm_entity(d, 'line')} AS entity, {scalars.is_business(d, 'line')} AS business FROM heads")],
+}
+
+
+def statements(d: Spark):
+    """Orders as statements: two sides, sections of three lines, printed totals that are off by set shares."""
+    off = "CASE o_orderkey % 5 WHEN 0 THEN 1.0 WHEN 1 THEN 1.0 WHEN 2 THEN 1.004 WHEN 3 THEN 1.006 END"
+    return [
+        ("amounts_of", f"SELECT l_orderkey, l_linenumber, CAST(ceil(l_linenumber / 3.0) AS INT) AS section, l_partkey, {d.half_even('l_extendedprice')} AS amount FROM lineitem"),
+        ("lines_in", f"SELECT l_orderkey AS block, l_linenumber AS seq, CASE WHEN o_orderkey % 3 = 0 THEN 'left' WHEN l_linenumber % 2 = 0 THEN 'right' ELSE 'left' END AS side, section, {d.pick(d.list([d.text(x) for x in ledger.LABELS]), f'{d.mod("l_partkey * 7 + l_linenumber", len(ledger.LABELS))} + 1')} AS label, amount, {d.half_even(f'CAST(sum(amount) OVER (PARTITION BY l_orderkey, section) AS DOUBLE) * ({off})')} AS total FROM amounts_of JOIN orders ON l_orderkey = o_orderkey"),
+        ("order_totals", "SELECT l_orderkey, sum(amount) AS amount FROM amounts_of GROUP BY l_orderkey"),
+        ("blocks_in", f"SELECT o_orderkey AS block, o_custkey AS doc, CASE WHEN o_orderkey % 2 = 0 THEN 'balance_sheet' ELSE 'profit_loss' END AS kind, CASE WHEN o_orderkey % 7 = 0 THEN 1000 WHEN o_orderkey % 11 = 0 THEN 100000 ELSE 1 END AS scale, {d.half_even(f'CAST(amount AS DOUBLE) * ({off})')} AS printed FROM orders LEFT JOIN order_totals ON o_orderkey = l_orderkey"),
+    ]
+
+
+def files(d: Spark):
+    """Customers as files, their orders as blocks of ten kinds of pages, some undated."""
+    return [
+        ("docs", f"SELECT c_custkey AS doc, CAST(1995 + {d.mod('c_custkey', 7)} AS INT) AS ay FROM customer"),
+        ("amounts", f"SELECT l_orderkey AS block, {d.half_even('l_quantity')} AS amount FROM lineitem"),
+        ("item_counts", "SELECT block, count(*) AS n_items FROM amounts GROUP BY block"),
+        ("blocks", "SELECT o_orderkey AS block, o_custkey AS doc, CASE WHEN o_orderkey % 2 = 0 THEN 'balance_sheet' ELSE 'profit_loss' END AS kind, concat('Entity ', CAST(o_custkey % 40 AS STRING)) AS entity, CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE CAST(year(o_orderdate) AS INT) END AS year, CAST(o_orderkey % 23 AS INT) AS page, CASE o_orderstatus WHEN 'F' THEN 'verified' WHEN 'O' THEN 'unverified' ELSE 'failed' END AS status, coalesce(n_items, 0) AS n_items, o_orderkey % 4 = 0 AS comparative FROM orders LEFT JOIN item_counts ON o_orderkey = block".replace("STRING", "STRING" if d.name == "spark" else "VARCHAR")),
+    ]
+
+
+def boxes(d: Spark):
+    """Events as word boxes: a day and user make a row."""
+    day = "CAST(date_format(ts, 'd') AS BIGINT)" if d.name == "spark" else "day(ts)"
+    return [("boxes", f"SELECT {day} AS page, 1000.0 AS width, CAST(user_id % 50 AS BIGINT) AS row_no, CAST(event_id * 37 % 1000 AS DOUBLE) AS x0, CAST(event_id * 37 % 1000 + 12 AS DOUBLE) AS x1, event_type AS text, {d.half_even('value')} AS amount FROM events".replace("1000.0 AS width", "CAST(1000 AS DOUBLE) AS width"))]
+
+
+def rows(d: Spark):
+    title = "CASE WHEN event_type = 'purchase' AND event_id % 4 = 0 THEN 'title' WHEN event_id % 29 = 0 THEN 'footer' ELSE 'line' END"
+    return [("rows_in", f"SELECT user_id AS doc, user_id AS page, event_id AS row_no, event_type AS label, {title} AS what, CASE WHEN event_id % 5 = 0 THEN upper(substr(event_type, 1, 2)) END AS tag FROM events")]
+
+
+def after(base: Callable, *steps: Callable) -> Plan:
+    return lambda d: base(d) + [r for step in steps for r in step(d)]
+
+
+def line_trust(d: Spark):
+    return [("line_trust", "SELECT lines.entity, lines.year, key, CAST(1 + seq % 3 AS INT) AS rank FROM lines JOIN label_keys ON lines.label = label_keys.label")]
+
+
+def computed(d: Spark):
+    return [("computed", "SELECT entity, year, profit_before_tax + CASE WHEN year % 2 = 0 THEN 500 ELSE 5000 END AS book_profit FROM vals WHERE year % 3 <> 0")]
+
+
+def year_columns(d: Spark):
+    return [("columns_in", "SELECT entity, year, CASE WHEN year % 3 = 0 THEN NULL ELSE total_assets END AS total_assets, lag(total_assets) OVER (PARTITION BY entity ORDER BY year) AS p_assets, year % 2 = 0 OR year % 5 = 0 AS verified FROM vals")]
+
+
+PLANS |= {
+    "check_block": after(statements, verification.account_checks),
+    "check_sections": after(statements, verification.section_checks),
+    "section_results": only(after(statements, lambda d: verification.section_checks(d)[:2]), "*"),
+    "item_trust": after(statements, verification.item_trust),
+    "grand_totals": after(statements, verification.grand_totals),
+    "printed_total": after(statements, verification.printed_total),
+    "tolerance_units": after(statements, lambda d: [("result", f"SELECT block, CAST({verification.tolerance('scale', '5')} AS DOUBLE) AS tol FROM blocks_in")]),
+    "subset_columns": after(statements, verification.subset_columns),
+    "joint_subset": after(statements, verification.joint_subset),
+    "group_expand_prefix_sum": after(statements, verification.group_expand),
+    "block_segments": after(rows, verification.segments),
+    "schedule_groups": after(statements, verification.schedules),
+    "schedule_match": after(statements, verification.schedule_match),
+    "base_trust": upto(*BASE, line_trust, trust.base),
+    "derived_trust": upto(*BASE, line_trust, trust.derived),
+    "chk_sheet_balances": upto(*BASE, trust.balance),
+    "chk_profit_statement": upto(*BASE, spread.stated, trust.against_statement),
+    "chk_profit_computation": upto(*BASE, computed, trust.against_computation),
+    "chk_profit_into_capital": upto(*BASE, trust.into_capital, entity="o_custkey"),
+    "chk_same_year_twice": upto(spread.mapped, trust.printed_twice),
+    "file_year_mode": after(files, pooling.file_year),
+    "nearest_dated": after(files, pooling.nearest_dated),
+    "main_entity": after(files, pooling.main_entity),
+    "dedupe_overlap": after(files, pooling.overlaps),
+    "dedupe_blocks": after(files, pooling.deduped),
+    "year_placement": after(files, pooling.placed),
+    "alternates_semi": after(files, lambda d: pooling.alternates(d, "semi")),
+    "alternates_anti": after(files, lambda d: pooling.alternates(d, "anti")),
+    "docs_without_blocks": after(files, pooling.without_blocks),
+    "vision_topk": after(files, pooling.vision_pages),
+    "comparative_recovery": upto(*BASE, year_columns, pooling.recovered),
+    "nil_detection": after(files, pooling.nil),
+    "cache_prune_lru": lambda d: [("entries", "SELECT event_id AS id, event_id % 97 + 1 AS bytes, ts AS used FROM events"), *pooling.pruned(d, 40_000, "timestamp '2024-01-05 00:00:00'")],
+    "cell_islands": after(boxes, layout.cells),
+    "column_clusters": after(boxes, layout.columns),
+    "period_right_edge": after(boxes, layout.right_edge),
+    "divider_candidates": after(boxes, layout.divider_gaps),
+    "section_tags_filled": after(rows, layout.filled_tags),
+    "sheet_cells": upto(*BASE, sinks.cells),
+    "audit_rows": upto(spread.mapped, sinks.audit),
+}
 QUERIES = {name: runner(plan) for name, plan in PLANS.items()}
 ORACLES = {name: statement(plan, DUCK) for name, plan in PLANS.items()}

@@ -86,6 +86,13 @@ class Spark:
     def common(self, a: str, b: str) -> str:
         return f"array_intersect({a}, {b})"
 
+    def last(self, x: str, window: str) -> str:
+        """The last value that is not NULL."""
+        return f"last_value({x}) IGNORE NULLS OVER ({window})"
+
+    def first(self, x: str, window: str) -> str:
+        return f"first_value({x}) IGNORE NULLS OVER ({window})"
+
     def bit(self, x: str, k: str) -> str:
         return f"(shiftright({x}, {k}) & 1)"
 
@@ -167,6 +174,12 @@ class Duck(Spark):
     def common(self, a: str, b: str) -> str:
         return f"list_intersect({a}, {b})"
 
+    def last(self, x: str, window: str) -> str:
+        return f"last_value({x} IGNORE NULLS) OVER ({window})"
+
+    def first(self, x: str, window: str) -> str:
+        return f"first_value({x} IGNORE NULLS) OVER ({window})"
+
     def bit(self, x: str, k: str) -> str:
         return f"(({x} >> CAST({k} AS INT)) & 1)"
 
