@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from spreadloom import sinks
 from spreadloom.functions import scalars
-from spreadloom.operators import layout, pooling, relevance, spread, trust, verification
+from spreadloom.operators import grouped, layout, pooling, relevance, spread, trust, verification
 from spreadloom.plans import fixtures, ledger, rules
 from spreadloom.plans.dialect import DUCK, SPARK, Spark
 
@@ -122,11 +122,11 @@ PLANS |= {
 }
 
 
-def statements(d: Spark):
+def statements(d: Spark, price: str = "l_extendedprice"):
     """Orders as statements: two sides, sections of three lines, printed totals that are off by set shares."""
     off = "CASE o_orderkey % 5 WHEN 0 THEN 1.0 WHEN 1 THEN 1.0 WHEN 2 THEN 1.004 WHEN 3 THEN 1.006 END"
     return [
-        ("amounts_of", f"SELECT l_orderkey, l_linenumber, CAST(ceil(l_linenumber / 3.0) AS INT) AS section, l_partkey, {d.half_even('l_extendedprice')} AS amount FROM lineitem"),
+        ("amounts_of", f"SELECT l_orderkey, l_linenumber, CAST(ceil(l_linenumber / 3.0) AS INT) AS section, l_partkey, {d.half_even(price)} AS amount FROM lineitem"),
         ("lines_in", f"SELECT l_orderkey AS block, l_linenumber AS seq, CASE WHEN o_orderkey % 3 = 0 THEN 'left' WHEN l_linenumber % 2 = 0 THEN 'right' ELSE 'left' END AS side, section, {d.pick(d.list([d.text(x) for x in ledger.LABELS]), f'{d.mod("l_partkey * 7 + l_linenumber", len(ledger.LABELS))} + 1')} AS label, amount, {d.half_even(f'CAST(sum(amount) OVER (PARTITION BY l_orderkey, section) AS DOUBLE) * ({off})')} AS total FROM amounts_of JOIN orders ON l_orderkey = o_orderkey"),
         ("order_totals", "SELECT l_orderkey, sum(amount) AS amount FROM amounts_of GROUP BY l_orderkey"),
         ("blocks_in", f"SELECT o_orderkey AS block, o_custkey AS doc, CASE WHEN o_orderkey % 2 = 0 THEN 'balance_sheet' ELSE 'profit_loss' END AS kind, CASE WHEN o_orderkey % 7 = 0 THEN 1000 WHEN o_orderkey % 11 = 0 THEN 100000 ELSE 1 END AS scale, {d.half_even(f'CAST(amount AS DOUBLE) * ({off})')} AS printed FROM orders LEFT JOIN order_totals ON o_orderkey = l_orderkey"),
@@ -179,7 +179,7 @@ PLANS |= {
     "printed_total": after(statements, verification.printed_total),
     "tolerance_units": after(statements, lambda d: [("result", f"SELECT block, CAST({verification.tolerance('scale', '5')} AS DOUBLE) AS tol FROM blocks_in")]),
     "subset_columns": after(statements, verification.subset_columns),
-    "joint_subset": after(statements, verification.joint_subset),
+    "joint_subset": after(lambda d: statements(d, "l_quantity"), verification.joint_subset),
     "group_expand_prefix_sum": after(statements, verification.group_expand),
     "block_segments": after(rows, verification.segments),
     "schedule_groups": after(statements, verification.schedules),
@@ -214,3 +214,61 @@ PLANS |= {
 }
 QUERIES = {name: runner(plan) for name, plan in PLANS.items()}
 ORACLES = {name: statement(plan, DUCK) for name, plan in PLANS.items()}
+
+
+def indian(d: Spark, x: str) -> str:
+    """Rupees with separators after the last three digits and every two before."""
+    return d.replace(d.replace(f"CAST({x} AS STRING)", r"(\d)(\d{3})$", "$1,$2"), r"(\d)(\d{2}),", "$1,$2,")
+
+
+def account_cells(d: Spark):
+    """Each order as a page of a two-sided account, with the same figures on both sides and the total under them."""
+    line = "l_orderkey AS page, l_linenumber AS row_no"
+    left, right = "concat('Item ', l_partkey)", "concat('Asset ', l_suppkey)"
+    return [
+        ("sums", f"SELECT l_orderkey, max(l_linenumber) + 1 AS n, sum({d.half_even('l_extendedprice')}) AS total FROM lineitem GROUP BY l_orderkey"),
+        (
+            "cells",
+            f"""SELECT {line}, CAST(10 AS DOUBLE) AS x0, CAST(200 AS DOUBLE) AS x1, {left} AS text FROM lineitem UNION ALL SELECT {line}, 350, 430, {indian(d, d.half_even('l_extendedprice'))} FROM lineitem
+          UNION ALL SELECT {line}, 520, 700, {right} FROM lineitem UNION ALL SELECT {line}, 850, 930, {indian(d, d.half_even('l_extendedprice'))} FROM lineitem
+          UNION ALL SELECT l_orderkey, n, 350, 430, {indian(d, 'total')} FROM sums UNION ALL SELECT l_orderkey, n, 850, 930, {indian(d, 'total')} FROM sums""",
+        ),
+    ]
+
+
+def words(d: Spark):
+    return [("words", "SELECT CAST(user_id AS BIGINT) AS page, CAST(1000 AS DOUBLE) AS width, CAST(event_id * 37 % 900 AS DOUBLE) AS x0, CAST(event_id % 60 * 5 AS DOUBLE) AS y0, CAST(event_id * 37 % 900 + 40 AS DOUBLE) AS x1, CAST(event_id % 60 * 5 + 12 AS DOUBLE) AS y1, event_type AS text FROM events")]
+
+
+def column_cells(d: Spark):
+    """Each order as a one-column statement with this and last year's figures and a total."""
+    both = f"concat({indian(d, d.half_even('l_extendedprice'))}, ' ', {indian(d, d.half_even('l_extendedprice * 0.9'))})"
+    return [
+        ("sums", f"SELECT l_orderkey, max(l_linenumber) + 1 AS n, sum({d.half_even('l_extendedprice')}) AS total FROM lineitem GROUP BY l_orderkey"),
+        ("cells", f"SELECT l_orderkey AS page, l_linenumber AS row_no, CAST(10 AS DOUBLE) AS x0, CAST(200 AS DOUBLE) AS x1, concat('Item ', l_partkey) AS text, CAST(560 AS DOUBLE) AS edge FROM lineitem UNION ALL SELECT l_orderkey, l_linenumber, 480, 640, {both}, 560 FROM lineitem UNION ALL SELECT l_orderkey, n, 10, 60, 'Total', 560 FROM sums UNION ALL SELECT l_orderkey, n, 480, 560, {indian(d, 'total')}, 560 FROM sums"),
+    ]
+
+
+def printings(d: Spark):
+    """Two printings of each year side by side, with the trust of every row."""
+    return [
+        ("two", "SELECT entity, year, key, sum(CASE WHEN seq % 13 = 0 THEN 0 ELSE amount END) AS mine, sum(amount) AS theirs FROM lines JOIN label_keys ON lines.label = label_keys.label WHERE key IS NOT NULL AND key <> '__ignored__' GROUP BY entity, year, key"),
+        ("grouped", "SELECT *, CASE " + " ".join(f"WHEN key = '{k}' THEN '{t}'" for k, (t, _) in grouped.TOTAL_OF.items()) + " END AS total_key FROM two"),
+        ("printings", "SELECT entity, year, key, mine, theirs, CASE WHEN mine = theirs THEN 'proven' ELSE 'doubtful' END AS trust, 'proven' AS other, sum(mine) OVER (PARTITION BY entity, year, total_key) AS mine_total, sum(theirs) OVER (PARTITION BY entity, year, total_key) AS their_total FROM grouped"),
+    ]
+
+
+def dedupe_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = runner(lambda d: [*files(d), ("statements_of", "SELECT doc, year, block, entity, kind, status = 'verified' AS verified, n_items FROM blocks WHERE year IS NOT NULL AND n_items > 0")])(spark, sf_dir)
+    amounts = spark.sql("SELECT l_orderkey AS block, collect_list(CAST(bround(l_quantity) AS BIGINT)) AS amounts FROM lineitem GROUP BY l_orderkey")
+    return grouped.dedupe(base, amounts)
+
+
+#: Sequential operators: no SQL form, tested on literal fixtures.
+QUERIES |= {
+    "row_assembly": lambda spark, sf: grouped.row_assembly(runner(words)(spark, sf)),
+    "t_account_harvest": lambda spark, sf: grouped.t_account_harvest(runner(account_cells)(spark, sf)),
+    "vertical_harvest": lambda spark, sf: grouped.vertical_harvest(runner(column_cells)(spark, sf)),
+    "dedupe_greedy": dedupe_greedy,
+    "fill_other_printing": lambda spark, sf: grouped.fill_other_printing(runner(upto(spread.mapped, printings))(spark, sf)),
+}
