@@ -57,11 +57,11 @@ def overlaps(d: Spark):
 
 def deduped(d: Spark):
     """Blocks without a rival that holds most of their amounts and ranks higher (verified, more items, earlier)."""
-    rank = "CASE WHEN status = 'verified' THEN 1 ELSE 0 END"
+    rank = "CASE WHEN {0}.status = 'verified' THEN 1 ELSE 0 END"
+    mine, theirs = rank.format("m"), rank.format("t")
     return [
         *overlaps(d),
-        ("ranked", f"SELECT block, row_number() OVER (ORDER BY {rank} DESC, n_items DESC, block) AS r FROM (SELECT DISTINCT block, status, n_items FROM own WHERE block IN (SELECT block FROM overlapping UNION ALL SELECT rival FROM overlapping)) AS o"),
-        ("beaten", "SELECT DISTINCT overlapping.block FROM overlapping JOIN ranked AS mine ON overlapping.block = mine.block JOIN ranked AS theirs ON overlapping.rival = theirs.block WHERE theirs.r < mine.r"),
+        ("beaten", f"SELECT DISTINCT overlapping.block FROM overlapping JOIN blocks AS m ON overlapping.block = m.block JOIN blocks AS t ON overlapping.rival = t.block WHERE {theirs} > {mine} OR ({theirs} = {mine} AND (t.n_items > m.n_items OR (t.n_items = m.n_items AND t.block < m.block)))"),
         ("deduped", "SELECT blocks.block, doc, kind, year FROM blocks LEFT ANTI JOIN beaten ON blocks.block = beaten.block" if d.name == "spark" else "SELECT blocks.block, doc, kind, year FROM blocks ANTI JOIN beaten ON blocks.block = beaten.block"),
     ]
 

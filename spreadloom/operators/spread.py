@@ -15,7 +15,8 @@ Relations = list[tuple[str, str]]
 
 def mapped(d: Spark, lines: str = "lines") -> Relations:
     return [
-        ("label_keys", f"SELECT label, {rules.map_label(d, 'label')} AS key FROM (SELECT DISTINCT label FROM {lines}) AS s"),
+        # the count keeps the rules above the grouping: a filter on the key would otherwise run them on every line
+        ("label_keys", f"SELECT label, CASE WHEN uses > 0 THEN {rules.map_label(d, 'label')} END AS key FROM (SELECT label, count(*) AS uses FROM {lines} GROUP BY label) AS s"),
         ("by_label", f"SELECT entity, year, label, CAST(sum(amount) AS BIGINT) AS amount, CAST(sum(abs(amount)) AS BIGINT) AS size, count(*) AS n FROM {lines} GROUP BY entity, year, label"),
         ("mapped", f"SELECT entity, year, by_label.label, key, amount, n, CASE WHEN {d.match('by_label.label', rules.CLOSING_STOCK)} THEN -size ELSE amount END AS counted FROM by_label JOIN label_keys ON by_label.label = label_keys.label"),
     ]

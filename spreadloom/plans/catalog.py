@@ -136,10 +136,10 @@ def statements(d: Spark, price: str = "l_extendedprice"):
 def files(d: Spark):
     """Customers as files, their orders as blocks of ten kinds of pages, some undated."""
     return [
-        ("docs", f"SELECT c_custkey AS doc, CAST(1995 + {d.mod('c_custkey', 7)} AS INT) AS ay FROM customer"),
-        ("amounts", f"SELECT l_orderkey AS block, {d.half_even('l_quantity')} AS amount FROM lineitem"),
+        ("docs", f"SELECT c_custkey AS doc, CAST(1995 + {d.mod('c_custkey', 7)} AS INT) AS ay FROM customer UNION ALL SELECT s_suppkey + 1000000000, CAST(1995 + {d.mod('s_suppkey', 7)} AS INT) FROM supplier"),
+        ("amounts", f"SELECT l_orderkey AS block, {d.half_even('l_quantity')} * 100 + l_partkey % 20 AS amount FROM lineitem"),
         ("item_counts", "SELECT block, count(*) AS n_items FROM amounts GROUP BY block"),
-        ("blocks", "SELECT o_orderkey AS block, o_custkey AS doc, CASE WHEN o_orderkey % 2 = 0 THEN 'balance_sheet' ELSE 'profit_loss' END AS kind, concat('Entity ', CAST(o_custkey % 40 AS STRING)) AS entity, CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE CAST(year(o_orderdate) AS INT) END AS year, CAST(o_orderkey % 23 AS INT) AS page, CASE o_orderstatus WHEN 'F' THEN 'verified' WHEN 'O' THEN 'unverified' ELSE 'failed' END AS status, coalesce(n_items, 0) AS n_items, o_orderkey % 4 = 0 AS comparative FROM orders LEFT JOIN item_counts ON o_orderkey = block".replace("STRING", "STRING" if d.name == "spark" else "VARCHAR")),
+        ("blocks", "SELECT o_orderkey AS block, o_custkey AS doc, CASE WHEN o_orderkey % 2 = 0 THEN 'balance_sheet' ELSE 'profit_loss' END AS kind, concat('Entity ', CAST(CAST(floor(o_custkey / 3) AS BIGINT) AS STRING)) AS entity, CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE CAST(year(o_orderdate) AS INT) END AS year, CAST(o_orderkey % 23 AS INT) AS page, CASE o_orderstatus WHEN 'F' THEN 'verified' WHEN 'O' THEN 'unverified' ELSE 'failed' END AS status, coalesce(n_items, 0) AS n_items, o_orderkey % 4 = 0 AS comparative FROM orders LEFT JOIN item_counts ON o_orderkey = block".replace("STRING", "STRING" if d.name == "spark" else "VARCHAR")),
     ]
 
 
