@@ -27,18 +27,15 @@ def encode(values: np.ndarray) -> np.ndarray:
     # bits of each value, as the number of packings that are too narrow for it
     widths = np.searchsorted(LIMITS, values).astype(np.int8) if most > len(NARROW) - 1 else NARROW[values]
     choice = np.zeros(n, np.int8)
+    fits = np.ones(n + LONGEST, bool)  # places after the end take anything
     for selector in range(len(PACKING) - 1, 0, -1):  # by rising count: a longer packing that fits replaces a shorter one
-        count = COUNTS[selector]
-        wide = widths >= selector
-        if n - np.count_nonzero(wide) < min(count, n):
-            if not wide[-1]:  # the block's end may still be filled up
-                run = int(np.argmax(wide[::-1])) if wide.any() else n
-                choice[n - run :] = np.where(np.arange(run, 0, -1) <= count, selector, choice[n - run :])
-            continue
-        sums = np.zeros(n + count + 1, np.int32)
-        np.cumsum(wide, out=sums[1 : n + 1])
-        sums[n + 1 :] = sums[n]
-        choice[sums[count : n + count] == sums[:n]] = selector
+        np.less(widths, selector, out=fits[:n])
+        runs, length, count = fits, 1, int(COUNTS[selector])
+        while 2 * length <= count:
+            runs, length = runs[:-length] & runs[length:], 2 * length
+        if count > length:
+            runs = runs[: length - count] & runs[count - length :]
+        choice[runs[:n]] = selector
     jumps, starts, k = COUNTS[choice].tolist(), [], 0
     while k < n:
         starts.append(k)

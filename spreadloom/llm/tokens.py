@@ -30,6 +30,15 @@ def parts(chunk: str) -> tuple[str, ...]:
     return (chunk,)
 
 
+def latin(text: str) -> bool:
+    """Lowering the text as a whole is the same as letter by letter, and no special token can come of it."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return "<|" not in text
+
+
 def id_type(path: str) -> str:
     """Two bytes hold an id of a vocabulary of up to 65,536, else four; little-endian."""
     return "<u2" if tokenizer(path).get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
@@ -86,7 +95,11 @@ class ChunkTable(dict):
             self.clear()
         if len(self.words) > WORDS:
             self.words.clear()
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" "))) if text else b""
+        if not text:
+            return b""
+        if self.words.lowers and latin(text):
+            text = text.lower()
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 def lists(payloads: list[bytes], kind: str = "<u4") -> pa.Array:
