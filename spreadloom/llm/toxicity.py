@@ -38,7 +38,7 @@ POSITIVE = 4.0
 #: What a clean row above the threshold costs when it is calibrated, in toxic rows found.
 FALSE_COST = 3
 THRESHOLD = 0.7
-WORDS = 500_000
+WORDS = 250_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
