@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from spreadloom import sinks
 from spreadloom.functions import scalars
 from spreadloom.operators import grouped, layout, pooling, relevance, spread, trust, verification
+from spreadloom.operators import statements as reading
 from spreadloom.plans import fixtures, ledger, rules
 from spreadloom.plans.dialect import DUCK, SPARK, Spark
 
@@ -212,6 +213,37 @@ PLANS |= {
     "sheet_cells": upto(*BASE, sinks.cells),
     "audit_rows": upto(spread.mapped, sinks.audit),
 }
+
+
+def given(step: Callable, **tables: tuple[list[tuple], str]) -> Plan:
+    return lambda d: [*((name, ledger.values(d, rows, names)) for name, (rows, names) in tables.items()), *step(d)]
+
+
+def subtotalled(d: Spark):
+    return [*statements(d), ("sub_lines", "SELECT block, seq, side, amount, CASE WHEN seq % 2 = 0 THEN 1 ELSE 0 END AS subtotal FROM lines_in")]
+
+
+def year_headers(d: Spark):
+    return [
+        ("own_years", "SELECT o_orderkey AS own_block, CAST(year(o_orderdate) AS INT) AS year FROM orders"),
+        ("headers", "SELECT l_orderkey AS block, CAST(year(l_shipdate) AS INT) - CAST(l_linenumber % 3 AS INT) AS header_year FROM lineitem"),
+    ]
+
+
+PLANS |= {
+    "book_profit": given(reading.book_profit, pages_in=(fixtures.RETURNS, "doc, page, text")),
+    "return_figures": given(reading.return_figures, pages_in=(fixtures.RETURNS, "doc, page, text")),
+    "classify_statement": given(reading.classified, headed=(fixtures.HEADED, "block, heading, labels")),
+    "classify_documents": lambda d: [("headed", f"SELECT doc_id AS block, {d.pick(d.lines('text'), '1')} AS heading, text AS labels FROM documents"), *reading.classified(d)],
+    "continuations": given(reading.continued, page_ends=(fixtures.PAGE_ENDS, "doc, page, first_line, last_line")),
+    "header_years": given(reading.header_years, page_rows=(fixtures.PAGE_ROWS, "page, row_no, text")),
+    "comparative_statements": after(year_headers, reading.comparative),
+    "segmented_accounts": after(subtotalled, reading.segmented),
+    "restated_parents": given(reading.restated_parents, lines_in=(fixtures.RESTATED, "block, section, seq, amount, total")),
+    "vision_adoption": given(reading.adopted, first_reading=(fixtures.FIRST, "block, l0, r0"), second_reading=(fixtures.SECOND, "block, l1, r1")),
+    "separator_repair": given(reading.repaired_separators, given=([*fixtures.HEADINGS, (99, "2.35.51,356.00 and 31.03.2024 12.345 1,23.456")], "k, s")),
+    "all_checks": upto(*BASE, line_trust, lambda d: trust.base(d)[:-1], spread.stated, computed, *reading.CHECKS, reading.all_checks),
+}
 QUERIES = {name: runner(plan) for name, plan in PLANS.items()}
 ORACLES = {name: statement(plan, DUCK) for name, plan in PLANS.items()}
 

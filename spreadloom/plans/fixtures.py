@@ -32,3 +32,16 @@ HEADINGS = [
          "Equity and Liabilities", "Shareholders' Funds", "amounts in Rs. lakhs", "(in Rs. '000)", "in INR crores", "2.35.51,356.00 and 5,106,21", "Proflt & loss 1,234,567,89", "A – B—C"]
     )
 ]
+RETURNS = [
+    ("a", 0, "INDIAN INCOME TAX RETURN ACKNOWLEDGEMENT\nCurrent Year business loss, if any 1 48,25,888\nAdjusted gross Total Income 0\nx Total Income 2 0\nTaxes Paid 7 3,19,862\n(+)Tax Payable /(-)Refundable (6-7) 8 (-) 3,19,860"),
+    ("a", 1, "COMPUTATION OF INCOME\nNet Profit / (Loss) as per profit & loss A/c (15,32,419)"), ("b", 0, "income from business\nNet profit as per P & L A/c : 12,34,567.00"), ("b", 1, "computation\nNet profit -9,999"), ("c", 0, "nothing"),
+]
+HEADED = [
+    (1, "BALANCE SHEET as on 31-3-2024", "x"), (2, "Trading account", "Sundry creditors"), (3, "Statement A", "Drawings ; Opening capital ; Rent"), (4, "Annexure", "Sales ; Wages ; Rent ; Cash in hand"),
+    (5, "Annexure", "Sundry creditors ; Fixed assets ; Sales"), (6, "Capital A/c", "interest"), (7, "nothing", "nothing"), (8, "Capital account of assets", "Purchases"),
+]
+PAGE_ENDS = [("a", 0, "Balance sheet", "Carried Over 1,00,000"), ("a", 1, "Brought Forward 1,00,000", "Total"), ("a", 2, "Brought forward", "x"), ("b", 0, "b/f", "carried forward"), ("b", 1, "Notes", "y")]
+PAGE_ROWS = [(1, 0, "Particulars 2024-2025 2023-2024"), (1, 1, "Sales 1,00,000"), (1, 2, "2019"), (2, 0, "As at 31.03.2025 31.03.2024"), (2, 7, "2011"), (3, 0, "none")]
+FIRST = [(1, 121551652, 142291953), (2, 100000, 100500), (3, 0, 0), (4, 100000, 0)]
+SECOND = [(1, 295092692, 158468556), (2, 108000, 108001), (3, 7, 7), (4, 100000, 90000)]
+RESTATED = [(1, 1, 1, 500, 800), (1, 1, 2, 300, 800), (1, 1, 3, 200, 800), (1, 1, 4, 300, 800), (2, 1, 1, 500, 700), (2, 1, 2, 100, 700), (2, 1, 3, 600, 700), (3, 1, 1, 5, 5), (4, 2, 7, 40, 40), (4, 2, 8, 40, 40)]

@@ -27,7 +27,7 @@ def comparable(rows):
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_parity(spark, duck, name):
-    got, want = catalog.QUERIES[name](spark, SF), duck.sql(catalog.ORACLES[name])
+    got, want = catalog.QUERIES[name](spark, SF), duck.cursor().sql(catalog.ORACLES[name])
     assert sorted(got.columns) == sorted(want.columns)
     types = dict(zip(want.columns, map(str, want.types), strict=True))
     assert {c: TYPES[t] for c, t in got.dtypes} == types
@@ -68,7 +68,7 @@ def test_labels(duck, label, want):
     """The same expressions as on Spark, which parity holds them to."""
     from spreadloom.plans.dialect import DUCK
 
-    assert duck.execute(f"SELECT {rules.map_label(DUCK, 'l')} FROM (SELECT ? AS l)", [label]).fetchone()[0] == want
+    assert duck.cursor().execute(f"SELECT {rules.map_label(DUCK, 'l')} FROM (SELECT ? AS l)", [label]).fetchone()[0] == want
 
 
 def test_closing_stock_is_deducted(spark):
@@ -96,3 +96,21 @@ def test_rules_run_once_for_each_label(spark):
 def test_filters_and_columns_reach_the_scan(spark):
     plan = catalog.QUERIES["check_block"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "l_comment" not in plan and plan.count("ReadSchema") >= 2
+
+
+def result(duck, name):
+    return sorted(duck.cursor().execute(catalog.ORACLES[name]).fetchall(), key=str)
+
+
+def test_reading_of_pages(duck):
+    assert result(duck, "book_profit") == [("a", 1, -1532419), ("b", 0, 1234567)]
+    [figures] = result(duck, "return_figures")
+    assert figures == ("a", 0, 4825888, None, 0, None, 319862, -319860)
+    assert [r[4] for r in result(duck, "classify_statement")] == ["balance_sheet", "profit_loss", "capital_account", "profit_loss", "profit_loss", "capital_account", "other", "balance_sheet"]
+    assert [r[3] for r in result(duck, "continuations")] == [1, 1, 2, 1, 2]
+    assert result(duck, "restated_parents")[0] == (1, 1, 1, 500, True)
+    assert [r[2] for r in result(duck, "vision_adoption")] == [False, True, True, False]
+    assert ("a", 1, "statement") in result(duck, "relevance_select") and not any(r[2] == "audit" for r in result(duck, "relevance_select"))
+    assert {r[1]: r[3] for r in result(duck, "relevance_page_kinds") if r[0] == "a"} == {0: "acknowledgement", 1: "statement", 2: "noise", 3: "audit", 4: "noise"}
+    assert result(duck, "owner_loan_notes") == [("c", 2, "Loans from directors & relatives (Unsecured) 5291900")]
+    assert dict(result(duck, "separator_repair"))[99] == "2,35,51,356.00 and 31.03.2024 12.345 1,23,456"
