@@ -34,14 +34,15 @@ def base_spans(text):
     return ",".join(f"{k}:{a}:{b}" for k, _, a, b in sorted(out, key=lambda s: (s[2], s[1])))
 
 
-def shingles(text):
+def shingles(text, width):
     words = WORD.findall((text or "").translate(LOWER))
-    return frozenset(zip(words, words[1:], strict=False)) if len(words) > 1 else frozenset([tuple(words)] if words else [])
+    width = min(width, len(words))
+    return frozenset(tuple(words[k : k + width]) for k in range(len(words) - width + 1)) if words else frozenset()
 
 
-def near(rows):
+def near(rows, width=2):
     """doc_id -> (size of the set, component), all pairs compared."""
-    sets, parent = {d: shingles(x) for d, x in rows}, {d: d for d, _ in rows}
+    sets, parent = {d: shingles(x, width) for d, x in rows}, {d: d for d, _ in rows}
 
     def find(x):
         while parent[x] != x:
