@@ -64,7 +64,7 @@ class WordTable(dict):
         self.lowers = tok.normalizer is not None and tok.normalizer.normalize_str("A") == "a"
 
     def __missing__(self, word: str) -> bytes:
-        if self.lowers and word and LETTERS.issuperset(word):
+        if self.lowers and (word.isalpha() if word.isascii() else LETTERS.issuperset(word)):
             low = word.lower()
             if low != word:
                 ids = self[word] = self[low]
@@ -85,8 +85,11 @@ class ChunkTable(dict):
         self.kind = self.words.kind
 
     def __missing__(self, chunk: str) -> bytes:
-        word, *marks = parts(chunk)
-        ids = self[chunk] = self.words[word] + self.words[marks[0]] if marks else self.words[word]
+        word = chunk.rstrip(MARKS)
+        if len(word) == len(chunk) or not word or word[-1] not in LETTERS:
+            ids = self[chunk] = self.words[chunk]
+        else:
+            ids = self[chunk] = self.words[word] + self.words[chunk[len(word) :]]
         return ids
 
     def ids(self, text: str | None) -> bytes:
