@@ -185,6 +185,23 @@ def spread_runs(cells: list[tuple]) -> list[tuple]:
     return out
 
 
+_WELDED = re.compile(rf"^(\(?(?:{scalars.GROUPED})\)?)\s+(\S.*)$")
+
+
+def unwelded(cells: list[tuple]) -> list[tuple]:
+    """A figure welded to the label after it as two cells, the width shared by their lengths."""
+    out = []
+    for x0, x1, text in cells:
+        found = _WELDED.match(text.strip())
+        label_ = found[found.lastindex] if found else ""
+        if found and wordy(label_):
+            middle = x0 + (x1 - x0) * len(found[1]) / len(text.strip())
+            out += [(x0, middle, found[1]), (middle, x1, label_)]
+        else:
+            out.append((x0, x1, text))
+    return out
+
+
 def clustered(entries: list[tuple]) -> list[list[tuple]]:
     """Entries (x, label, amount) as columns: a gap of more than 6 % of the span opens one."""
     entries = sorted(entries, key=lambda e: e[0])
@@ -248,7 +265,7 @@ def divided(rows: list[list[tuple]], middle: float, target: float | None) -> dic
     reach = 0.15 * max((b for cells in rows for _, b, _ in cells), default=1)
     for cells in rows:
         owner, name = None, ""
-        for x0, x1, text in spread_runs(cells):
+        for x0, x1, text in unwelded(spread_runs(cells)):
             text = text.strip()
             if not text or skipped(text):
                 continue

@@ -136,3 +136,49 @@ def all_checks(d: Spark):
 
 
 CHECKS = (trust.balance, trust.against_statement, trust.against_computation, trust.into_capital)
+
+
+def subtotal_rows(d: Spark):
+    """Rows whose first and last figures are equal."""
+    return [("row_ends", "SELECT block, section, count(*) AS n, min(amount) AS low, max(amount) AS high FROM lines_in GROUP BY block, section"), ("subtotal_rows", "SELECT block, section, low AS amount FROM row_ends WHERE n >= 2 AND high - low <= 2")]
+
+
+def transfers(d: Spark):
+    """Trading and profit accounts printed as one: the gross result carried down on one side and brought down on the other."""
+    gross = d.match("label", r"gross\s+(pr\w{1,4}t|loss)")
+    return [
+        ("carried", f"SELECT block, seq, side, amount FROM account_lines WHERE {gross}"),
+        ("transfers", "SELECT a.block, a.seq AS from_seq, b.seq AS to_seq, a.amount FROM carried AS a JOIN carried AS b ON a.block = b.block AND a.amount = b.amount AND a.side = 'left' AND b.side = 'right' AND a.seq < b.seq"),
+    ]
+
+
+def name_words(d: Spark, stop: tuple[str, ...] = ("schedule", "forming", "part", "with", "from", "other", "total")):
+    """The words by which a schedule is known: four letters or more, without the common ones."""
+    words = d.kept(d.hits("lower(label)", r"[a-z]{4,}"), f"e NOT IN ({', '.join(map(repr, stop))})")
+    return [("name_words", f"SELECT label, {d.joined(words, ' ')} AS words, {d.size(words)} AS n FROM captions")]
+
+
+def overridden(d: Spark):
+    """Keys that were given for labels from outside come after the rules and count only if they are template rows."""
+    from spreadloom.plans.template import INPUTS
+
+    return [("overridden", f"SELECT label_keys.label, coalesce(key, CASE WHEN given_key IN ({', '.join(map(repr, INPUTS))}) THEN given_key END) AS key FROM label_keys LEFT JOIN overrides ON label_keys.label = overrides.given_label")]
+
+
+def cell_notes(d: Spark, most: int = 4):
+    """Notes of input cells: what is unread or doubtful, with up to ``most`` source lines, largest first."""
+    return [
+        ("sources_of", "SELECT entity, year, key, label, counted, row_number() OVER (PARTITION BY entity, year, key ORDER BY abs(counted) DESC, label) AS k FROM mapped WHERE key IS NOT NULL"),
+        ("noted", f"SELECT entity, year, key, {d.gathered('label', ' + ', 'k')} AS note, count(*) AS n FROM sources_of WHERE k <= {most} GROUP BY entity, year, key"),
+        ("cell_notes", f"SELECT ranks.entity, ranks.year, ranks.key, {trust.name('rank')} AS level, CASE WHEN rank = 0 THEN 'red' WHEN rank = 1 THEN 'amber' END AS fill, note, n FROM ranks LEFT JOIN noted ON ranks.entity = noted.entity AND ranks.year = noted.year AND ranks.key = noted.key"),
+    ]
+
+
+def borrower(d: Spark):
+    """The first plausible entity of a case and the name of its file."""
+    from spreadloom.functions import scalars
+
+    return [
+        ("plausible", f"SELECT doc, block, entity, row_number() OVER (PARTITION BY doc ORDER BY block) AS k FROM blocks WHERE {scalars.is_business(d, 'entity')}"),
+        ("borrower", f"SELECT doc, entity, concat({d.replace('entity', r'[^A-Za-z0-9]+', '_')}, '_spread.xlsx') AS file_name FROM plausible WHERE k = 1"),
+    ]

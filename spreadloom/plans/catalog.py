@@ -140,7 +140,7 @@ def files(d: Spark):
         ("docs", f"SELECT c_custkey AS doc, CAST(1995 + {d.mod('c_custkey', 7)} AS INT) AS ay FROM customer UNION ALL SELECT s_suppkey + 1000000000, CAST(1995 + {d.mod('s_suppkey', 7)} AS INT) FROM supplier"),
         ("amounts", f"SELECT l_orderkey AS block, {d.half_even('l_quantity')} * 100 + l_partkey % 20 AS amount FROM lineitem"),
         ("item_counts", "SELECT block, count(*) AS n_items FROM amounts GROUP BY block"),
-        ("blocks", "SELECT o_orderkey AS block, o_custkey AS doc, CASE WHEN o_orderkey % 2 = 0 THEN 'balance_sheet' ELSE 'profit_loss' END AS kind, concat('Entity ', CAST(CAST(floor(o_custkey / 3) AS BIGINT) AS STRING)) AS entity, CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE CAST(year(o_orderdate) AS INT) END AS year, CAST(o_orderkey % 23 AS INT) AS page, CASE o_orderstatus WHEN 'F' THEN 'verified' WHEN 'O' THEN 'unverified' ELSE 'failed' END AS status, coalesce(n_items, 0) AS n_items, o_orderkey % 4 = 0 AS comparative FROM orders LEFT JOIN item_counts ON o_orderkey = block".replace("STRING", "STRING" if d.name == "spark" else "VARCHAR")),
+        ("blocks", "SELECT o_orderkey AS block, o_custkey AS doc, CASE WHEN o_orderkey % 2 = 0 THEN 'balance_sheet' ELSE 'profit_loss' END AS kind, concat('Shree Traders ', CAST(CAST(floor(o_custkey / 3) AS BIGINT) AS STRING)) AS entity, CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE CAST(year(o_orderdate) AS INT) END AS year, CAST(o_orderkey % 23 AS INT) AS page, CASE o_orderstatus WHEN 'F' THEN 'verified' WHEN 'O' THEN 'unverified' ELSE 'failed' END AS status, coalesce(n_items, 0) AS n_items, o_orderkey % 4 = 0 AS comparative FROM orders LEFT JOIN item_counts ON o_orderkey = block".replace("STRING", "STRING" if d.name == "spark" else "VARCHAR")),
     ]
 
 
@@ -242,6 +242,12 @@ PLANS |= {
     "restated_parents": given(reading.restated_parents, lines_in=(fixtures.RESTATED, "block, section, seq, amount, total")),
     "vision_adoption": given(reading.adopted, first_reading=(fixtures.FIRST, "block, l0, r0"), second_reading=(fixtures.SECOND, "block, l1, r1")),
     "separator_repair": given(reading.repaired_separators, given=([*fixtures.HEADINGS, (99, "2.35.51,356.00 and 31.03.2024 12.345 1,23.456")], "k, s")),
+    "subtotal_rows": after(statements, reading.subtotal_rows),
+    "combined_transfers": given(reading.transfers, account_lines=(fixtures.ACCOUNT_LINES, "block, seq, side, label, amount")),
+    "name_words": given(reading.name_words, captions=(fixtures.CAPTIONS, "label")),
+    "label_overrides": upto(spread.mapped, lambda d: [("overrides", ledger.values(d, fixtures.OVERRIDES, "given_label, given_key"))], reading.overridden),
+    "cell_notes": upto(*BASE, line_trust, lambda d: trust.base(d)[:-1], reading.cell_notes),
+    "borrower_name": after(files, reading.borrower),
     "all_checks": upto(*BASE, line_trust, lambda d: trust.base(d)[:-1], spread.stated, computed, *reading.CHECKS, reading.all_checks),
 }
 QUERIES = {name: runner(plan) for name, plan in PLANS.items()}

@@ -45,3 +45,6 @@ PAGE_ROWS = [(1, 0, "Particulars 2024-2025 2023-2024"), (1, 1, "Sales 1,00,000")
 FIRST = [(1, 121551652, 142291953), (2, 100000, 100500), (3, 0, 0), (4, 100000, 0)]
 SECOND = [(1, 295092692, 158468556), (2, 108000, 108001), (3, 7, 7), (4, 100000, 90000)]
 RESTATED = [(1, 1, 1, 500, 800), (1, 1, 2, 300, 800), (1, 1, 3, 200, 800), (1, 1, 4, 300, 800), (2, 1, 1, 500, 700), (2, 1, 2, 100, 700), (2, 1, 3, 600, 700), (3, 1, 1, 5, 5), (4, 2, 7, 40, 40), (4, 2, 8, 40, 40)]
+ACCOUNT_LINES = [(1, 1, "left", "To Gross Profit c/d", 45), (1, 2, "right", "By Gross Profit b/d", 45), (1, 3, "left", "To Net profit", 9), (2, 1, "left", "To gross prfit trf", 7), (2, 2, "right", "By gross loss", 8)]
+CAPTIONS = [(x,) for x in ("Schedule of Sundry Creditors", "Loans with banks", "CASH AT BANK", "to be")]
+OVERRIDES = [("Suspense account", "other_expenses"), ("Branch adjustment", "no such row"), ("Total", "debtors")]

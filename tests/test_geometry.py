@@ -150,3 +150,12 @@ def test_streaming_buckets(spark, tmp_path):
     buckets.start(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out")).select("key", F.col("amount").cast("long")).collect()
     assert [tuple(r) for r in got] == [("sales_other_income", 12)]
+
+
+def test_welded_figures_and_replies(spark):
+    assert grouped.unwelded([(0, 100, "45,000 Rent paid"), (0, 9, "Cash 5,000")]) == [(0, 37.5, "45,000"), (37.5, 100, "Rent paid"), (0, 9, "Cash 5,000")]
+    from spreadloom.sources import vision
+
+    rows = [("d", 1, '```json\n{"kind": "balance_sheet", "year": 2024, "left": [{"label": "Capital", "amount": 10.5}], "right": null}\n```'), ("d", 2, "no reply")]
+    got = vision.lines(spark.createDataFrame(rows, "doc_id string, page_no int, json string")).collect()
+    assert [(r["page_no"], r["side"], r["seq"], r["label"], r["amount"]) for r in got] == [(1, "left", 0, "Capital", 10)]
