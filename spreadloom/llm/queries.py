@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op8_minhash_near_dedup": neardup.OP8_SQL,
     "op9_nearest_neighbours": neighbours.OP9_SQL,
     "op1_warc": warc.OP1_SQL,
     "op3_secret_scans": secrets.OP3_SQL,
