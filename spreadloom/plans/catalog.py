@@ -242,7 +242,7 @@ PLANS |= {
     "restated_parents": given(reading.restated_parents, lines_in=(fixtures.RESTATED, "block, section, seq, amount, total")),
     "vision_adoption": given(reading.adopted, first_reading=(fixtures.FIRST, "block, l0, r0"), second_reading=(fixtures.SECOND, "block, l1, r1")),
     "separator_repair": given(reading.repaired_separators, given=([*fixtures.HEADINGS, (99, "2.35.51,356.00 and 31.03.2024 12.345 1,23.456")], "k, s")),
-    "subtotal_rows": after(statements, reading.subtotal_rows),
+    "subtotal_rows": after(lambda d: statements(d, "l_quantity"), reading.subtotal_rows),
     "combined_transfers": given(reading.transfers, account_lines=(fixtures.ACCOUNT_LINES, "block, seq, side, label, amount")),
     "name_words": given(reading.name_words, captions=(fixtures.CAPTIONS, "label")),
     "label_overrides": upto(spread.mapped, lambda d: [("overrides", ledger.values(d, fixtures.OVERRIDES, "given_label, given_key"))], reading.overridden),
