@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -15,7 +17,9 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder below ``spark.checkpoint.dir``; only where that is unset (local tests) a temporary one is made."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spreadloom-")
+        local = tempfile.mkdtemp(prefix="spreadloom-")
+        atexit.register(shutil.rmtree, local, ignore_errors=True)
+        base = f"file://{local}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 

@@ -163,4 +163,4 @@ def score(docs: DataFrame, weights: dict[int, float], keep: tuple[str, ...] = ("
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     scored = score(docs, train(docs, documents(spark, sf_dir, "labels")))
-    return scored.select("doc_id", (remainder(F.col("doc_id")) == 1).alias("held_out"), "score", "predicted")
+    return scored.select("doc_id", F.coalesce(remainder(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
