@@ -1,7 +1,7 @@
 """Lines -> mapped lines -> buckets -> values -> ratios -> growth -> flags, as named relations.
 
 Each function gives the SQL of one relation over relations named before it. Labels are mapped once each and joined back;
-lines are summed by label before the join, so what is joined is small and the sums combine on the map side.
+lines are summed by label first, on the map side too; labels are taken from those sums, so the tables are scanned once.
 """
 
 from __future__ import annotations
@@ -15,9 +15,9 @@ Relations = list[tuple[str, str]]
 
 def mapped(d: Spark, lines: str = "lines") -> Relations:
     return [
-        # the count keeps the rules above the grouping: a filter on the key would otherwise run them on every line
-        ("label_keys", f"SELECT label, CASE WHEN uses > 0 THEN {rules.map_label(d, 'label')} END AS key FROM (SELECT label, count(*) AS uses FROM {lines} GROUP BY label) AS s"),
         ("by_label", f"SELECT entity, year, label, CAST(sum(amount) AS BIGINT) AS amount, CAST(sum(abs(amount)) AS BIGINT) AS size, count(*) AS n FROM {lines} GROUP BY entity, year, label"),
+        # the count keeps the rules above the grouping: a filter on the key would otherwise run them on every line
+        ("label_keys", f"SELECT label, CASE WHEN uses > 0 THEN {rules.map_label(d, 'label')} END AS key FROM (SELECT label, count(*) AS uses FROM by_label GROUP BY label) AS s"),
         ("mapped", f"SELECT entity, year, by_label.label, key, amount, n, CASE WHEN {d.match('by_label.label', rules.CLOSING_STOCK)} THEN -size ELSE amount END AS counted FROM by_label JOIN label_keys ON by_label.label = label_keys.label"),
     ]
 
