@@ -65,30 +65,44 @@ def blocks_of(rows: DataFrame) -> DataFrame:
 
 
 def harvest(cells: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Lines (page, block, entity, year, seq, label, amount, status) in rupees; sides of a P&L and sections give the tags."""
-    meta = ["page", "block", "kind", "year", "entity", "scale"]
-    placed = cells.join(blocks.select("row_no", *meta), ["page", "row_no"])
-    read = grouped.per_group(placed, ["page", "block"], ["row_no", "x0"], ["x1", "text"], _read, "page long, block long, side string, seq int, label string, amount double, status string")
+    """Lines (page, block, entity, year, seq, label, amount, status, comparative) in rupees; sides of a P&L and sections give the tags.
+
+    A comparative column gives lines of the year before, unless that year has a statement of its own of the same entity and kind.
+    """
+    meta = ["page", "block", "kind", "entity", "scale"]
+    placed = cells.join(blocks.select("row_no", "year", *meta), ["page", "row_no"])
+    read = grouped.per_group(placed, ["page", "block"], ["row_no", "x0"], ["x1", "text", "year"], _read, "page long, block long, year int, side string, seq int, label string, amount double, status string, comparative boolean")
     lines = read.join(blocks.select(*meta).distinct(), ["page", "block"])
     tagged = F.when((F.col("kind") == "profit_loss") & (F.col("side") == "left") & ~F.col("label").startswith("["), F.concat(F.lit("[EXP] "), "label"))
     tagged = tagged.when((F.col("kind") == "profit_loss") & (F.col("side") == "right") & ~F.col("label").startswith("["), F.concat(F.lit("[INC] "), "label")).otherwise(F.col("label"))
-    return lines.select("page", "block", F.coalesce("entity", F.lit("")).alias("entity"), "year", "kind", "seq", tagged.alias("label"), F.bround(F.col("amount") * F.col("scale")).cast("long").alias("amount"), "status")
+    lines = lines.select("page", "block", F.coalesce("entity", F.lit("")).alias("entity"), "year", "kind", "seq", tagged.alias("label"), F.bround(F.col("amount") * F.col("scale")).cast("long").alias("amount"), "status", "comparative")
+    own = F.min("comparative").over(Window.partitionBy("entity", "kind", "year"))
+    return lines.withColumn("alone", own).where("NOT comparative OR alone").drop("alone")
 
 
 def _read(key: tuple, group: list[tuple]) -> list[tuple]:
-    """The reading of a block that verifies: two-sided first, then one column; else the two-sided one if it has both sides."""
+    """The reading of a block that verifies, first the one that its layout tells; else that one, but two full sides come before
+    sections without a total to hold them against."""
     rows = grouped.rows_of(group)
     sides, _, status = grouped.account(rows)
     two = all(sides.values())
-    if status != "verified":
-        edges = [b for cells in rows for _, b, t in grouped.spread_runs(cells) if grouped.amount(t) is not None]
-        sections = grouped.vertical(rows, sorted(edges)[len(edges) // 2], max(r[2] for r in group)) if edges else []
-        sums = [abs(total - sum(v for _, v in items)) <= grouped.TOLERANCE for _, items, total in sections if total is not None and len(items) > 1]
-        if sections and (all(sums) and sums or not two):
-            found = [(text, v) for _, items, _ in sections for text, v in items]
-            return [(*key, None, k, text, v, "verified" if sums and all(sums) else "unverified") for k, (text, v) in enumerate(found)]
-    found = [(side, text, v) for side in ("left", "right") for _, text, v in sides[side]]
-    return [(*key, side, k, text, v, status) for k, (side, text, v) in enumerate(found)]
+    readings = grouped.periods(rows)
+    proofs = [[abs(total - sum(v for _, v in items)) <= grouped.TOLERANCE for _, items, total in r if total is not None and len(items) > 1] for r in readings]
+    proven, upright = bool(proofs[0]) and all(proofs[0]), grouped.upright(rows)
+    if any(items for _, items, _ in readings[0]):
+        one = upright or status != "verified" if proven else status != "verified" and (not two or (upright and bool(proofs[0])))
+    else:
+        one = False
+    named, year = grouped.header_years(rows), group[0][4]
+    year = max(named, default=None) if year is None else year
+    if not one:
+        found = [(side, text, v) for side in ("left", "right") for _, text, v in sides[side]]
+        return [(*key, year, side, k, text, v, status, False) for k, (side, text, v) in enumerate(found)]
+    prior = None if year is None else max((y for y in named if y < year), default=year - 1)
+    out: list[tuple] = []
+    for at, (reading, proof) in enumerate(zip(readings, proofs, strict=True)):
+        out += [(*key, (year, prior)[at], None, text, v, "verified" if proof and all(proof) else "unverified", at == 1) for _, items, _ in reading for text, v in items]
+    return [(*r[:4], k, *r[4:]) for k, r in enumerate(out)]
 
 
 def spread_words(words: DataFrame) -> Spread:

@@ -159,3 +159,45 @@ def test_welded_figures_and_replies(spark):
     rows = [("d", 1, '```json\n{"kind": "balance_sheet", "year": 2024, "left": [{"label": "Capital", "amount": 10.5}], "right": null}\n```'), ("d", 2, "no reply")]
     got = vision.lines(spark.createDataFrame(rows, "doc_id string, page_no int, json string")).collect()
     assert [(r["page_no"], r["side"], r["seq"], r["label"], r["amount"]) for r in got] == [(1, "left", 0, "Capital", 10)]
+
+
+TWO_YEARS = [
+    [(10, 300, "SHREE GANESH TRADERS LTD")],
+    [(10, 300, "BALANCE SHEET")],
+    [(10, 100, "Particulars"), (300, 330, "Note"), (440, 580, "As at March 31, 2024"), (640, 780, "As at March 31, 2023")],
+    [(10, 200, "Current liabilities")],
+    [(10, 200, "(a) Trade payables"), (300, 320, "7"), (500, 560, "43,224,860"), (700, 760, "1,000")],
+    [(10, 200, "(b) Provisions"), (540, 550, "-"), (700, 760, "5,000")],
+    [(10, 200, "(c) Other"), (545, 560, "63"), (700, 760, "2,000")],
+    [(10, 60, "Total"), (500, 560, "43,224,923"), (700, 760, "8,000")],
+]
+
+
+def test_period_columns_and_their_edges():
+    rows = TWO_YEARS[2:]
+    assert grouped.period_columns(rows) == [(440, 580), (640, 780)] and grouped.upright(rows) and not grouped.upright(T_ACCOUNT)
+    assert grouped.right_edge(rows, (440, 580), [(640, 780)]) == 560
+    own, prior = grouped.periods(rows)
+    assert own == [("Current liabilities", [("[CL] (a) Trade payables", 43224860), ("[CL] (c) Other", 63)], 43224923)]
+    assert prior == [("Current liabilities", [("[CL] (a) Trade payables", 1000), ("[CL] (b) Provisions", 5000), ("[CL] (c) Other", 2000)], 8000)]
+
+
+def test_columns_without_headers():
+    own, prior = grouped.periods(TWO_YEARS[3:])
+    assert [v for _, items, _ in own for _, v in items] == [43224860, 63] and [v for _, items, _ in prior for _, v in items] == [1000, 5000, 2000]
+
+
+def test_a_line_that_is_nil_this_year_is_not_last_years():
+    rows = [[(10, 200, "A"), (480, 560, "70,000"), (570, 640, "60,000")], [(10, 200, "Provisions"), (570, 640, "5,000")], [(10, 200, "Cash"), (480, 560, "30,000"), (570, 640, "1,000")], [(10, 60, "Total"), (480, 560, "1,00,000"), (570, 640, "66,000")]]
+    assert [v for _, items, _ in grouped.vertical(rows, 560, 640) for _, v in items] == [70000, 30000]
+
+
+def test_two_year_pages_give_each_year_its_own_figures(spark):
+    later = [[(a, b, w.replace("2024", "2025").replace("2023", "2024")) for a, b, w in cells] for cells in TWO_YEARS]
+    schema = "page long, width double, x0 double, y0 double, x1 double, y1 double, text string"
+    rows = lambda words: {(r["year"], r["label"], r["amount"], r["status"], r["comparative"]) for r in pipeline.spread_words(spark.createDataFrame(words, schema)).lines.collect()}
+    first = rows(page(TWO_YEARS, 800))
+    own = {(2024, "[CL] (a) Trade payables", 43224860, "verified", False), (2024, "[CL] (c) Other", 63, "verified", False)}
+    assert first == own | {(2023, "[CL] (a) Trade payables", 1000, "verified", True), (2023, "[CL] (b) Provisions", 5000, "verified", True), (2023, "[CL] (c) Other", 2000, "verified", True)}
+    both = rows(page(TWO_YEARS, 800) + [(2, *w[1:]) for w in page(later, 800)])
+    assert {r for r in both if r[0] == 2024} == own and {r[0] for r in both} == {2023, 2024, 2025}
