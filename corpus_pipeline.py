@@ -26,10 +26,17 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates, that with the smallest doc_id."""
-    found = neardup.near_duplicates(docs.select("doc_id", "text"))
-    dropped = found.where("not kept").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(dropped, "doc_id", "left_anti").select(*COLUMNS)
+    """One row of each component of near duplicates, that with the smallest doc_id; null ids come last.
+
+    Rows are told by a number of their own, so that rows of one doc_id and rows without one are single rows here: of
+    equal texts one stays, and a row with another text does not go with them. A text without shingles always stays.
+    """
+    rows = common.materialise(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    found = neardup.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"))
+    grouped = common.materialise(found.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_part")), "components")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
+    first = grouped.join(rows.select("_row", "doc_id"), "_row").groupBy("_part").agg(F.min_by("_row", order).alias("_row"))
+    return rows.join(first.select("_row"), "_row", "left_semi").select(*COLUMNS)
 
 
 def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -346,3 +346,11 @@ def test_pipeline(spark, sample):
             ids = word_ids(2)
             assert sum(r["length"] for r in rows[name]) == sum(len(ids(x)) for _, x in before)
             brute.sequences((r["sequence_id"], r["offset"], r["length"]) for r in rows[name])
+
+
+def test_near_dedup_keeps_one_row_of_repeated_and_missing_ids(spark):
+    one, two, other = (" ".join(f"{w}{k}" for k in range(60)) for w in "abc")
+    rows = [(5, one), (5, one), (7, two), (7, one), (None, other), (None, other), (3, two), (None, ""), (8, None)]
+    docs = spark.createDataFrame([(d, x, "en", "s", len(x or "")) for d, x in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, docs, "").collect()]
+    assert sorted(got, key=str) == sorted([(5, one), (3, two), (None, other), (None, ""), (8, None)], key=str)
