@@ -354,3 +354,21 @@ def test_near_dedup_keeps_one_row_of_repeated_and_missing_ids(spark):
     docs = spark.createDataFrame([(d, x, "en", "s", len(x or "")) for d, x in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, docs, "").collect()]
     assert sorted(got, key=str) == sorted([(5, one), (3, two), (None, other), (None, ""), (8, None)], key=str)
+
+
+def test_units_are_bounded_by_shingles_and_lose_no_rows(spark, tmp_path, monkeypatch):
+    import pyarrow as pa
+
+    members = spark.createDataFrame([(1, k, 100) for k in range(40)], "grp long, id long, n long")
+    parts = [(r["x"], r["y"], r["id"]) for r in neardup.units(members, "grp", 1024, 500).collect()]
+    assert max(sum(p[:2] == (x, y) for p in parts) for x, y, _ in parts) <= 12
+    meet = {(a, b) for x, y, a in parts for u, v, b in parts if (x, y) == (u, v)}
+    assert len(meet) == 1600
+
+    class Split:
+        num_rows, combine_chunks = 2, lambda self: pa.table({"a": pa.chunked_array([[1], [2]])})
+
+    with pytest.raises(OverflowError):
+        neardup.single(Split())
+    monkeypatch.setattr(neardup, "SHINGLES", 700)
+    test_near_duplicates_in_small_blocks(spark, tmp_path, monkeypatch)
