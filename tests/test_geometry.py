@@ -201,3 +201,8 @@ def test_two_year_pages_give_each_year_its_own_figures(spark):
     assert first == own | {(2023, "[CL] (a) Trade payables", 1000, "verified", True), (2023, "[CL] (b) Provisions", 5000, "verified", True), (2023, "[CL] (c) Other", 2000, "verified", True)}
     both = rows(page(TWO_YEARS, 800) + [(2, *w[1:]) for w in page(later, 800)])
     assert {r for r in both if r[0] == 2024} == own and {r[0] for r in both} == {2023, 2024, 2025}
+
+
+def test_many_columns_are_solved_too():
+    columns = [[(100 * k, str(k), 3**k)] for k in range(14)]
+    assert [e[1] for e in grouped.picked(columns, 3**2 + 3**9 + 3**13)] == ["2", "9", "13"]
