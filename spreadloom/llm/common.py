@@ -14,9 +14,15 @@ _TOKENIZERS: dict[str, object] = {}
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``; only where that is unset (local tests) a temporary one is made."""
+    """A fresh folder below ``spark.checkpoint.dir``.
+
+    Where that is unset a temporary folder is made, for a local master alone: on a cluster each machine has its own.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.conf.get("spark.master", "local")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         local = tempfile.mkdtemp(prefix="spreadloom-")
         atexit.register(shutil.rmtree, local, ignore_errors=True)
         base = f"file://{local}"
@@ -28,7 +34,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: cuts lineage and survives lost executors."""
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.shared_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that ``materialise`` wrote and that nothing reads any more."""
+    spark, path = df.sparkSession, getattr(df, "shared_path", None)
+    if path:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def rename(spark: SparkSession, source: str, target: str) -> None:
