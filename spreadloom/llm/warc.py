@@ -2,17 +2,20 @@
 
 1. A narrow table holds each record's key, payload digest and size. Among equal payloads of at least ``MIN_BYTES`` bytes
    the record with the smallest key is the response; the others revisit it. Digests are grouped with partial
-   aggregation, so a payload that a third of all records share is one row of each task.
-2. Records are dealt to ranges of the key by a histogram sort (exact byte counts), one exchange, and sorted.
-3. Each range writes its files in turn: every record is a gzip member of its own with headers made anew (record id and
-   date follow from the record, block and payload digests from the bytes), and a file is closed once it holds
-   ``roll_bytes`` compressed bytes.
+   aggregation. A payload that more than one in ``HOT`` records share is joined back by a table of at most ``HOT`` rows
+   that all tasks get, so its copies never meet in one task; the others are joined by an exchange.
+2. Records are dealt to ranges of the key by a histogram sort (exact byte counts), one exchange, and sorted. A range
+   holds about ``RANGE_BYTES`` of payload, several files.
+3. Each range writes its files in turn: every record is a gzip member of its own with headers made anew (the record id
+   follows from key, payload and copy, block and payload digests from the bytes; the date is a parameter, so that the
+   same rows give the same bytes), and a file is closed once it holds ``roll_bytes`` compressed bytes. Memory holds a
+   record and its compressed form.
 4. A file is written under a temporary name and renamed when whole. The manifest of files, renamed last, commits the
    archive; readers take only what it names. A task that runs again writes the same bytes under the same names.
 
 Defined cases: a null payload is empty; a null key sorts first and is never chosen as the response over another; of rows with equal key and
-payload the first is the response and the rest revisit it; other columns are ignored; an empty table gives an empty
-archive. A null url is left out of the record.
+payload the first is the response and the rest revisit it; a payload of any length is one record; other columns are
+ignored; an empty table gives an empty archive. A null url is left out of the record.
 """
 
 from __future__ import annotations
@@ -26,12 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spreadloom.llm.common import documents, file_system, materialise, rename, shared_folder
-from spreadloom.llm.sharding import WIDTH, deal, keyed, plan
+from spreadloom.llm.common import discard, documents, file_system, materialise, rename, shared_folder
+from spreadloom.llm.sharding import KEY, deal, keyed, plan
 from spreadloom.llm.tokens import small_batches
 
 MIN_BYTES = 100
-ROLL_BYTES = 64 << 20
+#: Compressed bytes of a file, and payload bytes of a range, which compress to some four files.
+ROLL_BYTES, RANGE_BYTES = 16 << 20, 128 << 20
+HOT = 10_000
 #: The format's version line and the profile of a revisit.
 VERSION = b"WARC/1.1\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -45,18 +50,24 @@ def record_id(key: int | None, digest: str, copy: int) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'record:{key}:{digest}:{copy}')}>"
 
 
-def record(key: int | None, url: str | None, payload: bytes, digest: str, copy: int, original: int | None, revisit: bool) -> bytes:
+def address(url: str | None) -> str | None:
+    return url and "".join(c if c > " " else f"%{ord(c):02X}" for c in url)
+
+
+def record(key: int | None, url: str | None, payload: bytes, digest: str, copy: int, original: int | None, original_url: str | None, revisit: bool, date: str = DATE) -> bytes:
     """One record, uncompressed."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if revisit else http + payload
     fields = [
         ("WARC-Type", "revisit" if revisit else "response"),
         ("WARC-Record-ID", record_id(key, digest, copy)),
-        ("WARC-Date", DATE),
-        ("WARC-Target-URI", url and "".join(c if c > " " else f"%{ord(c):02X}" for c in url)),
+        ("WARC-Date", date),
+        ("WARC-Target-URI", address(url)),
         ("WARC-Payload-Digest", f"sha256:{digest}"),
         ("WARC-Block-Digest", f"sha256:{hashlib.sha256(block).hexdigest()}"),
         ("WARC-Refers-To", record_id(original, digest, 0) if revisit else None),
+        ("WARC-Refers-To-Target-URI", address(original_url) if revisit else None),
+        ("WARC-Refers-To-Date", date if revisit else None),
         ("WARC-Profile", PROFILE if revisit else None),
         ("X-Key", key),
         ("X-Refers-To-Key", original if revisit else None),
@@ -102,7 +113,23 @@ class Archive:
         self.number, self.sink = self.number + 1, None
 
 
-def write(df: DataFrame, key: str, url: str, payload: str, min_bytes: int = MIN_BYTES, roll_bytes: int = ROLL_BYTES) -> str:
+def markers(digests: DataFrame) -> DataFrame:
+    """(key columns, digest, original, original_url), once for each key and payload of the records that have equals.
+
+    ``digests`` is a written table (_key, _mixed, _row, url, digest).
+    """
+    first = F.min(F.when(F.col("_key").isNotNull(), F.struct("_key", "_row", "url")))
+    shared = digests.groupBy("digest").agg(first.alias("first"), F.count("*").alias("n")).where("n > 1")
+    shared = materialise(shared.select("digest", F.col("first._key").alias("original"), F.col("first.url").alias("original_url"), "n"), "shared")
+    # at most HOT payloads have more than one in HOT of the records
+    often = digests.count() // HOT
+    hot, rest = shared.where(F.col("n") > often).drop("n"), shared.where(F.col("n") <= often).drop("n")
+    plain = digests.select("_key", "_mixed", "digest")
+    cold = plain.join(F.broadcast(hot.select("digest")), "digest", "left_anti").join(rest, "digest")
+    return plain.join(F.broadcast(hot), "digest").unionByName(cold).distinct()
+
+
+def write(df: DataFrame, key: str, url: str, payload: str, min_bytes: int = MIN_BYTES, roll_bytes: int = ROLL_BYTES, range_bytes: int = RANGE_BYTES, date: str = DATE) -> str:
     """Write an archive of all rows; returns the committed folder."""
     spark = df.sparkSession
     folder = shared_folder(spark, "warc")
@@ -111,23 +138,23 @@ def write(df: DataFrame, key: str, url: str, payload: str, min_bytes: int = MIN_
     body = F.coalesce(F.col(payload), F.lit(""))
     rows = df.select(F.col(key).cast("long").alias("key"), F.col(url).alias("url"), body.alias("body"))
     size = F.octet_length("body")
-    records, found = keyed(rows, "key", F.col("body"), size + 1), plan(rows, "key", F.col("body"), size + 1)
-    digests = materialise(records.where(size >= min_bytes).select("_key", "_mixed", F.sha2("body", 256).alias("digest")), "digests")
-    shared = digests.groupBy("digest").agg(F.min("_key").alias("original"), F.count("*").alias("n")).where("n > 1").drop("n")
+    records, found = keyed(rows, "key", F.col("body"), size + 1), plan(rows, "key", F.col("body"), size + 1, part_bytes=range_bytes)
+    digests = materialise(records.where(size >= min_bytes).select("_key", "_mixed", "_row", "url", F.sha2("body", 256).alias("digest")), "digests")
+    none = F.lit(None).cast("string")
     # a marker goes before each record that has equals and says which it goes back to
-    markers = digests.join(shared, "digest").select("_key", "_mixed", "digest", "original").distinct()
-    markers = markers.select(F.col("_key").alias("key"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("body"), "_key", "_mixed", F.lit(-(1 << 63)).alias("_row"), F.lit(0).cast("long").alias("_size"), "digest", "original")
-    both = records.withColumns({"digest": F.lit(None).cast("string"), "original": F.lit(None).cast("long")}).unionByName(markers)
+    marks = markers(digests).select(F.col("_key").alias("key"), none.alias("url"), none.alias("body"), "_key", "_mixed", F.lit(-(1 << 63)).alias("_row"), F.lit(0).cast("long").alias("_size"), "digest", "original", "original_url")
+    both = records.withColumns({"digest": none, "original": F.lit(None).cast("long"), "original_url": none}).unionByName(marks)
     # ranges begin before the marker of their first record
-    found.keys = [k[:17] + bytes(WIDTH - 17) for k in found.keys]
-    dealt = deal(both, found).select("part", "key", "url", "body", "digest", "original")
+    found.keys = found.keys.astype("S17").astype(KEY)
+    names = ["part", "key", "url", "body", "digest", "original", "original_url"]
+    dealt = deal(both, found).select(names)
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         archive, marker, last, copy = None, None, None, 0
         for batch in small_batches(batches, "body"):
-            for part, k, u, text, noted, original in zip(*(batch.column(c).to_pylist() for c in ("part", "key", "url", "body", "digest", "original")), strict=True):
+            for part, k, u, text, noted, original, first_url in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
                 if text is None:
-                    marker = (k, noted, original)
+                    marker = (k, noted, original, first_url)
                     continue
                 data = text.encode()
                 digest = hashlib.sha256(data).hexdigest()
@@ -135,14 +162,15 @@ def write(df: DataFrame, key: str, url: str, payload: str, min_bytes: int = MIN_
                 last = (k, digest)
                 archive = archive or Archive(folder, part, roll_bytes)
                 marked = marker is not None and marker[:2] == (k, digest)
-                first = marker[2] if marked else None
-                archive.add(member(record(k, u, data, digest, copy, first, marked and (k != first or copy > 0))))
+                first, home = marker[2:] if marked else (None, None)
+                archive.add(member(record(k, u, data, digest, copy, first, home, marked and (k != first or copy > 0), date)))
         if archive:
             archive.close()
             yield pa.RecordBatch.from_pylist(archive.rows, FIELDS)
 
     dealt.mapInArrow(store, MANIFEST).write.parquet(f"{folder}/_manifest")
     rename(spark, f"{folder}/_manifest", f"{folder}/manifest")
+    discard(digests)
     return folder
 
 
