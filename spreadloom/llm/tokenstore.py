@@ -4,9 +4,10 @@ File: the magic, blocks of words, the block table (byte offset and values of eac
 null mark and the number of ids of each document) and a footer with both tables' places. A block's offset lets a reader
 start at any block, and a block is decoded as whole arrays.
 
-Texts are dealt to ranges of the key by a histogram sort, one file for each range. A file is written under a temporary
-name and renamed when it is whole; the manifest, renamed last, commits the folder, and readers take only what it names.
-Running a task again gives the same bytes.
+Texts are dealt to ranges of the key by a histogram sort. A range writes its files in turn: a file ends after the document
+with which it holds ``FILE_IDS`` ids or ``FILE_DOCUMENTS`` documents, so its tables stay small however large the range
+is, and so does what a task holds. A file is written under a temporary name and renamed when it is whole; the manifest,
+renamed last, commits the folder, and readers take only what it names. Running a task again gives the same bytes.
 
 Defined cases: a null or empty text has the end id alone; null keys come first; rows of one key go by the text's hash;
 repeated rows are stored as often as they come; other columns are ignored; an empty table gives an empty manifest.
@@ -17,22 +18,26 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spreadloom.llm import simple8b
 from spreadloom.llm.common import documents, file_system, rename, shared_folder
-from spreadloom.llm.sharding import ranges
+from spreadloom.llm.sharding import looked_up, ranges
 from spreadloom.llm.tokens import ChunkTable, small_batches
 
 MAGIC = b"S8BTOK01"
 BLOCK = 1 << 16
 FOOTER = struct.Struct("<QQQQ8s")  # block table, document table, documents, ids, magic
-MANIFEST = "part int, name string, documents long, tokens long, bytes long"
+MANIFEST = "part int, number int, name string, documents long, tokens long, bytes long"
+FIELDS = pa.schema([("part", pa.int32()), ("number", pa.int32()), ("name", pa.string()), ("documents", pa.int64()), ("tokens", pa.int64()), ("bytes", pa.int64())])
+#: Where a file ends.
+FILE_IDS, FILE_DOCUMENTS = 1 << 24, 1 << 20
 
 
 class Writer:
@@ -43,8 +48,7 @@ class Writer:
         self.waiting: list[np.ndarray] = []
         self.held = self.ids = 0
         self.blocks: list[tuple[int, int]] = []
-        self.keys: list[int | None] = []
-        self.sizes: list[int] = []
+        self.keys, self.null, self.sizes = array("q"), bytearray(), array("q")
         self._write(MAGIC)
 
     def _write(self, data: bytes) -> None:
@@ -52,7 +56,8 @@ class Writer:
         self.at += len(data)
 
     def add(self, key: int | None, ids: np.ndarray) -> None:
-        self.keys.append(key)
+        self.keys.append(key or 0)
+        self.null.append(key is None)
         self.sizes.append(len(ids))
         self.waiting.append(ids)
         self.held += len(ids)
@@ -74,7 +79,7 @@ class Writer:
         blocks = self.at
         self._write(np.array(self.blocks, "<u8").tobytes())
         rows = self.at
-        for column, kind in (([k or 0 for k in self.keys], "<i8"), ([k is None for k in self.keys], "<u1"), (self.sizes, "<u8")):
+        for column, kind in ((self.keys, "<i8"), (self.null, "<u1"), (self.sizes, "<u8")):
             self._write(np.array(column, kind).tobytes())
         self._write(FOOTER.pack(blocks, rows, len(self.keys), self.ids, MAGIC))
         self.sink.close()
@@ -108,7 +113,32 @@ def read(source) -> Iterator[tuple[int | None, int, np.ndarray]]:
         k += 1
 
 
-def write(df: DataFrame, path: str, end_id: int, key: str = "doc_id", text: str = "text") -> str:
+class Files:
+    """The files of one range. ``rows`` gets a row for each whole file."""
+
+    def __init__(self, folder: str, part: int, file_ids: int, file_documents: int):
+        self.fs, self.base = file_system(folder)
+        self.part, self.ids, self.documents, self.rows, self.writer = part, file_ids, file_documents, [], None
+
+    def add(self, key: int | None, ids: np.ndarray) -> None:
+        if self.writer is None:
+            self.named = f"{self.base}/_{uuid.uuid4().hex}"
+            self.writer = Writer(self.fs.open_output_stream(self.named))
+        self.writer.add(key, ids)
+        if self.writer.ids >= self.ids or len(self.writer.keys) >= self.documents:
+            self.close()
+
+    def close(self) -> None:
+        if self.writer is None:
+            return
+        done, self.writer = self.writer, None
+        done.close()
+        name = f"ids-{self.part:06d}-{len(self.rows):05d}.s8b"
+        self.fs.move(self.named, f"{self.base}/{name}")
+        self.rows.append({"part": self.part, "number": len(self.rows), "name": name, "documents": len(done.keys), "tokens": done.ids, "bytes": done.at})
+
+
+def write(df: DataFrame, path: str, end_id: int, key: str = "doc_id", text: str = "text", file_ids: int = FILE_IDS, file_documents: int = FILE_DOCUMENTS) -> str:
     """Write all documents; returns the committed folder."""
     spark = df.sparkSession
     folder = shared_folder(spark, "tokens")
@@ -117,34 +147,39 @@ def write(df: DataFrame, path: str, end_id: int, key: str = "doc_id", text: str
     dealt, _ = ranges(df.select(F.col(key).alias("key"), F.col(text).alias("text")), "key", F.coalesce("text", F.lit("")), F.coalesce(F.octet_length("text"), F.lit(0)) + 1)
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks, fs, named, writer = ChunkTable(path), None, "", None
+        chunks, files = ChunkTable(path), None
         end = np.array([end_id], chunks.kind).tobytes()
         for batch in small_batches(batches, "text"):
-            if batch.num_rows and writer is None:
-                (fs, base), part = file_system(folder), batch.column("part")[0].as_py()
-                named = f"{base}/_{uuid.uuid4().hex}"
-                writer = Writer(fs.open_output_stream(named))
+            if batch.num_rows and files is None:
+                files = Files(folder, batch.column("part")[0].as_py(), file_ids, file_documents)
             for k, x in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                writer.add(k, np.frombuffer(chunks.ids(x) + end, chunks.kind))
-        if writer:
-            writer.close()
-            name = f"ids-{part:06d}.s8b"
-            fs.move(named, f"{base}/{name}")
-            yield pa.RecordBatch.from_pylist([{"part": part, "name": name, "documents": len(writer.keys), "tokens": writer.ids, "bytes": writer.at}], pa.schema([("part", pa.int32()), ("name", pa.string()), ("documents", pa.int64()), ("tokens", pa.int64()), ("bytes", pa.int64())]))
+                files.add(k, np.frombuffer(chunks.ids(x) + end, chunks.kind))
+        if files:
+            files.close()
+            yield pa.RecordBatch.from_pylist(files.rows, FIELDS)
 
     dealt.mapInArrow(store, MANIFEST).write.parquet(f"{folder}/_manifest")
     rename(spark, f"{folder}/_manifest", f"{folder}/manifest")
     return folder
 
 
+def listed(spark: SparkSession, folder: str) -> DataFrame:
+    """The files of a committed folder with ``first``, the ids of all files before, in partitions by range.
+
+    What reaches the driver is one sum for each range, of which there are at most ``sharding.EXCHANGE``.
+    """
+    files = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
+    sums = files.groupBy("part").agg(F.sum("tokens").alias("n")).toArrow()
+    parts = sums.column("part").to_numpy()
+    whole = np.zeros((parts.max() if len(parts) else 0) + 1, np.int64)
+    whole[parts] = sums.column("n").to_numpy()
+    before = F.sum("tokens").over(Window.partitionBy("part").orderBy("number")) - F.col("tokens")
+    placed = files.repartitionById(len(whole), "part").withColumn("_before", before)
+    return placed.select("part", "number", "name", (looked_up(np.cumsum(whole) - whole)("part") + F.col("_before")).alias("first"))
+
+
 def digests(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, read from the files of a committed folder."""
-    # one row for each file, bounded by the number of ranges
-    files = sorted(spark.read.schema(MANIFEST).parquet(f"{folder}/manifest").collect())
-    rows, start = [], 0
-    for k, f in enumerate(files):
-        rows.append((k, f["name"], start))
-        start += f["tokens"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = file_system(folder)
@@ -159,8 +194,7 @@ def digests(spark: SparkSession, folder: str) -> DataFrame:
                             found = []
                     yield rows_of(found)
 
-    listed = spark.createDataFrame(rows, "k int, name string, first long").repartitionById(max(1, len(rows)), "k")
-    return listed.mapInArrow(scan, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return listed(spark, folder).mapInArrow(scan, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def rows_of(found: list[tuple]) -> pa.RecordBatch:
