@@ -6,10 +6,12 @@ group on its own: pieces by falling length, each into the first sequence with ro
 room of the sequences with maxima above, so a placement costs the logarithm of their number.
 
 A full piece fills a sequence alone, so a document of any length spreads over its sequences; the hash takes the piece's
-start too, so that the pieces of one long document, or of copies, spread over the groups. Memory is bounded by a group.
+start and its number in the scan too, so that the pieces of one long document, copies, and all rows of one doc_id or
+without one spread over the groups. Memory is bounded by a group. The input is a scan or a written table, so that a
+task that runs again numbers its pieces alike.
 
 Defined cases: a null or empty text has the end id alone; repeated rows are packed as often as they come; ties in
-length go by doc_id and start; a null doc_id is kept and sorts first; other columns are ignored; an empty table gives
+length go by doc_id, start and number; a null doc_id is kept and sorts first; other columns are ignored; an empty table gives
 an empty result.
 """
 
@@ -24,11 +26,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spreadloom.llm.common import documents
-from spreadloom.llm.tokens import ChunkTable, id_type, small_batches
+from spreadloom.llm.tokens import ChunkTable, id_type, lists, small_batches
 
 CAPACITY = 4096
 GROUP_TOKENS = 2_000_000
 PACKED = "doc_id long, start long, doc_tokens long, ids binary, length long, sequence_id long, offset long"
+LISTED = PACKED.replace("ids binary", "ids array<int>")
 DIGESTS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -112,8 +115,15 @@ def pack(parts: DataFrame, groups: int, width: int, capacity: int = CAPACITY, se
         if held:
             yield from fill(at, pa.Table.from_batches(held)).to_batches()
 
-    dealt = parts.withColumn("grp", F.pmod(F.xxhash64("doc_id", "start", F.lit(seed)), F.lit(groups))).withColumn("length", (F.octet_length("ids") / width).cast("long"))
-    return dealt.repartition("grp").sortWithinPartitions("grp", F.desc("length"), F.asc_nulls_first("doc_id"), "start").mapInArrow(run, schema)
+    return dealt(parts, groups, width, seed).mapInArrow(run, schema)
+
+
+def dealt(parts: DataFrame, groups: int, width: int, seed: int = 20) -> DataFrame:
+    """The pieces with their group, ``grp``, and ``length``, group by group, longest first."""
+    numbered = parts.withColumn("_n", F.monotonically_increasing_id())
+    group = F.pmod(F.xxhash64("doc_id", "start", "_n", F.lit(seed)), F.lit(groups))
+    placed = numbered.withColumn("grp", group).withColumn("length", (F.octet_length("ids") / width).cast("long"))
+    return placed.repartition("grp").sortWithinPartitions("grp", F.desc("length"), F.asc_nulls_first("doc_id"), "start", "_n").drop("_n")
 
 
 def digest(pieces: pa.Table, kind: str) -> pa.Table:
@@ -122,14 +132,19 @@ def digest(pieces: pa.Table, kind: str) -> pa.Table:
     return pieces.append_column("ids_crc32", pa.array(crcs, pa.int64())).select(["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
 
+def listed(pieces: pa.Table, kind: str) -> pa.Table:
+    """The pieces with their ids as lists of integers."""
+    return pieces.set_column(pieces.column_names.index("ids"), "ids", lists(pieces.column("ids").to_pylist(), kind))
+
+
 def pack_documents(df: DataFrame, path: str, end_id: int = 2, capacity: int = CAPACITY, group_tokens: int = GROUP_TOKENS, digests: bool = False) -> DataFrame:
     """The packed pieces of a table of documents. Four bytes of text count as a token when groups are planned.
 
-    With ``digests``, ids are handed on as their checksums.
+    Ids are lists of integers; with ``digests`` they are handed on as their checksums.
     """
     size = df.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 4)).first()[0] or 0
     groups, kind = max(1, -(-size // (4 * group_tokens))), id_type(path)
-    then, schema = (lambda t: digest(t, kind), DIGESTS) if digests else (None, PACKED)
+    then, schema = (lambda t: digest(t, kind), DIGESTS) if digests else (lambda t: listed(t, kind), LISTED)
     return pack(pieces(df, path, end_id, capacity), groups, np.dtype(kind).itemsize, capacity, then=then, schema=schema)
 
 
