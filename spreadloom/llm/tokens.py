@@ -16,8 +16,10 @@ import pyarrow.compute as pc
 
 from spreadloom.llm.common import tokenizer
 
-#: Chunks and words that a table holds; it starts anew beyond that.
+#: Chunks and words that a table holds; it starts anew beyond that. Longer ones than ``LONGEST`` characters are not kept,
+#: so that a table's bytes are bounded too.
 CHUNKS, WORDS = 600_000, 600_000
+LONGEST = 64
 MARKS = ".,;:!?"
 LETTERS = frozenset(c for c in map(chr, range(256)) if c.isalpha() and c not in "\xaa\xba\xb5")
 
@@ -67,12 +69,15 @@ class WordTable(dict):
         if self.lowers and (word.isalpha() if word.isascii() else LETTERS.issuperset(word)):
             low = word.lower()
             if low != word:
-                ids = self[word] = self[low]
-                return ids
+                return self[low]
             found = [t.id for t in self.model(low if low.isascii() else low.encode().decode("latin-1").translate(BYTES))]
         else:
             found = self.encode(word, add_special_tokens=False).ids
-        ids = self[word] = pack(f"<{len(found)}{self.code}", *found)
+        ids = pack(f"<{len(found)}{self.code}", *found)
+        if len(word) <= LONGEST:
+            if len(self) >= WORDS:
+                self.clear()
+            self[word] = ids
         return ids
 
 
@@ -87,17 +92,17 @@ class ChunkTable(dict):
     def __missing__(self, chunk: str) -> bytes:
         word = chunk.rstrip(MARKS)
         if len(word) == len(chunk) or not word or word[-1] not in LETTERS:
-            ids = self[chunk] = self.words[chunk]
+            ids = self.words[chunk]
         else:
-            ids = self[chunk] = self.words[word] + self.words[chunk[len(word) :]]
+            ids = self.words[word] + self.words[chunk[len(word) :]]
+        if len(chunk) <= LONGEST:
+            if len(self) >= CHUNKS:
+                self.clear()
+            self[chunk] = ids
         return ids
 
     def ids(self, text: str | None) -> bytes:
         """All ids of a text; null and empty texts have none."""
-        if len(self) > CHUNKS:
-            self.clear()
-        if len(self.words) > WORDS:
-            self.words.clear()
         if not text:
             return b""
         if self.words.lowers and latin(text):

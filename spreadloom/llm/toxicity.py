@@ -6,8 +6,9 @@ gradients and of squared gradients for each coordinate, so rare features learn a
 most weights at exactly zero: the model is the short list of the others, at most ``2 ** BITS`` of them (a proven bound
 for handing them to all tasks).
 
-Training reads a bounded sample of the labelled rows, the ``SAMPLE`` with the smallest hash of their id, whatever the
-size of the table, in one task over ``EPOCHS`` passes. Rows whose crc32(doc_id as text) mod 3 is 1 are never learned
+Training reads a bounded sample of the labelled rows, the ``SAMPLE`` with the smallest hash of their id (a quarter of
+them toxic where there are as many), whatever the size of the table, in one task over ``EPOCHS`` passes. Of an id that
+comes with several texts the one with the smallest hash is learned from, so at most ``SAMPLE`` texts reach that task. Rows whose crc32(doc_id as text) mod 3 is 1 are never learned
 from. Scoring sees the text alone and needs no exchange.
 
 Defined cases: a null or empty text has the bias alone; a row without label is scored like any other; labels are joined
@@ -27,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spreadloom.llm.common import documents
-from spreadloom.llm.tokens import small_batches
+from spreadloom.llm.tokens import LONGEST, small_batches
 
 BITS = 20
 SAMPLE = 6_000
@@ -47,7 +48,11 @@ class Hashes(dict):
 
     def __missing__(self, word: bytes) -> int:
         plain = word.strip(b".,;:!?\"'()[]#*$%&|<>")
-        value = self[word] = zlib.crc32(plain) << 32 | zlib.crc32(plain[::-1], 7)
+        value = zlib.crc32(plain) << 32 | zlib.crc32(plain[::-1], 7)
+        if len(word) <= LONGEST:
+            if len(self) >= WORDS:
+                self.clear()
+            self[word] = value
         return value
 
 
@@ -61,8 +66,6 @@ def features(text: bytes | None, words: Hashes, bits: int = BITS) -> np.ndarray:
     found = text.lower().split() if text else []
     if not found:
         return np.zeros(0, np.int64)
-    if len(words) > WORDS:
-        words.clear()
     h = np.fromiter(map(words.__getitem__, found), np.uint64, len(found))
     one, two, three = np.uint64(1), np.uint64(3), np.uint64(5)
     grams = [h * one, h[:-1] * two + (h[1:] ^ _MIX), h[:-2] * three + (h[2:] ^ (_MIX >> one))]
@@ -123,7 +126,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict[int,
     """Weights learned from a bounded sample of the labelled rows of ``docs``."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     usable = known.where(remainder(F.col("doc_id")) != 1)
-    # ids of the sample first, so that texts are read for them alone; half of it for each class where there are as many
+    # ids of the sample first, so that texts are read for them alone; a quarter of it is toxic where there are as many
     order = F.xxhash64("doc_id", F.lit(4))
     drawn = [usable.where(F.col("toxic") == c).orderBy(order, "doc_id").limit(n) for c, n in ((1, sample // 4), (0, sample - sample // 4))]
     chosen = drawn[0].unionByName(drawn[1])
@@ -137,6 +140,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict[int,
         yield pa.RecordBatch.from_arrays([pa.array(list(weights), pa.int32()), pa.array(list(weights.values()), pa.float64())], ["place", "weight"])
 
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    texts = texts.groupBy("doc_id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
     ordered = texts.withColumn("_order", F.xxhash64("doc_id", F.lit(5))).repartition(1).sortWithinPartitions("_order", "doc_id", "text")
     found = ordered.select("text", "toxic").mapInArrow(learn, "place int, weight double").collect()
     return {r["place"]: r["weight"] for r in found}
