@@ -19,6 +19,7 @@ ties and repeated rows get equal answers; extra columns pass through ``scan``; a
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +35,9 @@ KINDS = ("assign", "access", "hex", "entropy")
 
 WINDOW = 20
 CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{WINDOW},}}"
+#: Windows of a piece of a long candidate.
+PIECE = 1024
+SPAN, HIT = "struct<lo:int,hi:int>", "struct<lo:int,hi:int,hit:string>"
 HEX_CLASS = "^[0-9a-fA-F-]+$"
 #: Least entropy in bits per character, by class.
 HEX_BITS, BASE64_BITS = 2.9, 3.6
@@ -50,56 +54,85 @@ def bound(bits: float) -> int:
 HEX_SUM, BASE64_SUM = bound(HEX_BITS), bound(BASE64_BITS)
 
 
+def bound_to(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with the value computed once, however often it is used: lambda variables are the only such names."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def running(lengths: Column) -> Column:
+    """Running sums of an array: each of log2(n) passes adds the value 1, 2, 4, ... places before."""
+    passes = F.when(F.size(lengths) > 1, F.sequence(F.lit(0), F.ceil(F.log2(F.size(lengths))).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+    step = lambda acc, k: F.transform(acc, lambda x, i: x + F.coalesce(F.get(acc, i - F.call_function("shiftleft", F.lit(1), k)), F.lit(0)))
+    return F.aggregate(passes, lengths, step)
+
+
 def located(text: Column, pattern: str) -> Column:
-    """Array of (lo, hi, hit) of all matches. The segments between matches give the positions, which Spark has no function for."""
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    placed = F.aggregate(
-        F.arrays_zip(F.slice(gaps, 1, F.size(hits)).alias("gap"), hits.alias("hit")),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<lo:int,hi:int,hit:string>>").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["gap"]) + F.length(x["hit"])).alias("at"),
-            F.array_append(acc["out"], F.struct((acc["at"] + F.length(x["gap"])).alias("lo"), (acc["at"] + F.length(x["gap"]) + F.length(x["hit"])).alias("hi"), x["hit"].alias("hit"))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return F.when(F.size(hits) > 0, placed).otherwise(F.array().cast("array<struct<lo:int,hi:int,hit:string>>"))
+    """Array of (lo, hi, hit) of all matches, in time that grows with their number (and its logarithm).
 
+    The segments between matches give the positions, which Spark has no function for.
+    """
+    empty = F.array().cast(f"array<{HIT}>")
 
-def windows(hit: Column) -> Column:
-    """Array of (lo, hi), relative to the candidate: its merged windows of high entropy, by incremental counts."""
+    def placed(hits: Column) -> Column:
+        both = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits)), hits, lambda gap, hit: F.length(gap) + F.length(hit))
+        return F.zip_with(running(both), hits, lambda end, hit: F.struct((end - F.length(hit)).alias("lo"), end.alias("hi"), hit.alias("hit")))
+
+    return bound_to(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda hits: F.when(F.size(hits) > 0, placed(hits)).otherwise(empty))
+
+
+def slid(hit: Column, most: Column) -> Column:
+    """Array of (lo, hi): the merged windows of high entropy of a piece of at most ``PIECE`` windows, by incremental counts."""
     weights = F.array(*[F.lit(w).cast("long") for w in WEIGHTS])
-    chars = F.split(hit, "")
-    alphabet = F.array_distinct(chars)
+
+    def fold(known: Column) -> Column:
+        chars, alphabet = known["chars"], known["alphabet"]
+
+        def slide(acc: Column, k: Column) -> Column:
+            at = F.get(known["places"], k)
+            entered = F.transform(acc["counts"], lambda c, j: F.when(j == at, c + 1).otherwise(c))
+            old = F.get(acc["counts"], at)
+            total = acc["total"] + F.get(known["weights"], old + 1) - F.get(known["weights"], old)
+            gone = F.when(k >= WINDOW, F.get(known["places"], k - WINDOW)).otherwise(F.lit(-1))
+            # the character that leaves is counted after the one that enters
+            held = F.get(acc["counts"], gone) + F.when(gone == at, 1).otherwise(0)
+            total = total + F.when(gone >= 0, F.get(known["weights"], held - 1) - F.get(known["weights"], held)).otherwise(F.lit(0).cast("long"))
+            after = F.transform(entered, lambda c, j: F.when(j == gone, c - 1).otherwise(c))
+            high = (k >= WINDOW - 1) & (total <= most)
+            last = F.get(acc["out"], F.size(acc["out"]) - 1)
+            joined = F.coalesce(last["hi"] >= k - (WINDOW - 1), F.lit(False))
+            grown = F.array_append(
+                F.when(joined, F.slice(acc["out"], F.lit(1), F.size(acc["out"]) - 1)).otherwise(acc["out"]),
+                F.struct(F.when(joined, last["lo"]).otherwise(k - (WINDOW - 1)).alias("lo"), (k + 1).alias("hi")),
+            )
+            return F.struct(after.alias("counts"), total.alias("total"), F.when(high, grown).otherwise(acc["out"]).alias("out"))
+
+        start = F.struct(F.array_repeat(F.lit(0), F.size(alphabet)).alias("counts"), F.lit(0).cast("long").alias("total"), F.array().cast(f"array<{SPAN}>").alias("out"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(chars) - 1), start, slide, lambda acc: acc["out"])
+
+    def places(known: Column) -> Column:
+        where = F.transform(known["chars"], lambda c: F.array_position(known["alphabet"], c).cast("int") - 1)
+        return bound_to(F.struct(known["chars"], known["alphabet"], where.alias("places"), weights.alias("weights")), fold)
+
+    return bound_to(F.split(hit, ""), lambda chars: bound_to(F.struct(chars.alias("chars"), F.array_distinct(chars).alias("alphabet")), places))
+
+
+def windows(hit: Column) -> Column:
+    """Array of (lo, hi), relative to the candidate: its merged windows of high entropy.
+
+    A long candidate is taken in pieces of ``PIECE`` windows, and spans that touch over a cut are joined, so that the time
+    grows with its length.
+    """
     most = F.when(hit.rlike(HEX_CLASS), F.lit(HEX_SUM)).otherwise(F.lit(BASE64_SUM)).cast("long")
+    cuts = F.sequence(F.lit(0), F.length(hit) - WINDOW, F.lit(PIECE))
+    shifted = lambda at: F.transform(slid(F.substring(hit, at + 1, F.lit(PIECE + WINDOW - 1)), most), lambda w: F.struct((w["lo"] + at).alias("lo"), (w["hi"] + at).alias("hi")))
 
-    def enter(counts: Column, total: Column, place: Column, step: int) -> tuple[Column, Column]:
-        old = F.get(counts, place)
-        return F.transform(counts, lambda c, j: F.when(j == place, c + step).otherwise(c)), total + F.get(weights, old + step) - F.get(weights, old)
-
-    def slide(acc: Column, k: Column) -> Column:
-        at = F.array_position(alphabet, F.get(chars, k)).cast("int") - 1
-        entered, total = enter(acc["counts"], acc["total"], at, 1)
-        gone = F.when(k >= WINDOW, F.array_position(alphabet, F.get(chars, k - WINDOW)).cast("int") - 1).otherwise(F.lit(-1))
-        # the character that leaves is counted after the one that enters
-        held = F.get(acc["counts"], gone) + F.when(gone == at, 1).otherwise(0)
-        total = total + F.when(gone >= 0, F.get(weights, held - 1) - F.get(weights, held)).otherwise(F.lit(0).cast("long"))
-        after = F.transform(entered, lambda c, j: F.when(j == gone, c - 1).otherwise(c))
-        high = (k >= WINDOW - 1) & (total <= most)
-        last = F.get(acc["out"], F.size(acc["out"]) - 1)
-        joined = F.coalesce(last["hi"] >= k - (WINDOW - 1), F.lit(False))
-        grown = F.array_append(
-            F.when(joined, F.slice(acc["out"], 1, F.size(acc["out"]) - 1)).otherwise(acc["out"]),
-            F.struct(F.when(joined, last["lo"]).otherwise(k - (WINDOW - 1)).alias("lo"), (k + 1).alias("hi")),
-        )
-        return F.struct(after.alias("counts"), total.alias("total"), F.when(high, grown).otherwise(acc["out"]).alias("out"))
-
-    start = F.struct(
-        F.array_repeat(F.lit(0), F.size(alphabet)).alias("counts"),
-        F.lit(0).cast("long").alias("total"),
-        F.array().cast("array<struct<lo:int,hi:int>>").alias("out"),
-    )
-    return F.aggregate(F.sequence(F.lit(0), F.size(chars) - 1), start, slide, lambda acc: acc["out"])
+    def merged(spans: Column) -> Column:
+        last = F.size(spans) - 1
+        firsts = F.filter(spans, lambda s, i: (i == 0) | (F.get(spans, i - 1)["hi"] < s["lo"]))
+        lasts = F.filter(spans, lambda s, i: (i == last) | (F.get(spans, i + 1)["lo"] > s["hi"]))
+        return F.zip_with(firsts, lasts, lambda a, b: F.struct(a["lo"].alias("lo"), b["hi"].alias("hi")))
+
+    return F.when(F.length(hit) < PIECE + WINDOW, slid(hit, most)).otherwise(bound_to(F.flatten(F.transform(cuts, shifted)), merged))
 
 
 def scan(df: DataFrame, text: str = "text") -> DataFrame:
@@ -122,20 +155,26 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
 
 def redact(df: DataFrame, text: str = "text", spans: str = "secret_spans", mark: str = "[SECRET]") -> DataFrame:
     """Replace every span in ``text`` (overlapping ones as one) by ``mark``; texts without spans stay as they are."""
-    merged = F.aggregate(
-        F.col(spans),
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("done")),
-        lambda acc, s: F.struct(
-            F.greatest(acc["at"], s["hi"]).alias("at"),
-            F.when(s["lo"] > acc["at"], F.concat(acc["done"], F.substring(F.col(text), acc["at"] + 1, s["lo"] - acc["at"]), F.lit(mark)))
-            .when((s["hi"] > acc["at"]) & (acc["at"] == 0), F.concat(acc["done"], F.lit(mark)))
-            .when((s["lo"] == acc["at"]) & (s["hi"] > acc["at"]), F.concat(acc["done"], F.lit(mark)))
-            .otherwise(acc["done"])
-            .alias("done"),
-        ),
-        lambda acc: F.concat(acc["done"], F.substring(F.col(text), acc["at"] + 1, F.length(F.col(text)))),
-    )
-    return df.withColumn(text, F.when(F.size(spans) > 0, merged).otherwise(F.col(text)))
+
+    def marked(found: Column) -> Column:
+        # a span opens a mark unless one before reaches beyond its start; spans come by start
+        reach = F.transform(found, lambda s, i: F.struct(s["lo"].alias("lo"), s["hi"].alias("hi"), i.alias("i")))
+        return bound_to(reach, lambda r: bound_to(furthest(r), lambda far: cut(r, far)))
+
+    def furthest(r: Column) -> Column:
+        """The largest end of a span and all before it, by doubling steps."""
+        passes = F.when(F.size(r) > 1, F.sequence(F.lit(0), F.ceil(F.log2(F.size(r))).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+        step = lambda acc, k: F.transform(acc, lambda x, i: F.greatest(x, F.coalesce(F.get(acc, i - F.call_function("shiftleft", F.lit(1), k)), x)))
+        return F.aggregate(passes, F.transform(r, lambda s: s["hi"]), step)
+
+    def cut(r: Column, far: Column) -> Column:
+        opens = F.filter(r, lambda s: (s["i"] == 0) | (F.get(far, s["i"] - 1) < s["lo"]))
+        closes = F.filter(far, lambda end, i: (i == F.size(far) - 1) | (F.get(r, i + 1)["lo"] > end))
+        pieces = bound_to(F.struct(opens.alias("a"), closes.alias("b")), lambda g: F.transform(g["a"], lambda s, i: F.substring(F.col(text), F.coalesce(F.get(g["b"], i - 1), F.lit(0)) + 1, s["lo"] - F.coalesce(F.get(g["b"], i - 1), F.lit(0)))))
+        tail = F.substring(F.col(text), F.element_at(closes, -1) + 1, F.length(F.col(text)))
+        return F.concat(F.array_join(pieces, mark), F.lit(mark), tail)
+
+    return df.withColumn(text, F.when(F.size(spans) > 0, marked(F.col(spans))).otherwise(F.col(text)))
 
 
 def joined(spans: Column) -> Column:
