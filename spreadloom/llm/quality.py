@@ -5,7 +5,7 @@ Counts of a text (words are runs outside space and \\t-\\r):
 * ``n_words``, ``word_chars`` (code points in words), ``n_symbols`` (characters of ``#*$%&|<>``);
 * ``n_dup_lines``: lines with a word that equal an earlier line;
 * ``n_repeat_words``: words inside a window of three words that occurs twice or more in the text;
-* ``n_stop_words`` (whole lower-case words of a fixed list), ``n_lines`` (lines with a word).
+* ``n_stop_words`` (words of a fixed list, whatever their case and the marks around them), ``n_lines`` (lines with a word).
 
 Defined cases: a null or empty text has zero of everything and fails the base rule; rows are independent, so ties and
 repeated rows get equal answers; extra columns pass through ``score`` untouched; an empty table gives an empty table.
@@ -28,6 +28,8 @@ STOP_WORDS = (
     "con del el es lo los las no para por se su una y"
 ).split()
 
+#: Marks that may stand around a word.
+MARKS = ".,;:!?\"'()[]"
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 
@@ -98,7 +100,7 @@ def score(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, mi
             "n_lines": F.size("_lines").cast("long"),
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
             "n_repeat_words": F.coalesce(covered, F.lit(0)).cast("long"),
-            "n_stop_words": F.size(F.filter("_words", lambda w: w.isin(*STOP_WORDS))).cast("long"),
+            "n_stop_words": F.size(F.filter("_words", lambda w: F.lower(F.btrim(w, F.lit(MARKS))).isin(*STOP_WORDS))).cast("long"),
         }
     )
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
@@ -130,7 +132,7 @@ c AS (SELECT w.doc_id, len(words)::BIGINT AS n_words, length(array_to_string(wor
              (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
              (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, len(lines)::BIGINT AS n_lines,
              coalesce(r.n, 0)::BIGINT AS n_repeat_words,
-             len(list_filter(words, lambda x: x IN ({", ".join(f"'{x}'" for x in dict.fromkeys(STOP_WORDS))})))::BIGINT AS n_stop_words
+             len(list_filter(words, lambda x: lower(trim(x, '{MARKS.replace("'", "''")}')) IN ({", ".join(f"'{x}'" for x in dict.fromkeys(STOP_WORDS))})))::BIGINT AS n_stop_words
       FROM w LEFT JOIN r ON r.doc_id = w.doc_id),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_lines, n_repeat_words, n_stop_words, base_failed,
