@@ -122,6 +122,23 @@ def test_bpe(spark, sample):
     assert {r["doc_id"]: r["decoded"] for r in back} == {d: x or "" for d, x in docs(spark, sample)}
 
 
+def test_bpe_in_groups_of_blocks_and_without_files(spark, tmp_path):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    rows = [(k, f"alpha{k % 7} beta{k}, gamma {'x' * (k % 5)}\n" * 3) for k in range(200)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    table.write.parquet(str(tmp_path / "t"))
+    files = bpe.blocks(spark.read.parquet(str(tmp_path / "t")))
+    n = files.select("block").distinct().count()
+    assert n == 6
+    plain = bpe.encode_words(bpe.word_rows(files), path, n).collect()
+    grouped = bpe.encode_words(bpe.word_rows(files), path, n, held=50, groups=2).collect()
+    gathered = [sorted((b, w, i) for r in found for b, words, ids in bpe.unsealed(r["payload"]) for w, i in zip(words, ids)) for found in (plain, grouped)]
+    assert gathered[0] == gathered[1] and {r["block"] for r in plain} == {r["block"] for r in grouped}
+    got = {r["doc_id"]: r["ids"] for r in bpe.encode(table, path).collect()}
+    assert got == {k: tok.encode(x, add_special_tokens=False).ids for k, x in rows}
+
+
 def word_ids(end):
     tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     return lambda x: np.array([*tok.encode(x or "", add_special_tokens=False).ids, end], "<u4")
@@ -282,6 +299,39 @@ def test_neighbours(spark, tmp_path):
     assert {r["query_id"] for r in found} == set(range(0, 900, 20))
 
 
+def test_neighbours_visit_few_lists_of_clustered_vectors(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 24)) * 3
+    vectors = centres[rng.integers(0, 40, 6000)] + rng.normal(size=(6000, 24)) * 0.3
+    vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+    coarse = neighbours.fit(vectors.astype(np.float32), 1, 30)[0]
+    assert neighbours.probes(vectors, coarse, 10, "ip") <= 10
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    got = neighbours.neighbours(table, F.col("vec_id") % 100 == 0, 10, block_rows=200, depth=100).collect()
+    hits = 0
+    for q in range(0, 6000, 100):
+        scores = vectors @ vectors[q]
+        want = set([k for k in np.argsort(-scores) if k != q][:10])
+        own = [r for r in got if r["query_id"] == q]
+        assert all(abs(r["score"] - scores[r["vec_id"]]) < 1e-12 for r in own)
+        hits += len({r["vec_id"] for r in own} & want)
+    assert hits / 600 >= 0.9
+
+
+def test_neighbours_of_repeated_ids_and_a_hot_vector(spark):
+    rng = np.random.default_rng(4)
+    vectors = rng.normal(size=(300, 8)).astype(np.float32)
+    rows = [(k, v.tolist()) for k, v in enumerate(vectors)]
+    rows += [(20, vectors[7].tolist())] * 50 + [(1000 + k, vectors[9].tolist()) for k in range(400)] + [(40, (vectors[3] * 2).tolist())]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    found = [neighbours.neighbours(table, F.col("vec_id").isin(20, 40, 60), 20, block_rows=100, depth=20, all_lists=True).orderBy("query_id", "rank").collect() for _ in range(2)]
+    assert found[0] == found[1]
+    for q, own in ((20, min(vectors[20].tolist(), vectors[7].tolist())), (40, min(vectors[40].tolist(), (vectors[3] * 2).tolist())), (60, vectors[60].tolist())):
+        want = sorted(((-float(np.cumsum(np.array(v) * np.array(own))[-1]), d) for d, v in rows if d != q))[:20]
+        got = [(-r["score"], r["vec_id"]) for r in found[0] if r["query_id"] == q]
+        assert [d for _, d in got] == [d for _, d in want]
+
+
 def test_toxicity(spark, tmp_path):
     rng = np.random.default_rng(6)
     words = [f"w{k}" for k in range(500)]
