@@ -9,7 +9,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+#: Keys that are hot at most: those of more than one in HOT of all rows.
+HOT = 10_000
 _TOKENIZERS: dict[str, object] = {}
 
 
@@ -47,6 +50,17 @@ def discard(df: DataFrame) -> None:
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def join_frequent(rows: DataFrame, table: DataFrame, on: list[str], often: int) -> DataFrame:
+    """``rows`` joined with ``table`` (on..., n, more), which says that n rows have an entry's key.
+
+    Entries of more than ``often`` rows go to all tasks, so the rows of a hot key never meet in one. With ``often`` a
+    share of all rows, 1 / HOT, these are fewer than HOT entries, whatever the size of the table.
+    """
+    hot, rest = table.where(F.col("n") > often).drop("n"), table.where(F.col("n") <= often).drop("n")
+    cold = rows.join(F.broadcast(hot.select(on)), on, "left_anti").join(rest, on)
+    return rows.join(F.broadcast(hot), on).unionByName(cold)
+
+
 def rename(spark: SparkSession, source: str, target: str) -> None:
     """Rename through Hadoop's file system, the commit step of the writers."""
     path = spark._jvm.org.apache.hadoop.fs.Path

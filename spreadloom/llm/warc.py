@@ -29,14 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spreadloom.llm.common import discard, documents, file_system, materialise, rename, shared_folder
+from spreadloom.llm.common import HOT, discard, documents, file_system, join_frequent, materialise, rename, shared_folder
 from spreadloom.llm.sharding import KEY, deal, keyed, plan
 from spreadloom.llm.tokens import small_batches
 
 MIN_BYTES = 100
 #: Compressed bytes of a file, and payload bytes of a range, which compress to some four files.
 ROLL_BYTES, RANGE_BYTES = 16 << 20, 128 << 20
-HOT = 10_000
 #: The format's version line and the profile of a revisit.
 VERSION = b"WARC/1.1\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -121,12 +120,7 @@ def markers(digests: DataFrame) -> DataFrame:
     first = F.min(F.when(F.col("_key").isNotNull(), F.struct("_key", "_row", "url")))
     shared = digests.groupBy("digest").agg(first.alias("first"), F.count("*").alias("n")).where("n > 1")
     shared = materialise(shared.select("digest", F.col("first._key").alias("original"), F.col("first.url").alias("original_url"), "n"), "shared")
-    # at most HOT payloads have more than one in HOT of the records
-    often = digests.count() // HOT
-    hot, rest = shared.where(F.col("n") > often).drop("n"), shared.where(F.col("n") <= often).drop("n")
-    plain = digests.select("_key", "_mixed", "digest")
-    cold = plain.join(F.broadcast(hot.select("digest")), "digest", "left_anti").join(rest, "digest")
-    return plain.join(F.broadcast(hot), "digest").unionByName(cold).distinct()
+    return join_frequent(digests.select("_key", "_mixed", "digest"), shared, ["digest"], digests.count() // HOT).distinct()
 
 
 def write(df: DataFrame, key: str, url: str, payload: str, min_bytes: int = MIN_BYTES, roll_bytes: int = ROLL_BYTES, range_bytes: int = RANGE_BYTES, date: str = DATE) -> str:

@@ -409,11 +409,10 @@ def test_near_dedup_keeps_one_row_of_repeated_and_missing_ids(spark):
 def test_units_are_bounded_by_shingles_and_lose_no_rows(spark, tmp_path, monkeypatch):
     import pyarrow as pa
 
-    members = spark.createDataFrame([(1, k, 100) for k in range(40)], "grp long, id long, n long")
-    parts = [(r["x"], r["y"], r["id"]) for r in neardup.units(members, "grp", 1024, 500).collect()]
-    assert max(sum(p[:2] == (x, y) for p in parts) for x, y, _ in parts) <= 12
-    meet = {(a, b) for x, y, a in parts for u, v, b in parts if (x, y) == (u, v)}
-    assert len(meet) == 1600
+    members = spark.createDataFrame([(1, k, 100) for k in range(400)], "grp long, id long, n long")
+    parts = neardup.strips(neardup.sized(members, 4000), 4000)
+    assert parts.groupBy("x").agg(F.sum("n")).agg(F.max("sum(n)")).first()[0] <= 4 * 4000
+    assert parts.select("id").distinct().count() == 400
 
     class Split:
         num_rows, combine_chunks = 2, lambda self: pa.table({"a": pa.chunked_array([[1], [2]])})
@@ -422,3 +421,48 @@ def test_units_are_bounded_by_shingles_and_lose_no_rows(spark, tmp_path, monkeyp
         neardup.single(Split())
     monkeypatch.setattr(neardup, "SHINGLES", 700)
     test_near_duplicates_in_small_blocks(spark, tmp_path, monkeypatch)
+
+
+def test_near_duplicates_of_one_id_with_several_texts(spark, tmp_path):
+    a, b = (" ".join(f"{w}{k}" for k in range(60)) for w in "ab")
+    table = spark.createDataFrame([(1, a), (5, a), (5, b), (9, b), (11, "other words here")], "doc_id long, text string")
+    table.write.parquet(str(tmp_path / "documents.parquet"))
+    for docs_ in (table, spark.read.parquet(str(tmp_path / "documents.parquet"))):
+        got = neardup.near_duplicates(docs_, 2).collect()
+        assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in got) == [(1, 1, True), (5, 1, False), (5, 1, False), (9, 1, False), (11, 11, True)]
+
+
+def test_large_groups_meet_without_squares(spark):
+    """Exchanged rows of a hot group follow its size, and what lies outside its largest component still meets all of it."""
+    grown = []
+    for n in (6_000, 12_000, 24_000):
+        rows = spark.range(n).select(F.lit(1).cast("long").alias("grp"), "id", F.lit(100).cast("long").alias("n"))
+        units = neardup.strips(neardup.sized(rows))
+        grown.append(units.count())
+        assert units.groupBy("x").count().agg(F.max("count")).first()[0] <= 1.3 * neardup.BLOCK
+    assert all(n <= 1.05 * m for n, m in zip(grown, (6_000, 12_000, 24_000)))
+    groups = neardup.sized(spark.range(6_000).select(F.lit(1).cast("long").alias("grp"), "id", F.lit(100).cast("long").alias("n")))
+    found = spark.range(6_000).select(F.col("id").alias("node"), F.when(F.col("id") < 5, F.col("id")).otherwise(5).alias("component"))
+    units = [(r["x"], r["y"], r["id"]) for r in neardup.crossings(groups, found).collect()]
+    assert len(units) <= 6_000 + 5 * 12
+    meet = {(a, b) for x, y, a in units if a < 5 for u, v, b in units if (x, y) == (u, v)}
+    assert len(meet) == 5 * 6_000
+
+
+def test_hot_buckets_are_taken_apart_and_lose_no_link(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(14)
+    words = [f"w{k}" for k in range(4000)]
+    common = rng.choice(words, 30).tolist()
+    rows = []
+    for family in range(12):
+        base = common + rng.choice(words, 90).tolist()
+        for _ in range(30):
+            own = list(base)
+            for at in rng.choice(120, rng.integers(0, 9), replace=False):
+                own[at] = str(rng.choice(words))
+            rows.append((len(rows), " ".join(own)))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(neardup, "BLOCK", 12)
+    monkeypatch.setattr(neardup, "LEADERS", 3)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.op8_minhash_near_dedup(spark, str(tmp_path)).collect()}
+    assert got == brute.near(rows)
