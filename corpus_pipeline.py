@@ -15,12 +15,19 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep."""
+    """Documents that the rules keep, rows independent of each other: repeated rows stay or go alike, so do ties.
+
+    Null, empty and shorter texts than 50 words go, as the base rule says; null ids and other null columns do not matter.
+    """
     return quality.keep(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not predicted to be toxic, by a model learned from the labelled ones among them."""
+    """Documents that are not predicted to be toxic, by a model learned from the labelled ones among them.
+
+    Rows are independent once the model is learned, so repeated rows get one answer. A null or empty text has the bias
+    alone, and stays unless the bias itself is toxic; a null id has no label and is scored. Without a label all stay.
+    """
     weights = toxicity.train(docs, common.documents(spark, sf_dir, "labels"))
     return toxicity.score(docs.select(*COLUMNS), weights, COLUMNS).where("predicted = 0").select(*COLUMNS)
 
@@ -40,17 +47,24 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, each secret replaced by a mark; n_chars follows the text."""
+    """All documents, each secret replaced by a mark; n_chars follows the text where one was.
+
+    Null and empty texts have none and stay as they are; rows are independent, repeated ones stay and are equal.
+    """
     clean = secrets.redact(secrets.scan(docs.select(*COLUMNS)))
     length = F.when(F.size("secret_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return clean.select("doc_id", "text", "lang", "source", length.alias("n_chars"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of at most 4096 tokens."""
+    """The pieces of all documents, with their token ids, in sequences of at most 4096 tokens.
+
+    A document's ids end with id 2; one with a null or empty text is that id alone. Equal rows are packed as often as they
+    come, ties in length go by doc_id, start and number of the row, and a null doc_id is kept.
+    """
     import public_tokenizers
 
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), digests=True)
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [
