@@ -527,7 +527,11 @@ def vertical_harvest(cells: DataFrame) -> DataFrame:
 
 
 def survivors(blocks: list[tuple]) -> list:
-    """Blocks (block, entity, kind, verified, n_items, amounts) in order -> those kept."""
+    """Blocks (block, entity, kind, verified, n_items, amounts, admitted) in order -> those kept.
+
+    Of blocks that repeat each other's figures the best of an entity and kind stays; an unproven one must be admitted; then
+    a block goes most of whose figures better ones have.
+    """
     rank = lambda b: (b[3], b[4])
     groups: dict[tuple, list] = {}
     for b in blocks:
@@ -539,7 +543,7 @@ def survivors(blocks: list[tuple]) -> list:
         elif rank(b) > rank(rivals[twin]):
             rivals[twin] = b
     kept, seen = [], set()
-    for b in sorted((b for rivals in groups.values() for b in rivals), key=rank, reverse=True):
+    for b in sorted((b for rivals in groups.values() for b in rivals if b[3] or b[6]), key=rank, reverse=True):
         figures = [a for a in b[5] if a]
         if figures and 2 * sum(a in seen for a in figures) > len(figures):
             continue
@@ -551,10 +555,11 @@ def survivors(blocks: list[tuple]) -> list:
 def dedupe(blocks: DataFrame, amounts: DataFrame) -> DataFrame:
     """The blocks of each (doc, year) that survive: duplicates within one entity and kind, then restatements.
 
-    blocks (doc, year, block, entity, kind, verified, n_items), amounts (block, amounts array<long>).
+    blocks (doc, year, block, entity, kind, verified, n_items, admitted), amounts (block, amounts array<long>). Admitted are
+    those that were salvaged or whose entity reads like a business's.
     """
     run = lambda key, group: [(*key, b) for b in survivors(group)]
-    return per_group(blocks.join(amounts, "block"), ["doc", "year"], ["block"], ["entity", "kind", "verified", "n_items", "amounts"], run, "doc long, year int, block long")
+    return per_group(blocks.join(amounts, "block"), ["doc", "year"], ["block"], ["entity", "kind", "verified", "n_items", "amounts", "admitted"], run, "doc long, year int, block long")
 
 
 TOTAL_OF = {

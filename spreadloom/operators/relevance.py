@@ -18,10 +18,10 @@ KINDS = (
 LEAST_MONEY = 3
 
 
-def heading(d: Spark, x: str) -> str:
+def heading(d: Spark, x: str, pattern: str = f"{BALANCE}|{PROFIT}") -> str:
     """A statement named within the first ten characters of one of the first five lines, which is 80 long at most."""
-    lines = d.head(d.lines(x), 5)
-    return f"{d.size(d.kept(lines, f'length(e) <= 80 AND {d.match('e', rf'^.{{0,10}}({BALANCE}|{PROFIT})')}'))} > 0"
+    lines = d.mapped(d.head(d.lines(x), 5), d.replace("e", r"^\s+|\s+$"))
+    return f"{d.size(d.kept(lines, f'length(e) <= 80 AND {d.match('e', rf'^.{{0,10}}({pattern})')}'))} > 0"
 
 
 def kind(d: Spark, x: str, money: str) -> str:
@@ -57,9 +57,31 @@ def summary(d: Spark):
 
 
 def both_kinds(d: Spark):
-    near = f"max(CASE WHEN {d.match('text', BALANCE)} THEN 1 ELSE 0 END) = 1"
-    far = f"max(CASE WHEN {d.match('text', PROFIT)} THEN 1 ELSE 0 END) = 1"
-    return [("both_kinds", f"SELECT doc, {near} AND {far} AS has_both FROM pages_in GROUP BY doc")]
+    """Documents with a page headed as a balance sheet and one headed as a profit and loss account; a mention is no heading."""
+    some = lambda pattern: f"max(CASE WHEN {heading(d, 'text', pattern)} THEN 1 ELSE 0 END) = 1"
+    return [("both_kinds", f"SELECT doc, {some(BALANCE)} AND {some(PROFIT)} AS has_both FROM pages_in GROUP BY doc")]
+
+
+def widened(d: Spark):
+    """The pages to read again in full: those that a cheap reading selects, all where it lacks either statement's heading."""
+    return [
+        *selected(d),
+        *both_kinds(d),
+        ("widened", "SELECT pages_in.doc, pages_in.page, has_both, selected.page IS NOT NULL AS own FROM pages_in JOIN both_kinds ON pages_in.doc = both_kinds.doc LEFT JOIN selected ON pages_in.doc = selected.doc AND pages_in.page = selected.page WHERE selected.page IS NOT NULL OR NOT has_both"),
+    ]
+
+
+def retried(d: Spark):
+    """Documents whose selected pages gave no usable block: every page that was not read yet is read too.
+
+    ``usable`` (doc) names the documents with a block that was not failed.
+    """
+    anti = "LEFT ANTI JOIN" if d.name == "spark" else "ANTI JOIN"
+    return [
+        *selected(d),
+        ("unread", f"SELECT doc, page FROM pages_in {anti} selected USING (doc, page)"),
+        ("retried", f"SELECT doc, page FROM unread {anti} usable USING (doc)"),
+    ]
 
 
 def read_paths(d: Spark):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spreadloom.operators import trust
+from spreadloom.operators import trust, verification
 from spreadloom.plans.dialect import Spark
 
 #: The vocabulary of each kind.
@@ -140,7 +140,7 @@ CHECKS = (trust.balance, trust.against_statement, trust.against_computation, tru
 
 def subtotal_rows(d: Spark):
     """Rows whose first and last figures are equal."""
-    return [("row_ends", "SELECT block, section, count(*) AS n, min(amount) AS low, max(amount) AS high FROM lines_in GROUP BY block, section"), ("subtotal_rows", "SELECT block, section, low AS amount FROM row_ends WHERE n >= 2 AND high - low <= 2")]
+    return [verification.row_ends(d), ("subtotal_rows", "SELECT block, section, first_figure AS amount FROM row_ends WHERE n >= 2 AND abs(first_figure - last_figure) <= 2")]
 
 
 def transfers(d: Spark):

@@ -7,6 +7,7 @@ class Spark:
     """Spark SQL. Patterns are case-insensitive unless ``case`` is set; none uses look-around."""
 
     name = "spark"
+    newline = "'\\n'"
 
     def text(self, s: str) -> str:
         quote = '"' if "'" in s else "'"
@@ -77,6 +78,10 @@ class Spark:
         """A group's texts in order, as one text."""
         return f"listagg({x}, {self.text(by)}) WITHIN GROUP (ORDER BY {order})"
 
+    def in_order(self, x: str, order: str) -> str:
+        """A group's values as a list in order."""
+        return f"transform(sort_array(collect_list(struct({order} AS o, {x} AS x))), e -> e.x)"
+
     def sorted_list(self, x: str) -> str:
         return f"sort_array(collect_list({x}))"
 
@@ -107,6 +112,7 @@ class Duck(Spark):
     """DuckDB."""
 
     name = "duckdb"
+    newline = "chr(10)"
 
     def text(self, s: str) -> str:
         return "'" + s.replace("'", "''") + "'"
@@ -165,6 +171,9 @@ class Duck(Spark):
     def gathered(self, x: str, by: str, order: str) -> str:
         return f"string_agg({x}, {self.text(by)} ORDER BY {order})"
 
+    def in_order(self, x: str, order: str) -> str:
+        return f"list({x} ORDER BY {order})"
+
     def sorted_list(self, x: str) -> str:
         return f"list_sort(list({x}))"
 
