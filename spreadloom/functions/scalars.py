@@ -142,6 +142,7 @@ def identity(d: Spark, x: str) -> dict[str, str]:
     labelled = r"(assessment\s*year|\ba\.?\s*y\.?)\D{0,12}(20\d{2})\s*[-–/]\s*(\d{2})"
     bare = r"\b(20\d{2})\s*[-–]\s*(\d{2})\b"
     return {
+        "name": some(stripped(d, d.extract(x, r"(?:^|\n)\s*(?:name(?:\s*of\s*(?:the\s*)?(?:assessee|taxpayer))?)\s*[:\-]?\s*([A-Z][A-Za-z&.'\- ]{2,60}?)\s*(?:\n|$)"), " .-")),
         "pan": some(d.extract(f"upper({x})", r"\b([A-Z]{5}\d{4}[A-Z])\b", 1, True)),
         "ay": f"CASE WHEN {d.match(x, labelled)} THEN concat({d.extract(x, labelled, 2)}, '-', {d.extract(x, labelled, 3)}) WHEN {d.match(x, bare)} THEN concat({d.extract(x, bare, 1)}, '-', {d.extract(x, bare, 2)}) END",
         "form": some(f"{d.extract(x, r'\bitr\s*[-–]?\s*([1-7])\b')}"),

@@ -97,7 +97,7 @@ TOL_TNW, CURRENT_RATIO, COVER, DROP_AMBER, DROP_RED, MARGIN, CONTRADICTION = 3.0
 
 
 def flags(d: Spark, assessed: str = "TRUE", book_profit: str = "CAST(NULL AS BIGINT)") -> Relations:
-    """One row for each flag. ``assessed`` says whether a statement was used, ``book_profit`` is the computation's profit.
+    """One row for each flag, with what it says. ``assessed`` says whether a statement was used, ``book_profit`` is the computation's profit.
 
     The rules are a list of conditions over one windowed pass; every row meets a constant list of rule numbers.
     """
@@ -108,6 +108,23 @@ def flags(d: Spark, assessed: str = "TRUE", book_profit: str = "CAST(NULL AS BIG
         tol_tnw, current_ratio, interest_cover, pat_income, year - lag(year) {w} = 1 AS next, lag(pat_income) {w} AS p_margin,
         {change(d, 'sales_other_income', f'lag(sales_other_income) {w}')} AS g, {change(d, debt, f'lag({debt}) {w}')} AS gd,
         {change(d, 'total_current_liabilities', f'lag(total_current_liabilities) {w}')} AS gcl FROM joined AS vals"""
+    lakh = lambda x: f"concat({d.fixed(f'{x} / CAST(100000 AS DOUBLE)', 2)}, ' L')"
+    share = lambda x, places=0: f"concat({d.fixed(f'({x}) * 100', places)}, '%')"
+    turn = f"CASE WHEN g >= 0 THEN 'up ' ELSE 'down ' END, {share('abs(g)')}"
+    details = (
+        "'No reconciled statement for this year'",
+        f"concat('Profit before tax is ', {lakh('profit_before_tax')})",
+        f"concat('Net worth is ', {lakh('networth')}, ' - liabilities exceed assets')",
+        f"concat('TOL/TNW ', {d.fixed('tol_tnw', 2)}, ' is above {TOL_TNW}')",
+        f"concat('Current ratio ', {d.fixed('current_ratio', 2)}, ' is below {CURRENT_RATIO} - current liabilities exceed current assets')",
+        f"concat('Interest coverage ', {d.fixed('interest_cover', 2)}, 'x is below {COVER}x')",
+        f"concat('Statement gives ', {lakh('profit_before_tax')}, ' but the computation of income restates ', {lakh('book_profit')})",
+        f"concat('Revenue down ', {share('abs(g)')}, ' year on year')",
+        f"concat('Revenue down ', {share('abs(g)')}, ' year on year')",
+        f"concat('PAT margin ', {share('p_margin', 1)}, ' -> ', {share('pat_income', 1)})",
+        f"concat('Outside liabilities up ', {share('gd')}, ' against revenue ', {turn})",
+        f"concat('Current liabilities up ', {share('gcl')}, ' against revenue ', {turn}, ' - possible working-capital squeeze')",
+    )
     table = (
         ("Not assessable", "amber", "NOT assessed"),
         ("Loss-making", "red", "assessed AND profit_before_tax < 0"),
@@ -124,12 +141,13 @@ def flags(d: Spark, assessed: str = "TRUE", book_profit: str = "CAST(NULL AS BIG
     )
     fired = " ".join(f"WHEN {k} THEN {c}" for k, (_, _, c) in enumerate(table, 1))
     names = " ".join(f"WHEN {k} THEN '{n}'" for k, (n, _, _) in enumerate(table, 1))
+    told = " ".join(f"WHEN {k} THEN {x}" for k, x in enumerate(details, 1))
     colours = " ".join(f"WHEN {k} THEN {s if s.startswith('CASE') else repr(s)}" for k, (_, s, _) in enumerate(table, 1))
     return [
         ("joined", f"SELECT vals.*, {', '.join(n for n, *_ in T.RATIOS)} FROM vals JOIN ratios ON vals.entity = ratios.entity AND vals.year = ratios.year"),
         ("signals", rows),
         ("numbered", f"SELECT *, {d.each(d.series('1', str(len(table))))} AS rule FROM signals"),
-        ("flags", f"SELECT entity, year, CAST(rule AS INT) AS seq, CASE rule {colours} END AS severity, CASE rule {names} END AS flag FROM numbered WHERE CASE rule {fired} END"),
+        ("flags", f"SELECT entity, year, CAST(rule AS INT) AS seq, CASE rule {colours} END AS severity, CASE rule {names} END AS flag, CASE rule {told} END AS detail FROM numbered WHERE CASE rule {fired} END"),
     ]
 
 
@@ -171,11 +189,18 @@ def lineage(d: Spark, most: int = 25) -> Relations:
     ]
 
 
+#: An untagged line that is a tax, an owner's capital account.
+TAX_LINE = r"^\s*(?:\(\d\)\s*)?(current\s+(?:tax|year)|deferred\s+tax|tax\s+expenses?|income\s+tax)\s*$"
+CAPITAL_LINE = r"\bcapital\s+a/?c(?:count)?\b|(?:proprietor|partners?|owner)'?s?\s+capital"
+
+
 def tax_recovery(d: Spark) -> Relations:
-    """Untagged tax lines of a year without a tax bucket count when they are positive and below the profit."""
+    """Untagged tax lines of a year without a tax bucket count when they are positive and below the profit; the rows below follow."""
     return [
-        ("taxless", "SELECT entity, year, profit_before_tax FROM vals WHERE have_pl AND coalesce(provision_tax, 0) = 0"),
-        ("recovered", f"SELECT lines.entity, lines.year, CAST(sum(amount) AS BIGINT) AS provision_tax, max(profit_before_tax) AS profit_before_tax FROM lines JOIN taxless ON lines.entity = taxless.entity AND lines.year = taxless.year WHERE {d.match('label', r'\btax\b')} AND NOT {d.match('label', r'^\s*\[')} AND amount > 0 AND amount < profit_before_tax GROUP BY lines.entity, lines.year"),
+        ("taxless", "SELECT entity, year, profit_before_tax, preference_dividend, depreciation FROM vals WHERE have_pl AND coalesce(provision_tax, 0) = 0 AND coalesce(provision_deferred_tax, 0) = 0"),
+        ("found_tax", f"SELECT l.entity, l.year, CASE WHEN lower(label) LIKE '%deferred%' THEN amount END AS deferred, CASE WHEN lower(label) NOT LIKE '%deferred%' THEN amount END AS own FROM untagged AS l JOIN taxless ON l.entity = taxless.entity AND l.year = taxless.year WHERE {d.match('label', TAX_LINE)} AND amount > 0 AND amount < profit_before_tax"),
+        ("taxes", "SELECT entity, year, CAST(coalesce(sum(own), 0) AS BIGINT) AS provision_tax, CAST(coalesce(sum(deferred), 0) AS BIGINT) AS provision_deferred_tax FROM found_tax GROUP BY entity, year"),
+        ("recovered", "SELECT taxes.*, profit_before_tax, profit_before_tax - provision_tax - provision_deferred_tax AS profit_after_tax, profit_before_tax - provision_tax - provision_deferred_tax - preference_dividend AS profit_available, profit_before_tax - provision_tax - provision_deferred_tax + depreciation AS cash_profit FROM taxes JOIN taxless ON taxes.entity = taxless.entity AND taxes.year = taxless.year"),
     ]
 
 
@@ -189,17 +214,27 @@ def untaxed(d: Spark, status: str) -> Relations:
 
 
 def debit_capital(d: Spark) -> Relations:
-    """A capital line on the assets side is negative equity."""
-    capital = d.match("label", r"capital")
-    return [("moved", f"SELECT entity, year, seq, CASE WHEN side = 'right' AND {capital} THEN concat('[EQ] ', label, ' (debit balance)') ELSE label END AS label, CASE WHEN side = 'right' AND {capital} THEN -amount ELSE amount END AS amount FROM sided")]
+    """A capital line on the assets side of a two-sided balance sheet is negative equity; sections and other kinds stay."""
+    moved = f"kind = 'balance_sheet' AND section IS NULL AND side = 'right' AND {d.match('label', CAPITAL_LINE)}"
+    return [("moved", f"SELECT entity, year, seq, CASE WHEN {moved} THEN concat('[EQ] ', label, ' (debit balance)') ELSE label END AS label, CASE WHEN {moved} THEN -amount ELSE amount END AS amount FROM sided")]
 
 
 def reclassed(d: Spark) -> Relations:
-    """Generic long-term borrowings move to unsecured loans where an owners' note confirms the amount."""
+    """Generic long-term borrowings move to unsecured loans where an owners' note prints the amount.
+
+    ``notes`` (entity, line) are lines about owners' loans. A number of a line is the amount in rupees, thousands or lakhs,
+    of four digits at least, or that with two zeros of paise after it.
+    """
     generic = d.match("label", r"^\s*long[\s-]*term\s+borrowings?\s*$")
+    text = "STRING" if d.name == "spark" else "VARCHAR"
+    units = d.list(["1", "1000", "100000"])
     return [
         ("generic", f"SELECT entity, year, CAST(sum(amount) AS BIGINT) AS amount FROM by_label WHERE {generic} GROUP BY entity, year"),
-        ("confirmed", "SELECT generic.entity, generic.year, generic.amount FROM generic JOIN notes ON generic.entity = notes.entity AND generic.amount = notes.amount"),
+        ("in_units", f"SELECT *, {d.each(units)} AS unit FROM generic WHERE amount <> 0"),
+        ("forms", f"SELECT entity, year, amount, CAST(CAST(floor(abs(amount) / unit) AS BIGINT) AS {text}) AS form FROM in_units WHERE abs(amount) % unit = 0 AND abs(amount) / unit >= 1000"),
+        ("tokens", f"SELECT entity, {d.each(d.hits('line', r'\d[\d,]*'))} AS token FROM notes"),
+        ("numbers", "SELECT DISTINCT entity, replace(token, ',', '') AS digits FROM tokens"),
+        ("confirmed", "SELECT DISTINCT forms.entity, year, amount FROM forms JOIN numbers ON forms.entity = numbers.entity WHERE digits = form OR digits LIKE concat(form, '00%')"),
         ("moves", "SELECT entity, year, 'secured_loan_asset_financed' AS key, -amount AS amount FROM confirmed UNION ALL SELECT entity, year, 'unsecured_loans' AS key, amount FROM confirmed"),
         ("reclassed", "SELECT entity, year, key, CAST(sum(amount) AS BIGINT) AS amount FROM (SELECT entity, year, key, amount FROM buckets UNION ALL SELECT entity, year, key, amount FROM moves) AS s GROUP BY entity, year, key"),
     ]

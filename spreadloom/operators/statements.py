@@ -128,14 +128,14 @@ def repaired_separators(d: Spark):
 
 def all_checks(d: Spark):
     """Every check of a year, and what the failed ones dispute: rows that are read, not zero and not proven."""
-    names = ("balance", "against_statement", "against_computation", "into_capital")
+    names = ("section_totals", "balance", "against_statement", "against_computation", "into_capital", "printed_twice")
     return [
         ("all_checks", " UNION ALL ".join(f"SELECT entity, year, name, gap, status FROM {n}" for n in names)),
-        ("disputes", f"SELECT all_checks.entity, all_checks.year, name, status, gap, count(CASE WHEN rank IN (1, 2) THEN 1 END) AS disputed FROM all_checks LEFT JOIN ranks ON all_checks.entity = ranks.entity AND all_checks.year = ranks.year AND status = 'fail' GROUP BY all_checks.entity, all_checks.year, name, status, gap"),
+        ("disputes", f"SELECT all_checks.entity, all_checks.year, name, status, CAST(gap AS BIGINT) AS gap, count(CASE WHEN rank IN (1, 2) THEN 1 END) AS disputed FROM all_checks LEFT JOIN ranks ON all_checks.entity = ranks.entity AND all_checks.year = ranks.year AND status = 'fail' GROUP BY all_checks.entity, all_checks.year, name, status, gap"),
     ]
 
 
-CHECKS = (trust.balance, trust.against_statement, trust.against_computation, trust.into_capital)
+CHECKS = (trust.section_totals, trust.balance, trust.against_statement, trust.against_computation, trust.into_capital, trust.printed_twice)
 
 
 def subtotal_rows(d: Spark):
@@ -143,19 +143,74 @@ def subtotal_rows(d: Spark):
     return [verification.row_ends(d), ("subtotal_rows", "SELECT block, section, first_figure AS amount FROM row_ends WHERE n >= 2 AND abs(first_figure - last_figure) <= 2")]
 
 
+TRANSFER = r"gross\s+(?:pr\w{1,4}t|loss)|\b[cb]\s*/\s*[ofd]\b|\btrf\b"
+
+
 def transfers(d: Spark):
-    """Trading and profit accounts printed as one: the gross result carried down on one side and brought down on the other."""
-    gross = d.match("label", r"gross\s+(pr\w{1,4}t|loss)")
+    """Trading and profit accounts printed as one: the gross result carried down on one side and brought down on the other.
+
+    The account is split there: rows up to the carried line are the trading half, those after it the profit half, and the
+    halves balance without the pair, which stands once on each side.
+    """
     return [
-        ("carried", f"SELECT block, seq, side, amount FROM account_lines WHERE {gross}"),
-        ("transfers", "SELECT a.block, a.seq AS from_seq, b.seq AS to_seq, a.amount FROM carried AS a JOIN carried AS b ON a.block = b.block AND a.amount = b.amount AND a.side = 'left' AND b.side = 'right' AND a.seq < b.seq"),
+        ("carried", f"SELECT block, seq, side, amount FROM account_lines WHERE {d.match('label', TRANSFER)}"),
+        ("transfers", "SELECT a.block, min(a.seq) AS from_seq, min(b.seq) AS to_seq, a.amount FROM carried AS a JOIN carried AS b ON a.block = b.block AND a.amount = b.amount AND a.side = 'left' AND b.side = 'right' GROUP BY a.block, a.amount"),
     ]
 
 
-def name_words(d: Spark, stop: tuple[str, ...] = ("schedule", "forming", "part", "with", "from", "other", "total")):
-    """The words by which a schedule is known: four letters or more, without the common ones."""
-    words = d.kept(d.hits("lower(label)", r"[a-z]{4,}"), f"e NOT IN ({', '.join(map(repr, stop))})")
-    return [("name_words", f"SELECT label, {d.joined(words, ' ')} AS words, {d.size(words)} AS n FROM captions")]
+def combined(d: Spark):
+    """Combined accounts whose two sides agree across the whole, with a pair of transfers: the agreed sum is their total."""
+    return [
+        *transfers(d),
+        ("both_sums", "SELECT block, CAST(sum(CASE WHEN side = 'left' THEN amount ELSE 0 END) AS BIGINT) AS l, CAST(sum(CASE WHEN side = 'right' THEN amount ELSE 0 END) AS BIGINT) AS r FROM account_lines GROUP BY block"),
+        ("paired_blocks", "SELECT DISTINCT block FROM transfers"),
+        ("combined", "SELECT both_sums.block, l AS total, abs(l - r) <= 2 AND l <> 0 AS agreed FROM both_sums JOIN paired_blocks ON both_sums.block = paired_blocks.block"),
+    ]
+
+
+#: Words that name no schedule in particular, and the group lines that a schedule may stand for.
+NAME_STOP = ("expenses", "expense", "xpenses", "account", "charges", "other", "particulars", "amount", "total")
+EXPANDABLE = r"\b(?:direct|indirect|operating|operational|operation|administrative|admin|establishment|general|selling|manufacturing)\b.*\bexp"
+
+
+def known_words(d: Spark, x: str) -> str:
+    plain = d.replace(f"coalesce({x}, '')", r"^\[[A-Z]+\]\s*")
+    return d.unique(d.kept(d.hits(f"lower({plain})", r"[a-z]{4,}"), f"e NOT IN ({', '.join(map(repr, NAME_STOP))})"))
+
+
+def name_words(d: Spark):
+    """The words by which a schedule is known: four letters or more, each once, without its tag and the common ones."""
+    words = known_words(d, "label")
+    return [("name_words", f"SELECT label, {d.joined(f'{d.ordered(words)}', ' ')} AS words, {d.size(words)} AS n FROM captions")]
+
+
+def expansions(d: Spark):
+    """Group lines of a P&L that a schedule may stand for, and which.
+
+    ``faces`` (block, doc, scale, seq, label, amount) and ``offered`` (doc, sched_block, section, scale, name, total), verified
+    schedules of other pages. A schedule totals to the line within a printed unit and shares a word of its name.
+    ``offers`` has a line's schedules in order; ``expanded`` gives each line of a block, in order, the first one that no line
+    before took.
+    """
+    offered = "concat(CAST(sched_block AS STRING), ':', CAST(section AS STRING))".replace("STRING", "STRING" if d.name == "spark" else "VARCHAR")
+    steps = [
+        ("face_words", f"SELECT *, {known_words(d, 'label')} AS words FROM faces WHERE {d.match('label', EXPANDABLE)}"),
+        ("offer_words", f"SELECT *, {known_words(d, 'name')} AS names FROM offered"),
+        ("matches", f"SELECT f.block, f.seq, sched_block, section, {offered} AS offer FROM face_words AS f JOIN offer_words AS o ON f.doc = o.doc AND f.block <> o.sched_block AND abs(o.total - f.amount) <= greatest(2, f.scale, o.scale) WHERE {d.size(d.common('words', 'names'))} > 0"),
+        ("offers", f"SELECT block, seq, {d.in_order('offer', 'struct(sched_block, section)' if d.name == 'spark' else 'sched_block, section')} AS offers FROM matches GROUP BY block, seq"),
+    ]
+    if d.name != "spark":
+        return steps
+    return [
+        *steps,
+        ("ordered", "SELECT block, sort_array(collect_list(struct(seq, offers))) AS wanted FROM offers GROUP BY block"),
+        (
+            "folded",
+            """SELECT block, aggregate(wanted, CAST(array() AS ARRAY<STRUCT<seq: BIGINT, offer: STRING>>),
+          (acc, w) -> array_append(acc, named_struct('seq', w.seq, 'offer', get(filter(w.offers, o -> NOT exists(acc, t -> coalesce(t.offer = o, FALSE))), 0)))) AS given FROM ordered""",
+        ),
+        ("expanded", "SELECT block, t.seq, t.offer FROM folded LATERAL VIEW explode(given) AS t WHERE t.offer IS NOT NULL"),
+    ]
 
 
 def overridden(d: Spark):
@@ -165,12 +220,23 @@ def overridden(d: Spark):
     return [("overridden", f"SELECT label_keys.label, coalesce(key, CASE WHEN given_key IN ({', '.join(map(repr, INPUTS))}) THEN given_key END) AS key FROM label_keys LEFT JOIN overrides ON label_keys.label = overrides.given_label")]
 
 
-def cell_notes(d: Spark, most: int = 4):
-    """Notes of input cells: what is unread or doubtful, with up to ``most`` source lines, largest first."""
+def cell_notes(d: Spark, most: int = 25):
+    """Notes of input cells: what is unread or doubtful, with up to ``most`` source lines, largest first, and how many more.
+
+    ``formula`` is the figure as the sum of its lines, in lakhs, where several add up to it within a rupee.
+    """
+    lakhs = d.replace(d.replace(d.fixed("counted / CAST(100000 AS DOUBLE)", 5), ","), r"\.?0+$")
     return [
-        ("sources_of", "SELECT entity, year, key, label, counted, row_number() OVER (PARTITION BY entity, year, key ORDER BY abs(counted) DESC, label) AS k FROM mapped WHERE key IS NOT NULL"),
-        ("noted", f"SELECT entity, year, key, {d.gathered('label', ' + ', 'k')} AS note, count(*) AS n FROM sources_of WHERE k <= {most} GROUP BY entity, year, key"),
-        ("cell_notes", f"SELECT ranks.entity, ranks.year, ranks.key, {trust.name('rank')} AS level, CASE WHEN rank = 0 THEN 'red' WHEN rank = 1 THEN 'amber' END AS fill, note, n FROM ranks LEFT JOIN noted ON ranks.entity = noted.entity AND ranks.year = noted.year AND ranks.key = noted.key"),
+        ("sources_of", f"SELECT mapped.entity, mapped.year, mapped.key, label, counted, {lakhs} AS term, row_number() OVER (PARTITION BY mapped.entity, mapped.year, mapped.key ORDER BY abs(counted) DESC, label) AS k FROM mapped WHERE key IS NOT NULL AND key <> '__ignored__'"),
+        ("sums_of", f"SELECT entity, year, key, count(*) AS n, CAST(sum(counted) AS BIGINT) AS total, {d.gathered('term', '+', 'k')} AS terms FROM sources_of GROUP BY entity, year, key"),
+        ("noted", f"SELECT entity, year, key, {d.gathered('label', ' + ', 'k')} AS note FROM sources_of WHERE k <= {most} GROUP BY entity, year, key"),
+        (
+            "cell_notes",
+            f"""SELECT ranks.entity, ranks.year, ranks.key, {trust.name('rank')} AS level, CASE WHEN rank = 0 THEN 'red' WHEN rank = 1 THEN 'amber' END AS fill, CASE WHEN n > {most} THEN concat(note, ' + more') ELSE note END AS note, n,
+          CASE WHEN n > 1 AND abs(total - amount) <= 1 THEN concat('=', replace(terms, '+-', '-')) END AS formula FROM ranks
+          LEFT JOIN noted ON ranks.entity = noted.entity AND ranks.year = noted.year AND ranks.key = noted.key LEFT JOIN sums_of ON ranks.entity = sums_of.entity AND ranks.year = sums_of.year AND ranks.key = sums_of.key
+          LEFT JOIN buckets ON ranks.entity = buckets.entity AND ranks.year = buckets.year AND ranks.key = buckets.key""",
+        ),
     ]
 
 

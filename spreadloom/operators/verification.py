@@ -10,7 +10,6 @@ from spreadloom.plans.dialect import Spark
 
 #: Rupees that a sum may miss, the share a salvaged section may miss, words of an income line.
 TOLERANCE, SALVAGE = 2, 0.005
-STOP = "'schedule', 'forming', 'part', 'with', 'from', 'other', 'total'"
 ASSETS_TOTAL = r"total\s+assets\b"
 LIABILITIES_TOTAL = r"total\s+equity\s+(?:and|&)\s+liabilit|total\s+liabilit\w*\s+(?:and|&)\s+equity"
 REVENUE_TOTAL = r"total\s+revenue|total\s+income\b|^\s*(?:[A-Z]{1,4}\s*[\].):]\s*|[IVX]{1,4}\s+)?(?:income|revenue)\s*[:\-\s]*$"
@@ -173,20 +172,3 @@ def segments(d: Spark):
 def schedules(d: Spark):
     """Groups between a heading and their own total; verified when the items add up to it within max(2, n) units."""
     return [("groups", "SELECT block, section, count(*) AS n, CAST(sum(amount) AS BIGINT) AS items, max(total) AS total FROM lines_in GROUP BY block, section"), ("schedules", "SELECT groups.block, section, n, items, total, coalesce(abs(items - total) <= greatest(2, n) * scale, FALSE) AS verified FROM groups JOIN blocks_in ON groups.block = blocks_in.block")]
-
-
-def schedule_match(d: Spark):
-    """Each face line takes a verified schedule of its document that totals to it and shares a word of its name; each is used once.
-
-    ``faces``: block, doc, seq, label, amount; ``offered``: doc, sched_block, section, name, total. Candidates are ordered by
-    line and by schedule; a line takes its first, unless an earlier line took that.
-    """
-    words = lambda x: d.unique(d.kept(d.hits(f"lower(coalesce({x}, ''))", r"[a-z]{4,}"), f"e NOT IN ({STOP})"))
-    return [
-        ("face_words", f"SELECT *, {words('label')} AS words FROM faces"),
-        ("offer_words", f"SELECT *, {words('name')} AS names FROM offered"),
-        ("matches", f"SELECT f.doc, f.block, f.seq, sched_block, section, {d.size(d.common('words', 'names'))} AS shared FROM face_words AS f JOIN offer_words AS o ON f.doc = o.doc AND f.amount = o.total AND f.block <> o.sched_block"),
-        ("ranked", "SELECT *, row_number() OVER (PARTITION BY block, seq ORDER BY shared DESC, sched_block, section) AS k FROM matches WHERE shared > 0"),
-        ("wanted", "SELECT *, row_number() OVER (PARTITION BY doc, sched_block, section ORDER BY block, seq) AS turn FROM ranked WHERE k = 1"),
-        ("taken", "SELECT block, seq, sched_block, section FROM wanted WHERE turn = 1"),
-    ]

@@ -78,6 +78,13 @@ class Spark:
         """A group's texts in order, as one text."""
         return f"listagg({x}, {self.text(by)}) WITHIN GROUP (ORDER BY {order})"
 
+    def fixed(self, x: str, places: int) -> str:
+        """A number with so many decimals and commas."""
+        return f"format_number({x}, {places})"
+
+    def ordered(self, x: str) -> str:
+        return f"array_sort({x})"
+
     def in_order(self, x: str, order: str) -> str:
         """A group's values as a list in order."""
         return f"transform(sort_array(collect_list(struct({order} AS o, {x} AS x))), e -> e.x)"
@@ -171,6 +178,12 @@ class Duck(Spark):
     def gathered(self, x: str, by: str, order: str) -> str:
         return f"string_agg({x}, {self.text(by)} ORDER BY {order})"
 
+    def fixed(self, x: str, places: int) -> str:
+        return f"format('{{:,.{places}f}}', {x})"
+
+    def ordered(self, x: str) -> str:
+        return f"list_sort({x})"
+
     def in_order(self, x: str, order: str) -> str:
         return f"list({x} ORDER BY {order})"
 

@@ -130,6 +130,17 @@ raised AS (
   UNION ALL SELECT entity, year, 12, 'amber', 'Payables stretching' FROM signs WHERE assessed AND follows AND gc > 0.5 AND gc - g > 0.4)"""
 
 
+UPDOWN = "if(g >= 0, 'up', 'down') || format(' {:,.0f}%', abs(g) * 100)"
+#: What each flag says.
+TOLD = f"""CASE seq WHEN 1 THEN 'No reconciled statement for this year' WHEN 2 THEN format('Profit before tax is {{:,.2f}} L', profit_before_tax / 100000)
+  WHEN 3 THEN format('Net worth is {{:,.2f}} L - liabilities exceed assets', networth / 100000) WHEN 4 THEN format('TOL/TNW {{:,.2f}} is above 3.0', tol_tnw)
+  WHEN 5 THEN format('Current ratio {{:,.2f}} is below 1.0 - current liabilities exceed current assets', current_ratio) WHEN 6 THEN format('Interest coverage {{:,.2f}}x is below 1.5x', interest_cover)
+  WHEN 7 THEN format('Statement gives {{:,.2f}} L but the computation of income restates {{:,.2f}} L', profit_before_tax / 100000, book / 100000)
+  WHEN 8 THEN format('Revenue down {{:,.0f}}% year on year', abs(g) * 100) WHEN 9 THEN format('Revenue down {{:,.0f}}% year on year', abs(g) * 100)
+  WHEN 10 THEN format('PAT margin {{:,.1f}}% -> {{:,.1f}}%', m0 * 100, pat_income * 100) WHEN 11 THEN format('Outside liabilities up {{:,.0f}}% against revenue ', gd * 100) || {UPDOWN}
+  WHEN 12 THEN format('Current liabilities up {{:,.0f}}% against revenue ', gc * 100) || {UPDOWN} || ' - possible working-capital squeeze' END"""
+
+
 def growths(names: tuple[str, ...], consecutive: bool) -> str:
     """Change against an entity's column before; with ``consecutive`` only where that is the year before."""
     table = "(SELECT *, row_number() OVER (PARTITION BY entity ORDER BY year) AS k FROM vals)"
@@ -153,8 +164,8 @@ SQL: dict[str, str] = {
     "trends_customers": f"WITH {year_rows('o_custkey')} " + growths(("sales_other_income", "gross_expenses", "profit_before_tax", "profit_after_tax", "cash_profit", "networth", "total_assets", "total_current_liabilities"), True),
     "cagr": f"""WITH {year_rows()}, sold AS (SELECT entity, min_by(year, year) AS y0, min_by(sales_other_income, year) AS v0, max_by(year, year) AS y1, max_by(sales_other_income, year) AS v1 FROM vals WHERE sales_other_income <> 0 GROUP BY entity)
       SELECT entity, CASE WHEN y1 > y0 AND v0 > 0 AND v1 > 0 THEN round((v1 / v0) ** (1.0 / (y1 - y0)) - 1, 10) END AS cagr FROM sold""",
-    "flags": f"WITH {flagged()} SELECT entity, year, seq, severity, flag FROM raised",
-    "flags_customers": f"WITH {flagged('o_custkey')} SELECT entity, year, seq, severity, flag FROM raised",
+    "flags": f"WITH {flagged()} SELECT raised.*, {TOLD} AS detail FROM raised JOIN signs USING (entity, year)",
+    "flags_customers": f"WITH {flagged('o_custkey')} SELECT raised.*, {TOLD} AS detail FROM raised JOIN signs USING (entity, year)",
 }
 
 # ---- verification: the same statements as the catalogue makes of orders, from the tables
@@ -221,6 +232,16 @@ SQL |= {
       SELECT e.block, e.side, e.seq::BIGINT AS seq, e.amount, NOT e.chosen AS of_group FROM e JOIN t ON e.block = t.block AND e.side = t.side AND t.i = e.i - (e.i - 1) % 3 WHERE if(e.chosen, taken IS NULL, e.i <= t.i + taken)""",
 }
 
+SQL |= {
+    "schedule_match": f"""WITH RECURSIVE {sheets("l_quantity")}, face AS (SELECT item.block, doc, scale, seq, amount, if(seq % 3 = 0, 'indirect', 'selling') AS word FROM item JOIN sheet ON item.block = sheet.block WHERE seq % 3 < 2),
+      sched AS (SELECT doc, sect.block AS sb, section, sect.scale, [['indirect'], ['selling'], [], ['indirect', 'selling']][sect.block % 4 + 1] AS words, total FROM sect JOIN sheet ON sect.block = sheet.block WHERE total IS NOT NULL AND abs(items - total) <= greatest(2, n) * sheet.scale),
+      want AS (SELECT face.block, seq, list(sb || ':' || section ORDER BY sb, section) AS offers FROM face JOIN sched ON face.doc = sched.doc AND block <> sb AND list_contains(words, word) AND abs(total - amount) <= greatest(2, face.scale, sched.scale) GROUP BY face.block, seq),
+      turn AS (SELECT *, row_number() OVER (PARTITION BY block ORDER BY seq) AS i FROM want),
+      step AS (SELECT block, i, seq, offers[1] AS offer, [offers[1]] AS taken FROM turn WHERE i = 1
+        UNION ALL SELECT t.block, t.i, t.seq, list_filter(t.offers, lambda o: NOT list_contains(s.taken, o))[1], s.taken || list_filter(t.offers, lambda o: NOT list_contains(s.taken, o))[1:1] FROM step s JOIN turn t ON s.block = t.block AND t.i = s.i + 1)
+      SELECT block, seq, offer FROM step WHERE offer IS NOT NULL""",
+}
+
 # ---- pooling: files, printings and years
 
 FILES = """file AS (SELECT c_custkey AS doc, c_custkey // 3 AS case_id, if(c_custkey % 5 = 0, NULL, 1995 + c_custkey % 7)::INT AS ay, if(c_custkey % 2 = 0, 'Messrs ' || c_name, c_name) AS name FROM customer
@@ -296,10 +317,45 @@ SQL |= {
     "chk_profit_statement": f"""WITH {year_rows()}, said AS (SELECT entity, year, arg_min(amount, (seq, amount)) AS p FROM line WHERE label = '[EXP] Net Profit for the year' GROUP BY ALL)
       SELECT vals.entity, vals.year, 'profit as printed' AS name, abs(p) - abs(profit_before_tax) AS gap, CASE WHEN p IS NULL OR profit_before_tax IS NULL THEN 'skip' WHEN abs(abs(p) - abs(profit_before_tax)) <= 500 AND (p < 0) = (profit_before_tax < 0) THEN 'pass' ELSE 'fail' END AS status FROM vals LEFT JOIN said USING (entity, year)""",
     "chk_profit_computation": f"""WITH {year_rows()} SELECT entity, year, 'profit as computed for tax' AS name, CASE WHEN year % 3 = 0 THEN NULL WHEN year % 2 = 0 THEN 500 ELSE 5000 END + 0 * profit_before_tax AS gap, CASE WHEN year % 3 = 0 OR profit_before_tax IS NULL THEN 'skip' WHEN year % 2 = 0 THEN 'pass' ELSE 'fail' END AS status FROM vals""",
-    "chk_profit_into_capital": f"""WITH {year_rows('o_custkey')}, paid AS (SELECT entity, year, count(*) AS n, max(amount) AS p FROM line WHERE label = '[EQ] Profit for the Year' GROUP BY ALL) """
+    "chk_section_totals": f"""WITH {year_rows()}, m AS (SELECT entity, year, sum(if(year % 4 = 0 AND n % 3 = 0, n, 0)) AS gap, bool_or(year % 4 = 0 AND n % 3 = 0) AS off FROM bylabel WHERE year % 5 <> 0 GROUP BY ALL)
+      SELECT entity, year, 'section totals' AS name, gap::BIGINT AS gap, CASE WHEN off IS NULL THEN 'skip' WHEN off THEN 'fail' ELSE 'pass' END AS status FROM vals LEFT JOIN m USING (entity, year)""",
+    "chk_profit_into_capital": f"""WITH {year_rows('o_custkey')}, paid AS (SELECT entity, year, count(*) AS n, max(amount) AS p FROM line WHERE label = '[EQ] Profit for the Year' AND flag <> 'R' GROUP BY ALL) """
     + against("profit into capital", "abs(p) - abs(profit_after_tax)", "n IS NULL OR n > 1 OR profit_after_tax IS NULL", NEAR.format("profit_after_tax"), "vals LEFT JOIN paid USING (entity, year)"),
 }
 
+MAIN, OTHER = "flag = 'N'", "flag <> 'N'"
+NAMED_RESULT = "label = '[EXP] Net Profit for the year'"
+OFF = " + ".join(f"(abs(m.{t} - o.{t}) > {NEAR.format(f'o.{t}')})::INT" for t in ("gr", "ge", "tl", "ta"))
+
+
+def printing(test: str) -> str:
+    total = lambda names: f"sum(if(key IN {names if len(names) > 1 else f'({q(names[0])})'}, amount, 0))"
+    return f"SELECT entity, year, {total(SALES)} AS gr, {total(COSTS)} AS ge, {total(OWED)} AS tl, {total(OWNED)} AS ta FROM line WHERE {test} GROUP BY ALL"
+
+
+CHECKS = f"""{TRUST}, mp AS ({printing("flag = 'N'")}), op AS ({printing("flag <> 'N'")}),
+said AS (SELECT entity, year, arg_min(amount, (seq, amount)) AS p FROM line WHERE {NAMED_RESULT} GROUP BY ALL),
+paid AS (SELECT entity, year, count(*) AS n, max(amount) AS p FROM line WHERE label = '[EQ] Profit for the Year' AND flag <> 'R' GROUP BY ALL),
+missed AS (SELECT entity, year, sum(if(year % 4 = 0 AND n % 3 = 0, n, 0)) AS gap, bool_or(year % 4 = 0 AND n % 3 = 0) AS off FROM bylabel WHERE year % 5 <> 0 GROUP BY ALL),
+tests AS (
+  SELECT entity, year, 'section totals' AS name, gap::BIGINT AS gap, CASE WHEN off IS NULL THEN 'skip' WHEN off THEN 'fail' ELSE 'pass' END AS status FROM vals LEFT JOIN missed USING (entity, year)
+  UNION ALL {against("sheet balances", "total_liabilities - total_assets", "total_liabilities IS NULL OR total_assets IS NULL OR greatest(abs(total_liabilities), abs(total_assets)) = 0", NEAR.format("greatest(abs(total_liabilities), abs(total_assets))"))}
+  UNION ALL SELECT entity, year, 'profit as printed', abs(p) - abs(profit_before_tax), CASE WHEN p IS NULL OR profit_before_tax IS NULL THEN 'skip' WHEN abs(abs(p) - abs(profit_before_tax)) <= 500 AND (p < 0) = (profit_before_tax < 0) THEN 'pass' ELSE 'fail' END FROM vals LEFT JOIN said USING (entity, year)
+  UNION ALL SELECT entity, year, 'profit as computed for tax', CASE WHEN year % 3 = 0 THEN NULL WHEN year % 2 = 0 THEN 500 ELSE 5000 END + 0 * profit_before_tax, CASE WHEN year % 3 = 0 OR profit_before_tax IS NULL THEN 'skip' WHEN year % 2 = 0 THEN 'pass' ELSE 'fail' END FROM vals
+  UNION ALL {against("profit into capital", "abs(p) - abs(profit_after_tax)", "n IS NULL OR n > 1 OR profit_after_tax IS NULL", NEAR.format("profit_after_tax"), "vals LEFT JOIN paid USING (entity, year)")}
+  UNION ALL SELECT m.entity, m.year, 'same year printed twice', {OFF}, if({OFF} = 0, 'pass', 'fail') FROM mp m JOIN op o ON m.entity = o.entity AND m.year = o.year)"""
+PAIRS = [(k, k) for k in (*RESULT_ROWS, *SHEET_ROWS)] + [(k, x) for k, v in BELOW.items() for x in v]
+SQL |= {
+    "chk_same_year_twice": f"WITH {ledger()}, mp AS ({printing(MAIN)}), op AS ({printing(OTHER)}) SELECT m.entity, m.year, 'same year printed twice' AS name, ({OFF})::BIGINT AS gap, if({OFF} = 0, 'pass', 'fail') AS status FROM mp m JOIN op o ON m.entity = o.entity AND m.year = o.year",
+    "all_checks": f"WITH {CHECKS} SELECT tests.entity, tests.year, name, status, gap::BIGINT AS gap, (SELECT count(*) FROM grid WHERE status = 'fail' AND grid.entity = tests.entity AND grid.year = tests.year AND rank IN (1, 2)) AS disputed FROM tests",
+    "checked_trust": f"""WITH {CHECKS}, amounts AS (UNPIVOT (SELECT entity, year, {", ".join((*RESULT_ROWS, *SHEET_ROWS))} FROM vals) ON COLUMNS(* EXCLUDE (entity, year)) INTO NAME key VALUE amount),
+      doubt AS (SELECT grid.entity, grid.year, grid.key, name FROM grid JOIN amounts USING (entity, year, key) JOIN tests ON grid.entity = tests.entity AND grid.year = tests.year WHERE status = 'fail' AND rank IN (1, 2) AND amount <> 0
+        AND CASE name WHEN 'sheet balances' THEN key IN {SHEET_ROWS} WHEN 'section totals' THEN rank = 1 WHEN 'same year printed twice' THEN TRUE ELSE key IN {RESULT_ROWS} END),
+      now AS (SELECT grid.entity, grid.year, grid.key, if(count(name) > 0, 1, any_value(rank)) AS rank, list(name) FILTER (name IS NOT NULL) AS names FROM grid LEFT JOIN doubt ON grid.entity = doubt.entity AND grid.year = doubt.year AND grid.key = doubt.key GROUP BY ALL),
+      below AS (SELECT * FROM (VALUES {", ".join(f"('{a}', '{b}')" for a, b in PAIRS)}) v(up, down))
+      SELECT entity, year, up AS key, {LEVEL.format('min(rank)')} AS level, if(min(rank) = 1, coalesce(array_to_string(list_sort(list_distinct(flatten(list(names) FILTER (rank = 1 AND names IS NOT NULL)))), '; '), ''), '') AS reasons FROM now JOIN below ON key = down GROUP BY entity, year, up""",
+}
+
 # ---- relevance
 
 SHEET_WORDS, RESULT_WORDS = r"\bbalance\s*sheet\b", r"\bprof[il]t\s*(&|and)\s*loss\b|\bincome\s*(&|and)\s*expenditure\b|\btrading\s*(&|and)\s*prof[il]t\b|\breceipts?\s*(&|and)\s*payments?\b|\bstatement\s+of\s+prof[il]t\b"

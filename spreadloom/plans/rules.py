@@ -95,18 +95,18 @@ CONVENTIONS = (
 )
 #: Section captions and their tags, first match.
 SECTIONS = (
-    (r"non[\s-]*current\s+liabilit", "NCL"),
-    (r"non[\s-]*current\s+asset", "NCA"),
-    (r"current\s+liabilit", "CL"),
-    (r"current\s+asset", "CA"),
-    (r"shareholders?'?s?\s+funds?|(proprietor|partner|owner)'?s?'?\s+capital|^\s*capital\s+account", "EQ"),
-    (r"^\s*(\(?[a-z]\)|[ivx]+[.)])?\s*(expenses?|expenditure)\s*:?\s*$", "EXP"),
-    (r"^\s*(\(?[a-z]\)|[ivx]+[.)])?\s*(incomes?|revenue)\s*:?\s*$", "INC"),
-    (r"^\s*secured\s+loans?\s*:?\s*$", "SL"),
-    (r"^\s*unsecured\s+loans?\s*:?\s*$", "UL"),
+    (r"non\s*-?\s*current\s+liabilit", "NCL"),
+    (r"non\s*-?\s*current\s+asset", "NCA"),
+    (r"\bcurrent\s+liabilit", "CL"),
+    (r"\bcurrent\s+asset", "CA"),
+    (r"shareholders?'?\s+fund|(?:proprietor|partners?|owner)'?s?\s+capital|^\s*capital\s+a/?c(?:count)?\b", "EQ"),
+    (r"^\s*(?:[A-Z]{1,4}\s*[\].):]\s*|[IVX]{1,4}\s+)?expen(?:ses?|diture)\s*[:\-\s]*$", "EXP"),
+    (r"^\s*(?:[A-Z]{1,4}\s*[\].):]\s*|[IVX]{1,4}\s+)?(?:income|revenue)\s*[:\-\s]*$", "INC"),
+    (r"^\s*secured\s+loan\s*:?\s*$", "SL"),
+    (r"^\s*unsecured\s+loan\s*:?\s*$", "UL"),
     (r"^\s*fixed\s+assets?\s*:?\s*$", "FA"),
     (r"^\s*investments?\s*:?\s*$", "INV"),
-    (r"equity\s+and\s+liabilities|\bloans?\s*\(\s*liabilit", "LIAB"),
+    (r"\bequity\s*(?:&|and)\s*liabilit|^\s*loans?\s*\(\s*liabilit", "LIAB"),
 )
 
 
