@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from itertools import combinations, groupby
 from operator import itemgetter
 from statistics import median
@@ -137,6 +138,7 @@ _RUN = re.compile(rf"^{_TOKEN}(?:\s+{_TOKEN})+$")
 _SECTIONS = [(re.compile(p, re.I), tag) for p, tag in rules.SECTIONS]
 
 
+@lru_cache(maxsize=1 << 14)
 def skipped(text: str) -> bool:
     return bool(re.match(scalars.SKIP, text, re.I)) and not re.match(scalars.OUTSTANDING, text, re.I)
 
@@ -147,6 +149,7 @@ def number(raw: str) -> float | None:
     return float(found[0]) if found else None
 
 
+@lru_cache(maxsize=1 << 14)
 def amount(text: str) -> float | None:
     """The signed figure that ends a cell or fills it; a bare year is none."""
     text = text.strip()
@@ -159,14 +162,20 @@ def amount(text: str) -> float | None:
     return None
 
 
+@lru_cache(maxsize=1 << 14)
 def label(text: str) -> str:
     found = _AMOUNT.search(text.strip())
     before = (text.strip()[: found.start()] if found else "" if _BARE.match(text.strip()) else text).strip(" .:-|")
     return re.sub(r"\s+[A-Z]{1,2}$", "", before).strip(" .:-|")
 
 
+#: Fixed value: a vehicle's registration, which labels a fixed asset without any word.
+_VEHICLE = re.compile(r"\b[A-Za-z]{2}[\s-]*\d{1,2}[\s-]*(?:[A-Za-z]{1,3}[\s-]*)?\d{3,4}\b")
+
+
 def wordy(text: str) -> bool:
-    return bool(re.search(r"[A-Za-z]{3}", text))
+    """Whether a cell carries a label: three letters in a row, or a vehicle's registration."""
+    return bool(re.search(r"[A-Za-z]{3}", text) or _VEHICLE.search(text))
 
 
 def section_of(text: str) -> str | None:
@@ -271,26 +280,35 @@ def printed(rows: list[list[tuple]]) -> tuple[float | None, int | None]:
     return None, None
 
 
-def divided(rows: list[list[tuple]], middle: float, target: float | None) -> dict[str, list[tuple]]:
-    """Both sides of an account cut at ``middle``. A row's label keeps its figure on its own side unless it stands far across."""
-    sides = {"left": Side(), "right": Side()}
-    reach = 0.15 * max((b for cells in rows for _, b, _ in cells), default=1)
+def parsed(rows: list[list[tuple]]) -> list[list[tuple]]:
+    """Each row's cells as (x0, centre, text, amount, label, whether the label and the text are words), without skipped ones."""
+    out = []
     for cells in rows:
-        owner, name = None, ""
+        row = []
         for x0, x1, text in unwelded(spread_runs(cells)):
             text = text.strip()
-            if not text or skipped(text):
-                continue
-            centre = (x0 + x1) / 2
-            here, value, words = "left" if centre < middle else "right", amount(text), label(text)
-            if value is not None and wordy(words):
+            if text and not skipped(text):
+                words = label(text)
+                row.append((x0, (x0 + x1) / 2, text, amount(text), words, wordy(words), wordy(text)))
+        out.append(row)
+    return out
+
+
+def divided(rows: list[list[tuple]], middle: float, target: float | None, reach: float) -> dict[str, list[tuple]]:
+    """Both sides of an account of ``parsed`` rows cut at ``middle``. A row's label keeps its figure on its own side unless it stands far across."""
+    sides = {"left": Side(), "right": Side()}
+    for cells in rows:
+        owner, name = None, ""
+        for x0, centre, text, value, words, labelled, worded in cells:
+            here = "left" if centre < middle else "right"
+            if value is not None and labelled:
                 sides[here].put(x0, words, value)
                 owner, name = here, words
             elif value is not None:
                 far = owner is not None and owner != here and abs(centre - middle) > reach
                 at = here if owner is None or far else owner
                 sides[at].put(x0, "" if far else name, value)
-            elif wordy(text):
+            elif worded:
                 plain = text.strip(" .:-|")
                 side = sides[here]
                 if re.match(r"^less\s*:?\s*dep", plain, re.I) and side.caption:
@@ -320,8 +338,9 @@ def account(rows: list[list[tuple]]) -> tuple[dict[str, list[tuple]], float | No
     target, at = printed(rows)
     body = rows[:at] if at is not None else rows
     best, key = {"left": [], "right": []}, None
+    cells, reach = parsed(body), 0.15 * max((b for cells in body for _, b, _ in cells), default=1)
     for m in dividers(rows):
-        sides = divided(body, m, target)
+        sides = divided(cells, m, target, reach)
         left, right = (sum(e[2] for e in sides[s]) for s in ("left", "right"))
         lopsided = not sides["left"] or not sides["right"]
         miss = abs(left - right) + (abs(left - target) if target is not None else 0)

@@ -12,7 +12,7 @@ from spreadloom import sinks
 from spreadloom.functions import scalars
 from spreadloom.operators import grouped, layout, pooling, relevance, spread, trust, verification
 from spreadloom.operators import statements as reading
-from spreadloom.plans import fixtures, ledger, oracles, rules
+from spreadloom.plans import fixtures, ledger, oracles, pipeline, rules
 from spreadloom.plans.dialect import DUCK, SPARK, Spark
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "conversations")
@@ -383,8 +383,47 @@ def dedupe_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.dedupe(base, amounts)
 
 
+#: Labels of the two sides of the pages that orders make.
+OWED_LABELS = ("Trade payables", "Unsecured Loans", "Cash credit", "(b) Reserves and Surplus", "Deferred Tax Liabilities (Net)")
+OWNED_LABELS = ("Trade receivables", "Furniture", "Intangible assets", "Investment in shares", "Other non current assets")
+
+
+def case_pages(d: Spark):
+    """Each order as a page of its customer's file: a name, a dated heading, lines of two sides and their total."""
+    money = indian(d, d.half_even("l_extendedprice"))
+    pick = lambda labels, key: d.pick(d.list([d.text(x) for x in labels]), f"{d.mod(key, len(labels))} + 1")
+    box = lambda x0, x1, text, row="place + 2", table="printed": f"SELECT l_orderkey, {row} AS row_no, {x0} AS x0, {x1} AS x1, {text} AS text FROM {table}"
+    name = "concat('Shree Traders ', CAST(CAST(floor(o_custkey / 3) AS BIGINT) AS STRING))"
+    title = "concat('Balance Sheet as at 31.03.', CAST(year(o_orderdate) AS STRING))"
+    head = lambda text, row: f"SELECT o_orderkey AS l_orderkey, {row} AS row_no, 100 AS x0, 400 AS x1, {text} AS text FROM orders"
+    return [
+        ("printed", "SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS place FROM lineitem"),
+        ("totals", f"SELECT l_orderkey, max(place) + 3 AS row_no, sum({d.half_even('l_extendedprice')}) AS total FROM printed GROUP BY l_orderkey"),
+        (
+            "boxes",
+            " UNION ALL ".join(
+                [
+                    head(name, 0), head(title, 1), box(10, 200, pick(OWED_LABELS, "l_partkey")), box(350, 430, money), box(520, 700, pick(OWNED_LABELS, "l_suppkey")), box(850, 930, money),
+                    f"SELECT l_orderkey, row_no, 350, 430, {indian(d, 'total')} FROM totals", f"SELECT l_orderkey, row_no, 850, 930, {indian(d, 'total')} FROM totals",
+                ]
+            ),
+        ),
+        ("words", "SELECT o_custkey AS doc, CAST(o_orderkey AS INT) AS page, CAST(1000 AS DOUBLE) AS width, CAST(x0 AS DOUBLE) AS x0, CAST(row_no * 20 AS DOUBLE) AS y0, CAST(x1 AS DOUBLE) AS x1, CAST(row_no * 20 + 12 AS DOUBLE) AS y1, text FROM boxes JOIN orders ON l_orderkey = o_orderkey"),
+    ]
+
+
+def case_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of words to the balance sheet of every case and year, through every step of the way."""
+    docs = runner(lambda d: [("docs", "SELECT CAST(c_custkey AS BIGINT) AS doc, CAST(floor(c_custkey / 3) AS BIGINT) AS case_id, CAST(NULL AS INT) AS ay, c_name AS name FROM customer")])(spark, sf_dir)
+    made = pipeline.spread_cases(runner(case_pages)(spark, sf_dir), docs)
+    return made.values.selectExpr("entity AS case_id", "year", *(k for k in CASE_ROWS))
+
+
+CASE_ROWS = ("sundry_creditors", "unsecured_loans", "secured_loan_ccod", "reserves", "deferred_tax_liability", "debtors", "fixed_assets", "intangible_assets", "investments", "other_non_current_assets", "total_liabilities", "total_assets")
+
 #: Sequential operators: no SQL form, tested on literal fixtures.
 QUERIES |= {
+    "case_spread": case_spread,
     "row_assembly": lambda spark, sf: grouped.row_assembly(runner(words)(spark, sf)),
     "t_account_harvest": lambda spark, sf: grouped.t_account_harvest(runner(account_cells)(spark, sf)),
     "vertical_harvest": lambda spark, sf: grouped.vertical_harvest(runner(column_cells)(spark, sf)),

@@ -293,6 +293,20 @@ SQL |= {
     "comparative_recovery": f"""WITH {year_rows()}, c AS (SELECT entity, year, if(year % 3 = 0, NULL, total_assets) AS own, lag(total_assets) OVER (PARTITION BY entity ORDER BY year) AS printed, year % 2 = 0 OR year % 5 = 0 AS ok FROM vals)
       SELECT c.entity, c.year, c.own IS NULL AND coalesce(n.ok, FALSE) AS filled, coalesce(c.own, if(n.ok, n.printed, NULL)) AS total_assets FROM c LEFT JOIN c n ON n.entity = c.entity AND n.year = c.year + 1""",
 }
+#: Rows of the template that the two sides of an order's page go to.
+LEFT_ROWS = ("sundry_creditors", "unsecured_loans", "secured_loan_ccod", "reserves", "deferred_tax_liability")
+RIGHT_ROWS = ("debtors", "fixed_assets", "intangible_assets", "investments", "other_non_current_assets")
+CASES = f"""WITH item AS (SELECT l_orderkey AS block, o_custkey AS doc, o_custkey // 3 AS case_id, year(o_orderdate)::INT AS year, ({[*LEFT_ROWS]})[l_partkey % 5 + 1] AS l, ({[*RIGHT_ROWS]})[l_suppkey % 5 + 1] AS r, round_even(l_extendedprice, 0)::BIGINT AS amount FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+page AS (SELECT block, any_value(doc) AS doc, any_value(case_id) AS case_id, any_value(year) AS year, list_distinct(list(amount)) AS amounts FROM item GROUP BY block),
+fy AS (SELECT doc, arg_min(year, (-n, year)) AS fy FROM (SELECT doc, year, count(*) AS n FROM page GROUP BY doc, year) GROUP BY doc),
+own AS (SELECT page.*, fy FROM page JOIN fy USING (doc)),
+rival AS (SELECT m.block, bool_or(2 * len(list_intersect(m.amounts, a.amounts)) > len(m.amounts)) AS reprint FROM own m JOIN own a ON m.case_id = a.case_id AND m.year = a.year AND a.year = a.fy WHERE m.year <> m.fy GROUP BY m.block),
+stays AS (SELECT own.block, own.case_id, if(reprint IS NOT NULL AND NOT reprint, fy, year) AS y FROM own LEFT JOIN rival ON own.block = rival.block),
+whole AS (SELECT stays.case_id, y, item.* EXCLUDE (case_id, year) FROM stays JOIN item ON stays.block = item.block)
+"""
+SQL["case_spread"] = CASES + f"""SELECT case_id, y AS year, {", ".join(f"sum(if(l = '{k}', amount, 0))::BIGINT AS {k}" for k in LEFT_ROWS)}, {", ".join(f"sum(if(r = '{k}', amount, 0))::BIGINT AS {k}" for k in RIGHT_ROWS)},
+  sum(amount)::BIGINT AS total_liabilities, sum(amount)::BIGINT AS total_assets FROM whole GROUP BY case_id, y"""
+
 # ---- trust and checks of a year
 
 NEAR = "greatest(1000, 0.001 * abs({0}))"

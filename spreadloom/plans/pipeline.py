@@ -12,9 +12,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spreadloom.functions import scalars
-from spreadloom.operators import grouped, spread
+from spreadloom.operators import grouped, pooling, spread, trust
+from spreadloom.operators import statements as reading
 from spreadloom.plans import rules
-from spreadloom.plans.run import relations
+from spreadloom.plans.dialect import SPARK
+from spreadloom.plans.run import relations, written
 
 
 @dataclass
@@ -60,14 +62,15 @@ def blocks_of(rows: DataFrame) -> DataFrame:
     head = lambda c: F.first(F.when(F.col("title"), F.col(c)), ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     kind = F.when(F.col("text").rlike("(?i)balance\\s*sheet|capital"), "balance_sheet").otherwise("profit_loss")
     text = text.withColumns({"kind_at": kind, "scale_at": scalars.columns(scalars.unit_scale, "band")})
-    out = text.withColumns({"kind": head("kind_at"), "year": head("year"), "entity": head("entity"), "scale": head("scale_at"), "past": F.max(F.col("footer").cast("int")).over(own)})
-    return out.where("block > 0 AND past = 0 AND NOT title").select("page", "block", "row_no", "text", "kind", "year", "entity", "scale")
+    out = text.withColumns({"kind": head("kind_at"), "year": head("year"), "entity": head("entity"), "scale": head("scale_at"), "heading": head("text"), "past": F.max(F.col("footer").cast("int")).over(own)})
+    return out.where("block > 0 AND past = 0 AND NOT title").select("page", "block", "row_no", "text", "kind", "year", "entity", "scale", "heading")
 
 
-def harvest(cells: DataFrame, blocks: DataFrame) -> DataFrame:
+def harvest(cells: DataFrame, blocks: DataFrame, alone: bool = True) -> DataFrame:
     """Lines (page, block, entity, year, seq, label, amount, status, comparative) in rupees; sides of a P&L and sections give the tags.
 
-    A comparative column gives lines of the year before, unless that year has a statement of its own of the same entity and kind.
+    A comparative column gives lines of the year before; with ``alone`` only where that year has no statement of its own of
+    the same entity and kind.
     """
     meta = ["page", "block", "kind", "entity", "scale"]
     placed = cells.join(blocks.select("row_no", "year", *meta), ["page", "row_no"])
@@ -76,6 +79,8 @@ def harvest(cells: DataFrame, blocks: DataFrame) -> DataFrame:
     tagged = F.when((F.col("kind") == "profit_loss") & (F.col("side") == "left") & ~F.col("label").startswith("["), F.concat(F.lit("[EXP] "), "label"))
     tagged = tagged.when((F.col("kind") == "profit_loss") & (F.col("side") == "right") & ~F.col("label").startswith("["), F.concat(F.lit("[INC] "), "label")).otherwise(F.col("label"))
     lines = lines.select("page", "block", F.coalesce("entity", F.lit("")).alias("entity"), "year", "kind", "seq", tagged.alias("label"), F.bround(F.col("amount") * F.col("scale")).cast("long").alias("amount"), "status", "comparative")
+    if not alone:
+        return lines
     own = F.min("comparative").over(Window.partitionBy("entity", "kind", "year"))
     return lines.withColumn("alone", own).where("NOT comparative OR alone").drop("alone")
 
@@ -115,6 +120,72 @@ def spread_words(words: DataFrame) -> Spread:
     return Spread(cells, blocks, lines, over(*base), over(*base, spread.ratios), over(*base, spread.growth), over(*base, spread.ratios, spread.flags), over(*base, result="mapped"))
 
 
+@dataclass
+class Cases:
+    """The tables of several files' cases; ``entity`` of the last seven is the case."""
+
+    blocks: DataFrame
+    placed: DataFrame
+    alternates: DataFrame
+    kept: DataFrame
+    lines: DataFrame
+    mapped: DataFrame
+    values: DataFrame
+    ratios: DataFrame
+    trends: DataFrame
+    flags: DataFrame
+    trust: DataFrame
+
+
+def classified(blocks: DataFrame) -> DataFrame:
+    """The rows of ``blocks_of`` with the kind that the heading and the words of a statement tell."""
+    texts = blocks.groupBy("page", "block").agg(F.max("heading").alias("heading"), F.array_join(F.collect_list("text"), " ; ").alias("labels"))
+    named = texts.select(F.struct("page", "block").alias("block"), F.coalesce("heading", F.lit("")).alias("heading"), "labels")
+    kinds = relations({"headed": named}, reading.classified).select("block.page", "block.block", F.col("kind").alias("told"))
+    joined = blocks.join(kinds, ["page", "block"])
+    return joined.withColumn("kind", F.when(F.col("told") == "other", F.col("kind")).otherwise(F.col("told"))).drop("told")
+
+
+def spread_cases(words: DataFrame, docs: DataFrame) -> Cases:
+    """Several files of several borrowers as one column for each case and year.
+
+    words (doc, page, width, x0, y0, x1, y1, text), docs (doc, case_id, ay, name). Pages are read one by one; their statements
+    are classified, dated by their own period or their file's, placed among the case's files, and comparative columns of years
+    that a statement of their own covers are set apart. What repeats a better statement's figures, what failed and what
+    neither proved itself nor names a business is left out. The rest is spread by case and year. A row's trust is the
+    lowest of its lines: proven in a verified statement, else consistent.
+
+    The harvest is written once; what follows is relational but for the greedy removal of duplicates of a case's year.
+    """
+    pages = words.select("doc", "page", F.xxhash64("doc", "page").alias("leaf")).distinct()
+    boxes = words.select(F.xxhash64("doc", "page").alias("page"), "width", "x0", "y0", "x1", "y1", scalars.columns(scalars.normal_text, "text").alias("text"))
+    cells = written(grouped.row_assembly(boxes), "cells")
+    found = written(classified(blocks_of(rows_of(cells))), "blocks")
+    lines = harvest(cells, found, alone=False).withColumnRenamed("page", "leaf").join(pages, "leaf").join(docs.select("doc", "case_id"), "doc")
+    lines = written(lines.withColumn("id", F.xxhash64("leaf", "block", "comparative")), "lines")
+    first = lambda c: F.first(c).alias(c)
+    blocks = lines.groupBy(F.col("id").alias("block")).agg(*map(first, ("doc", "case_id", "kind", "entity", "year", "page", "status", "comparative")), F.count("*").alias("n_items"))
+    blocks = written(blocks.withColumn("salvageable", F.lit(False)).withColumn("page", F.col("page").cast("int")), "statements")
+    amounts = lines.select(F.col("id").alias("block"), "amount")
+    inputs = {"docs": docs, "blocks": blocks, "amounts": amounts}
+    placed = written(relations(inputs, pooling.placed), "placed")
+    apart = relations(inputs, lambda d: pooling.alternates(d, "semi"))
+    usable = blocks.drop("year").join(placed.select("block", "year"), "block").join(apart.select("block"), "block", "left_anti").where("year IS NOT NULL")
+    admitted = F.expr(scalars.is_business(SPARK, "entity"))
+    ranked = usable.where("status <> 'failed'").select(F.col("case_id").alias("doc"), "year", "block", "entity", "kind", (F.col("status") == "verified").alias("verified"), "n_items", F.coalesce(admitted, F.lit(False)).alias("admitted"))
+    lists = amounts.groupBy("block").agg(F.collect_list("amount").alias("amounts"))
+    kept = written(grouped.dedupe(ranked, lists).withColumnRenamed("doc", "case_id"), "kept")
+    own = lines.drop("year", "case_id", "block").withColumnRenamed("id", "block").join(kept, "block")
+    used = written(own.select(F.col("case_id").alias("entity"), "year", "kind", F.col("seq").cast("long").alias("seq"), "label", "amount", "status", "doc", "page"), "used")
+    base = (spread.buckets, spread.derived)
+    over = lambda *steps, result=None: relations({"lines": used}, *steps, result=result)
+    line_trust = lambda d: [("line_trust", "SELECT lines.entity, lines.year, key, CASE WHEN status = 'verified' THEN 3 ELSE 2 END AS rank FROM lines JOIN label_keys ON lines.label = label_keys.label")]
+    return Cases(
+        blocks, placed, apart, kept, used, over(*base, result="mapped"), over(*base), over(*base, spread.ratios), over(*base, spread.growth),
+        over(*base, spread.ratios, spread.flags), over(*base, line_trust, trust.derived, lambda d: [("all_trust", "SELECT entity, year, key, level FROM base_trust UNION ALL SELECT entity, year, key, level FROM derived_trust")]),
+    )
+
+
 def unmapped(spread_: Spread) -> DataFrame:
     return spread_.mapped.where("key IS NULL")
 

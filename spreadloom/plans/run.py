@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 from collections.abc import Callable
 from uuid import uuid4
 
@@ -25,3 +28,23 @@ def relations(inputs: dict[str, DataFrame], *steps: Step, result: str | None = N
     made = views + [r for step in steps for r in step(SPARK)]
     text = "WITH " + ", ".join(f"{name} AS ({sql})" for name, sql in made) + f" SELECT * FROM {result or made[-1][0]}"
     return spark.sql(text)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table below ``spark.checkpoint.dir``, so that what reads it several times computes it once.
+
+    Where that is unset a temporary folder serves a local master; a cluster's machines share none.
+    """
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.conf.get("spark.master", "local")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        local = tempfile.mkdtemp(prefix="spreadloom-")
+        atexit.register(shutil.rmtree, local, ignore_errors=True)
+        base = f"file://{local}"
+        spark.conf.set("spark.checkpoint.dir", base)
+    path = f"{base.rstrip('/')}/{name}-{uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

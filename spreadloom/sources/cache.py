@@ -18,8 +18,32 @@ def unread(sources: DataFrame, cached: DataFrame, version: str) -> DataFrame:
     return sources.join(cached.where(F.col("version") == version).select("doc_id"), "doc_id", "left_anti")
 
 
+#: Days that a reading lasts, and bytes that the cache may hold.
+MOST_DAYS, MOST_BYTES = 30, 500 << 20
+
+
 def put(readings: DataFrame, path: str, version: str) -> None:
-    readings.withColumn("version", F.lit(version)).write.mode("append").partitionBy("version").parquet(path)
+    """Append readings, with the time at which they were made."""
+    readings.withColumns({"version": F.lit(version), "stored": F.current_timestamp()}).write.mode("append").partitionBy("version").parquet(path)
+
+
+def get(spark: SparkSession, path: str, version: str, days: int = MOST_DAYS) -> DataFrame:
+    """The readings of a version that are not out of date, the latest of each file."""
+    held = spark.read.parquet(path).where((F.col("version") == version) & (F.col("stored") >= F.current_timestamp() - F.expr(f"INTERVAL {int(days)} DAYS")))
+    latest = held.groupBy("doc_id").agg(F.max("stored").alias("stored"))
+    return held.join(latest, ["doc_id", "stored"])
+
+
+def clear(spark: SparkSession, path: str, version: str | None = None) -> bool:
+    """Drop all readings, or those of one version; says whether there were any."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path if version is None else f"{path}/version={version}")
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def stats(spark: SparkSession, path: str) -> DataFrame:
+    """(version, readings, files, oldest, newest) of a cache."""
+    held = spark.read.parquet(path)
+    return held.groupBy("version").agg(F.count("*").alias("readings"), F.countDistinct("doc_id").alias("files"), F.min("stored").alias("oldest"), F.max("stored").alias("newest"))
 
 
 def load_learned(spark: SparkSession, path: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spreadloom.functions import scalars
+from spreadloom.operators import grouped
 from spreadloom.plans.dialect import SPARK
 
 WORDS = "doc_id string, page_no int, width double, x0 double, y0 double, x1 double, y1 double, text string, conf double, error string"
@@ -23,8 +24,47 @@ def files(spark: SparkSession, path: str) -> DataFrame:
     return read.select(F.sha2("content", 256).alias("doc_id"), F.element_at(F.split("path", "/"), -1).alias("source_name"), "content")
 
 
-def read_words(sources: DataFrame, reader: Callable[[bytes], list[tuple]]) -> DataFrame:
-    """``reader(content)`` gives (page_no, width, x0, y0, x1, y1, text, conf); a file that it fails on becomes a row with the error."""
+def with_pages(reader: Callable[[bytes, list[int]], list[tuple]], pages: list[int]) -> Callable[[bytes], list[tuple]]:
+    """A reader of some pages of a file alone, where the engine can be told which."""
+    return lambda content: reader(content, pages)
+
+
+def engine(engines: dict[str, Callable[[bytes], list[tuple]] | None], wanted: str | None = None) -> Callable[[bytes], list[tuple]]:
+    """The reader to use: the one that is asked for, else the first that is there (None: its library is missing)."""
+    there = {k: f for k, f in engines.items() if f is not None}
+    if wanted and wanted in there:
+        return there[wanted]
+    if not there:
+        raise LookupError("no engine to read pages with")
+    return next(iter(there.values()))
+
+
+def unreadable(words: DataFrame, least: int = 100) -> DataFrame:
+    """Files whose pages gave fewer than ``least`` characters in all, or an error: nothing can be spread from them."""
+    sizes = words.groupBy("doc_id").agg(F.sum(F.coalesce(F.length(F.trim("text")), F.lit(0))).alias("characters"), F.max("error").alias("error"))
+    return sizes.where((F.col("characters") < least) | F.col("error").isNotNull())
+
+
+def page_texts(words: DataFrame) -> DataFrame:
+    """(doc_id, page_no, text, confidence) of every page: words of a line by position, cells of a line by tabs, lines by rows.
+
+    Rows and cells are those of ``grouped.row_assembly``; the confidence is the mean of the words', 1 where there is none.
+    """
+    read = words.where("text IS NOT NULL")
+    leaves = read.select("doc_id", "page_no", F.xxhash64("doc_id", "page_no").alias("page")).distinct()
+    cells = grouped.row_assembly(read.select(F.xxhash64("doc_id", "page_no").alias("page"), "width", "x0", "y0", "x1", "y1", "text"))
+    rows = cells.groupBy("page", "row_no").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("cell_no", "text"))), lambda c: c["text"]), "\t").alias("text"))
+    texts = rows.groupBy("page").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("row_no", "text"))), lambda r: r["text"]), "\n").alias("text"))
+    sure = read.groupBy("doc_id", "page_no").agg(F.coalesce(F.avg("conf"), F.lit(1.0)).alias("confidence"))
+    return leaves.join(texts, "page").join(sure, ["doc_id", "page_no"]).select("doc_id", "page_no", "text", "confidence")
+
+
+def read_words(sources: DataFrame, reader: Callable[[bytes], list[tuple]], pages: list[int] | None = None) -> DataFrame:
+    """``reader(content)`` gives (page_no, width, x0, y0, x1, y1, text, conf); a file that it fails on becomes a row with the error.
+
+    With ``pages`` the reader is ``reader(content, pages)``. Spark's tasks are the bound of what is read at once.
+    """
+    reader = reader if pages is None else with_pages(reader, pages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in WORDS.split(", ")]

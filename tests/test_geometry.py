@@ -70,7 +70,7 @@ def test_vertical_sections_take_this_years_column():
 
 
 def test_greedy_dedupe_keeps_the_better_printing():
-    blocks = [(1, "A", "bs", False, 3, [10, 20, 30]), (2, "A ", "bs", True, 3, [10, 20, 30]), (3, "A", "bs", True, 2, [77, 78]), (4, "B", "bs", False, 2, [10, 20])]
+    blocks = [(1, "A", "bs", False, 3, [10, 20, 30], True), (2, "A ", "bs", True, 3, [10, 20, 30], True), (3, "A", "bs", True, 2, [77, 78], False), (4, "B", "bs", False, 2, [10, 20], True), (5, "Note 3", "bs", False, 2, [91, 92], False)]
     assert sorted(grouped.survivors(blocks)) == [2, 3]
 
 
