@@ -97,7 +97,7 @@ def slid(hit: Column, most: Column) -> Column:
             held = F.get(acc["counts"], gone) + F.when(gone == at, 1).otherwise(0)
             total = total + F.when(gone >= 0, F.get(known["weights"], held - 1) - F.get(known["weights"], held)).otherwise(F.lit(0).cast("long"))
             after = F.transform(entered, lambda c, j: F.when(j == gone, c - 1).otherwise(c))
-            high = (k >= WINDOW - 1) & (total <= most)
+            high = (k >= WINDOW - 1) & (total <= known["most"])
             last = F.get(acc["out"], F.size(acc["out"]) - 1)
             joined = F.coalesce(last["hi"] >= k - (WINDOW - 1), F.lit(False))
             grown = F.array_append(
@@ -111,7 +111,7 @@ def slid(hit: Column, most: Column) -> Column:
 
     def places(known: Column) -> Column:
         where = F.transform(known["chars"], lambda c: F.array_position(known["alphabet"], c).cast("int") - 1)
-        return bound_to(F.struct(known["chars"], known["alphabet"], where.alias("places"), weights.alias("weights")), fold)
+        return bound_to(F.struct(known["chars"], known["alphabet"], where.alias("places"), weights.alias("weights"), most.alias("most")), fold)
 
     return bound_to(F.split(hit, ""), lambda chars: bound_to(F.struct(chars.alias("chars"), F.array_distinct(chars).alias("alphabet")), places))
 
@@ -124,7 +124,7 @@ def windows(hit: Column) -> Column:
     """
     most = F.when(hit.rlike(HEX_CLASS), F.lit(HEX_SUM)).otherwise(F.lit(BASE64_SUM)).cast("long")
     cuts = F.sequence(F.lit(0), F.length(hit) - WINDOW, F.lit(PIECE))
-    shifted = lambda at: F.transform(slid(F.substring(hit, at + 1, F.lit(PIECE + WINDOW - 1)), most), lambda w: F.struct((w["lo"] + at).alias("lo"), (w["hi"] + at).alias("hi")))
+    shifted = lambda at, most: F.transform(slid(F.substring(hit, at + 1, F.lit(PIECE + WINDOW - 1)), most), lambda w: F.struct((w["lo"] + at).alias("lo"), (w["hi"] + at).alias("hi")))
 
     def merged(spans: Column) -> Column:
         last = F.size(spans) - 1
@@ -132,7 +132,8 @@ def windows(hit: Column) -> Column:
         lasts = F.filter(spans, lambda s, i: (i == last) | (F.get(spans, i + 1)["lo"] > s["hi"]))
         return F.zip_with(firsts, lasts, lambda a, b: F.struct(a["lo"].alias("lo"), b["hi"].alias("hi")))
 
-    return F.when(F.length(hit) < PIECE + WINDOW, slid(hit, most)).otherwise(bound_to(F.flatten(F.transform(cuts, shifted)), merged))
+    pieces = lambda most: F.flatten(F.transform(cuts, lambda at: shifted(at, most)))
+    return F.when(F.length(hit) < PIECE + WINDOW, slid(hit, most)).otherwise(bound_to(bound_to(most, pieces), merged))
 
 
 def scan(df: DataFrame, text: str = "text") -> DataFrame:
@@ -154,7 +155,7 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def redact(df: DataFrame, text: str = "text", spans: str = "secret_spans", mark: str = "[SECRET]") -> DataFrame:
-    """Replace every span in ``text`` (overlapping ones as one) by ``mark``; texts without spans stay as they are."""
+    """Replace every span in ``text`` (overlapping and touching ones as one) by ``mark``; texts without spans stay as they are."""
 
     def marked(found: Column) -> Column:
         # a span opens a mark unless one before reaches beyond its start; spans come by start

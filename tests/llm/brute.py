@@ -69,3 +69,24 @@ def sequences(pieces, capacity=4096):
             at += n
         assert at <= capacity
     return len(by)
+
+
+def ftrl(rows, epochs, alpha, beta, l1, l2, positive):
+    """FTRL-proximal logistic regression as its paper states it, one coordinate at a time; the bias has no L1 term."""
+    import math
+
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i):
+        cut = 0.0 if i == -1 else l1
+        return 0.0 if abs(z[i]) <= cut else -(z[i] - math.copysign(cut, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    for _ in range(epochs):
+        for places, label in rows:
+            w = {i: weight(i) for i in [*places, -1]}
+            p = 1 / (1 + math.exp(-max(-35.0, min(35.0, sum(w.values())))))
+            g = (p - label) * (positive if label else 1.0)
+            for i, wi in w.items():
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha * wi
+                n[i] += g * g
+    return {i: weight(i) for i in z if i == -1 or weight(i)}

@@ -386,6 +386,13 @@ def test_pipeline(spark, sample):
         after = sorted((r["doc_id"] for r in rows[name]), key=str) if name != "packing" else []
         if name == "quality_rules":
             assert set(after) <= {d for d, x in before if not brute.quality(x)["base_failed"]} and after
+        elif name == "toxicity":
+            labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sample}/labels.parquet").where("toxic IS NOT NULL").collect()}
+            known = dict(before)
+            learned = toxicity.train(spark.createDataFrame([(d, known[d]) for d in known if d is not None], "doc_id long, text string"), spark.createDataFrame(list(labels.items()), "doc_id long, toxic int"))
+            hashes = toxicity.Hashes()
+            logit = lambda x: sum(learned.get(int(k), 0.0) for k in toxicity.features((x or "").encode(), hashes)) + learned.get(-1, float("-inf"))
+            assert after == sorted((d for d, x in before if not logit(x) >= np.log(0.7 / 0.3)), key=str)
         elif name == "near_dedup":
             want = brute.near(dict(before).items(), width=5)
             assert sorted(set(after), key=str) == sorted((d for d, (_, c) in want.items() if d == c), key=str)
@@ -466,3 +473,134 @@ def test_hot_buckets_are_taken_apart_and_lose_no_link(spark, tmp_path, monkeypat
     monkeypatch.setattr(neardup, "LEADERS", 3)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.op8_minhash_near_dedup(spark, str(tmp_path)).collect()}
     assert got == brute.near(rows)
+
+
+def test_ftrl_against_a_plain_loop():
+    rng = np.random.default_rng(8)
+    rows = [(np.unique(rng.integers(0, 60, rng.integers(1, 12))), int(rng.random() < 0.3)) for _ in range(120)]
+    rows = [(np.append(at, 61) if label else at, label) for at, label in rows]
+    got = toxicity.fit(rows, bits=7, epochs=3)
+    want = brute.ftrl([(at.tolist(), label) for at, label in rows], 3, toxicity.ALPHA, toxicity.BETA, toxicity.L1, toxicity.L2, toxicity.POSITIVE)
+    assert set(got) == set(want) and 61 in got
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_toxicity_sample_is_bounded_by_ids_and_texts(spark, tmp_path):
+    rows = [(5, f"text {k} of a repeated id idiot", "x") for k in range(500)] + [(k, f"plain words {k}", "x") for k in range(100, 160)] + [(k, f"an idiot {k}", "x") for k in range(200, 230)] * 2
+    docs_ = spark.createDataFrame(rows, "doc_id long, text string, score string")
+    labels = spark.createDataFrame([(d, 1, int(d < 100 or d >= 200)) for d in {r[0] for r in rows}], "doc_id long, quality int, toxic int")
+    weights = toxicity.train(docs_, labels)
+    assert weights == toxicity.train(docs_.orderBy(F.desc("text")), labels)
+    scored = toxicity.score(docs_, weights).collect()
+    assert len(scored) == len(rows)
+    by = {}
+    for r in scored:
+        by.setdefault(r["doc_id"], set()).add(r["score"])
+    assert all(len(x) == 1 for d, x in by.items() if d >= 100)
+
+
+def test_warc_rolls_in_its_ranges(spark, monkeypatch):
+    """The ratio of ranges to files is the query's: at that ratio a range of ordinary payload holds several files."""
+    assert warc.RANGE_BYTES >= 8 * warc.ROLL_BYTES
+    body = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(60)), lambda k: F.substring(F.sha2(F.concat_ws("-", "id", k), 256), 1, 20)), " ")
+    pages = spark.range(600).select(F.col("id").alias("page_id"), F.lit("http://x").alias("url"), F.concat(body, F.lit("é"), body).alias("html"))
+    folder = warc.write(pages, "page_id", "url", "html", roll_bytes=warc.ROLL_BYTES >> 9, range_bytes=warc.RANGE_BYTES >> 9)
+    files = spark.read.parquet(f"{folder}/manifest").collect()
+    assert max(f["number"] for f in files) >= 1 and len({f["part"] for f in files}) >= 2
+    assert warc.read(spark, folder).count() == 600
+
+
+def test_warc_revisits_name_what_they_refer_to(spark, tmp_path):
+    big = "y" * 300
+    rows = [(k, f"http://x/{k}", big) for k in range(50)] + [(100, "http://y", "z" * 200), (101, None, "z" * 200)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    digests = pages.select(F.col("page_id").alias("_key"), F.xxhash64("html").alias("_mixed"), F.col("page_id").alias("_row"), "url", F.sha2("html", 256).alias("digest"))
+    found = {r["_key"]: (r["original"], r["original_url"]) for r in warc.markers(common.materialise(digests, "d")).collect()}
+    assert found == {k: (0, "http://x/0") for k in range(50)} | {100: (100, "http://y"), 101: (100, "http://y")}
+    data = warc.record(7, "http://x/7", b"p", "d", 0, 0, "http://x/0", True)
+    assert b"WARC-Refers-To-Target-URI: http://x/0" in data and b"WARC-Refers-To-Date: " + warc.DATE.encode() in data
+
+
+def test_token_files_roll(spark, tmp_path):
+    rows = [(k, "word " * (k % 40)) for k in range(300)] + [(500, "long words here " * 3000), (501, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    table.write.parquet(str(tmp_path / "t"))
+    folder = tokenstore.write(spark.read.parquet(str(tmp_path / "t")), public_tokenizers.path("word_bpe_49k.json"), 1, file_ids=1000, file_documents=50)
+    files = spark.read.parquet(f"{folder}/manifest").collect()
+    assert len(files) > 6 and all(f["documents"] <= 50 for f in files) and max(f["number"] for f in files) > 2
+    got = sorted(map(tuple, tokenstore.digests(spark, folder).collect()))
+    ids, at = word_ids(1), 0
+    for (d, start, n, crc), (k, x) in zip(got, sorted(rows, key=lambda r: r[0]), strict=True):
+        assert (d, start, n, crc) == (k, at, len(ids(x)), zlib.crc32(ids(x).tobytes()))
+        at += n
+
+
+def test_packing_spreads_a_hot_id(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    table = spark.createDataFrame([(7, "same text of a hot id")] * 3000 + [(None, "no id")] * 3000 + [(k, f"other {k}") for k in range(3000)], "doc_id long, text string")
+    dealt = packing.dealt(packing.pieces(table, path, 2), 30, 2).groupBy("grp").count().collect()
+    assert len(dealt) == 30 and max(r["count"] for r in dealt) <= 2 * 300
+    whole = packing.pack_documents(table, path, group_tokens=2000)
+    ids = word_ids(2)
+    first = whole.where("doc_id = 7").first()
+    assert list(first["ids"]) == ids("same text of a hot id").tolist() and whole.count() == 9000
+
+
+def test_sharding_search_goes_on_and_stays_bounded(spark, monkeypatch):
+    """Few keys a pass, so that many passes are needed; every splitter still meets its tolerance."""
+    monkeypatch.setattr(sharding, "SAMPLES", 8)
+    table = spark.range(20_000).select(F.when(F.col("id") % 3 == 0, 5).otherwise(F.col("id")).alias("doc_id"), F.repeat(F.lit("x"), (F.col("id") % 90).cast("int")).alias("text"))
+    narrow = common.materialise(sharding.keyed(common.materialise(table, "t"), "doc_id", F.col("text"), F.octet_length("text") + 1).select("_key", "_mixed", "_row", "_size"), "n")
+    found = sharding.split(narrow, 64)
+    wanted = found.total_bytes * np.arange(1, 64) / 64
+    assert found.passes > 2 and np.abs(found.bytes_below - wanted).max() <= max(90, 0.001 * found.total_bytes / 64)
+    sums, counts = sharding.counted(narrow, found.keys)
+    assert (np.cumsum(sums)[:-1] == found.bytes_below).all() and (np.cumsum(counts)[:-1] == found.rows_below).all()
+
+
+def test_very_long_texts(spark, tmp_path):
+    """Texts of most of a megabyte with many matches, and one of a single long word, through every operator on texts."""
+    words = " ".join(f"w{k % 5000} token=secret{k:08d}." for k in range(25_000))
+    blob = "Ab3" * 100_000
+    rows = [(1, words), (2, words + " tail"), (3, blob), (4, "short")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 1, 0), (4, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    folder = str(tmp_path)
+    found = {r["doc_id"]: r for r in secrets.op3_secret_scans(spark, folder).collect()}
+    assert found[1]["n_assign"] == 25_000 and found[1]["base_sha256"] == hashlib.sha256(brute.base_spans(words).encode()).hexdigest()
+    assert {r["doc_id"]: r["component_id"] for r in neardup.op8_minhash_near_dedup(spark, folder).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+    ids = word_ids(2)
+    packed = packing.op10_packing(spark, folder).collect()
+    assert {r["doc_id"]: r["doc_tokens"] for r in packed} == {d: len(ids(x)) for d, x in rows}
+    stored = {r["doc_id"]: r["n_tokens"] for r in tokenstore.op7_token_binary(spark, folder).collect()}
+    assert stored == {d: len(ids(x)) for d, x in rows}
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    coded = {r["doc_id"]: r["n_tokens"] for r in bpe.op2_bpe_encode_decode(spark, folder).collect()}
+    assert coded == {d: len(tok.encode(x, add_special_tokens=False).ids) for d, x in rows}
+    want = {d: brute.quality(x) for d, x in rows}
+    for r in quality.op5_quality_rules(spark, folder).collect():
+        assert {k: r[k] for k in want[r["doc_id"]]} == want[r["doc_id"]]
+    assert toxicity.op4_toxicity(spark, folder).count() == 4 and sharding.op6_sharding(spark, folder).count() == 4
+
+
+def test_pipeline_of_an_empty_table(spark, empty):
+    assert corpus_pipeline.run(spark, empty).count() == 0
+
+
+def test_redaction_of_many_overlapping_spans(spark):
+    rng = np.random.default_rng(2)
+    text = "".join(rng.choice(list("abcdefghij"), 400))
+    for _ in range(30):
+        spans = sorted((int(a), int(a) + int(n)) for a, n in zip(rng.integers(0, 380, 12), rng.integers(1, 20, 12), strict=True))
+        merged = []
+        for a, b in spans:
+            if merged and a <= merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], b)
+            else:
+                merged.append([a, b])
+        want, at = "", 0
+        for a, b in merged:
+            want, at = want + text[at:a] + "[SECRET]", b
+        want += text[at:]
+        table = spark.createDataFrame([(text, [(a, 0, b, "hex") for a, b in spans])], "text string, secret_spans array<struct<lo:int,rank:int,hi:int,kind:string>>")
+        assert secrets.redact(table).first()["text"] == want
