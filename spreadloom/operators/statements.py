@@ -143,6 +143,12 @@ def subtotal_rows(d: Spark):
     return [verification.row_ends(d), ("subtotal_rows", "SELECT block, section, first_figure AS amount FROM row_ends WHERE n >= 2 AND abs(first_figure - last_figure) <= 2")]
 
 
+def side_tags(d: Spark):
+    """Lines of a two-sided profit and loss account by their side: the left are expenses, the right income; tagged ones stay."""
+    tagged = d.match("label", r"^\[[A-Z]+\]")
+    return [("side_tags", f"SELECT lines_in.block, seq, side, CASE WHEN kind = 'profit_loss' AND NOT {tagged} THEN concat(CASE WHEN side = 'left' THEN '[EXP] ' ELSE '[INC] ' END, label) ELSE label END AS label, amount FROM lines_in JOIN blocks_in ON lines_in.block = blocks_in.block")]
+
+
 TRANSFER = r"gross\s+(?:pr\w{1,4}t|loss)|\b[cb]\s*/\s*[ofd]\b|\btrf\b"
 
 

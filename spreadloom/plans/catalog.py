@@ -14,6 +14,7 @@ from spreadloom.operators import grouped, layout, pooling, relevance, spread, tr
 from spreadloom.operators import statements as reading
 from spreadloom.plans import fixtures, ledger, oracles, pipeline, rules
 from spreadloom.plans.dialect import DUCK, SPARK, Spark
+from spreadloom.sources import cache, documents
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "conversations")
 Plan = Callable[[Spark], list[tuple[str, str]]]
@@ -58,6 +59,8 @@ def only(plan: Plan, columns: str) -> Plan:
     return run
 
 
+#: Lines of an order, in an order of their own.
+NUMBERED = ("numbered", "SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS place FROM lineitem")
 BASE = (spread.buckets, spread.derived)
 #: Some years used no statement; the computation's profit is theirs or its opposite, or missing.
 ASSESSED = ("vals.year % 7 <> 1", "CASE vals.year % 3 WHEN 0 THEN profit_before_tax WHEN 1 THEN -profit_before_tax END")
@@ -146,7 +149,7 @@ def statements(d: Spark, price: str = "l_extendedprice"):
     named = """CASE WHEN o_orderkey % 9 = 5 THEN 'Total' WHEN o_orderkey % 2 = 0 THEN CASE section WHEN 1 THEN 'Total Equity and Liabilities' WHEN 2 THEN 'TOTAL ASSETS' ELSE 'Total current assets' END
           ELSE CASE section WHEN 1 THEN CASE WHEN o_orderkey % 13 = 1 THEN 'Revenue from operations' ELSE 'III Total Revenue (I + II)' END WHEN 2 THEN 'IV EXPENSES :' ELSE 'Total comprehensive income' END END"""
     return [
-        ("numbered", "SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS place FROM lineitem"),
+        NUMBERED,
         (
             "amounts_of",
             f"""SELECT l_orderkey, l_linenumber, CAST(place AS BIGINT) AS seq, CAST(ceil(place / 3.0) AS INT) AS section, {amount} WHERE l_orderkey % 4 <> 0
@@ -202,12 +205,26 @@ def files(d: Spark):
     ]
 
 
+def indian(d: Spark, x: str) -> str:
+    """Rupees with separators after the last three digits and every two before."""
+    return d.replace(d.replace(f"CAST({x} AS STRING)", r"(\d)(\d{3})$", "$1,$2"), r"(\d)(\d{2}),", "$1,$2,")
+
+
 def boxes(d: Spark):
     """Events as word boxes: a day and user make a row."""
     day = "CAST(date_format(ts, 'd') AS BIGINT)" if d.name == "spark" else "day(ts)"
     return [("boxes", f"SELECT {day} AS page, 1000.0 AS width, CAST(user_id % 50 AS BIGINT) AS row_no, CAST(event_id * 37 % 1000 AS DOUBLE) AS x0, CAST(event_id * 37 % 1000 + 12 AS DOUBLE) AS x1, event_type AS text, {d.half_even('value')} AS amount FROM events".replace("1000.0 AS width", "CAST(1000 AS DOUBLE) AS width"))]
 
 
+def raw_cells(d: Spark):
+    """Cells of one figure, of two fused ones, of a figure welded to a label, of a registration, a year or a note."""
+    a, b = indian(d, d.half_even("l_extendedprice")), indian(d, d.half_even("l_quantity * 1000"))
+    text = "STRING" if d.name == "spark" else "VARCHAR"
+    whole = lambda x: f"CAST({d.half_even(x)} AS {text})"
+    return [("raw_cells", f"""SELECT l_orderkey * 10 + l_linenumber AS id, CAST(100 AS DOUBLE) AS x0, CAST(300 AS DOUBLE) AS x1, CASE l_partkey % 7 WHEN 0 THEN concat({a}, '.00 ', {b}) WHEN 1 THEN concat({a}, '.00Furniture & Fixtures') WHEN 2 THEN concat('(', {a}, ')')
+      WHEN 3 THEN concat('Mh-12-', CAST(1000 + l_partkey % 9000 AS {text})) WHEN 4 THEN CAST(1995 + l_partkey % 20 AS {text}) WHEN 5 THEN concat({whole('l_extendedprice')}, ' ', {whole('l_quantity * 100')}, '.50') ELSE concat('Note ', CAST(l_linenumber AS {text})) END AS text FROM lineitem""")]
+
+
 def rows(d: Spark):
     title = "CASE WHEN event_type = 'purchase' AND event_id % 4 = 0 THEN 'title' WHEN event_id % 29 = 0 THEN 'footer' ELSE 'line' END"
     return [("rows_in", f"SELECT user_id AS doc, user_id AS page, event_id AS row_no, event_type AS label, {title} AS what, CASE WHEN event_id % 5 = 0 THEN upper(substr(event_type, 1, 2)) END AS tag FROM events")]
@@ -278,7 +295,12 @@ PLANS |= {
     "cache_prune_lru": lambda d: [("entries", "SELECT event_id AS id, event_id % 97 + 1 AS bytes, ts AS used FROM events"), *pooling.pruned(d, 40_000, "timestamp '2024-01-05 00:00:00'")],
     "cell_islands": after(boxes, layout.cells),
     "column_clusters": after(boxes, layout.columns),
-    "period_right_edge": after(boxes, layout.right_edge),
+    "period_right_edge": after(boxes, lambda d: [("ranges", "SELECT DISTINCT page, CAST(500 AS DOUBLE) AS low, CAST(560 AS DOUBLE) AS high, CAST(700 AS DOUBLE) AS other_low, CAST(760 AS DOUBLE) AS other_high FROM boxes")], layout.right_edge),
+    "inferred_columns": after(boxes, layout.inferred),
+    "overlapping_boxes": after(boxes, layout.overlapping),
+    "split_cells": after(raw_cells, layout.split_cells),
+    "side_tags": after(statements, reading.side_tags),
+    "sheet_formulas": upto(*BASE, sinks.formulas),
     "divider_candidates": after(boxes, layout.divider_gaps),
     "section_tags_filled": after(rows, layout.filled_tags),
     "sheet_cells": upto(*BASE, sinks.cells),
@@ -334,21 +356,17 @@ QUERIES = {name: runner(plan) for name, plan in PLANS.items()}
 ORACLES = {name: statement(plan, DUCK) for name, plan in PLANS.items()} | oracles.SQL
 
 
-def indian(d: Spark, x: str) -> str:
-    """Rupees with separators after the last three digits and every two before."""
-    return d.replace(d.replace(f"CAST({x} AS STRING)", r"(\d)(\d{3})$", "$1,$2"), r"(\d)(\d{2}),", "$1,$2,")
-
-
 def account_cells(d: Spark):
     """Each order as a page of a two-sided account, with the same figures on both sides and the total under them."""
-    line = "l_orderkey AS page, l_linenumber AS row_no"
-    left, right = "concat('Item ', l_partkey)", "concat('Asset ', l_suppkey)"
+    line = "l_orderkey AS page, place AS row_no"
+    left, right = "concat('Item ', l_partkey, ' units')", "concat('Asset ', l_suppkey, ' units')"
     return [
-        ("sums", f"SELECT l_orderkey, max(l_linenumber) + 1 AS n, sum({d.half_even('l_extendedprice')}) AS total FROM lineitem GROUP BY l_orderkey"),
+        NUMBERED,
+        ("sums", f"SELECT l_orderkey, max(place) + 1 AS n, sum({d.half_even('l_extendedprice')}) AS total FROM numbered GROUP BY l_orderkey"),
         (
             "cells",
-            f"""SELECT {line}, CAST(10 AS DOUBLE) AS x0, CAST(200 AS DOUBLE) AS x1, {left} AS text FROM lineitem UNION ALL SELECT {line}, 350, 430, {indian(d, d.half_even('l_extendedprice'))} FROM lineitem
-          UNION ALL SELECT {line}, 520, 700, {right} FROM lineitem UNION ALL SELECT {line}, 850, 930, {indian(d, d.half_even('l_extendedprice'))} FROM lineitem
+            f"""SELECT {line}, CAST(10 AS DOUBLE) AS x0, CAST(200 AS DOUBLE) AS x1, {left} AS text FROM numbered UNION ALL SELECT {line}, 350, 430, {indian(d, d.half_even('l_extendedprice'))} FROM numbered
+          UNION ALL SELECT {line}, 520, 700, {right} FROM numbered UNION ALL SELECT {line}, 850, 930, {indian(d, d.half_even('l_extendedprice'))} FROM numbered
           UNION ALL SELECT l_orderkey, n, 350, 430, {indian(d, 'total')} FROM sums UNION ALL SELECT l_orderkey, n, 850, 930, {indian(d, 'total')} FROM sums""",
         ),
     ]
@@ -362,8 +380,9 @@ def column_cells(d: Spark):
     """Each order as a one-column statement with this and last year's figures and a total."""
     both = f"concat({indian(d, d.half_even('l_extendedprice'))}, ' ', {indian(d, d.half_even('l_extendedprice * 0.9'))})"
     return [
-        ("sums", f"SELECT l_orderkey, max(l_linenumber) + 1 AS n, sum({d.half_even('l_extendedprice')}) AS total FROM lineitem GROUP BY l_orderkey"),
-        ("cells", f"SELECT l_orderkey AS page, l_linenumber AS row_no, CAST(10 AS DOUBLE) AS x0, CAST(200 AS DOUBLE) AS x1, concat('Item ', l_partkey) AS text, CAST(560 AS DOUBLE) AS edge FROM lineitem UNION ALL SELECT l_orderkey, l_linenumber, 480, 640, {both}, 560 FROM lineitem UNION ALL SELECT l_orderkey, n, 10, 60, 'Total', 560 FROM sums UNION ALL SELECT l_orderkey, n, 480, 560, {indian(d, 'total')}, 560 FROM sums"),
+        NUMBERED,
+        ("sums", f"SELECT l_orderkey, max(place) + 1 AS n, sum({d.half_even('l_extendedprice')}) AS total FROM numbered GROUP BY l_orderkey"),
+        ("cells", f"SELECT l_orderkey AS page, place AS row_no, CAST(10 AS DOUBLE) AS x0, CAST(200 AS DOUBLE) AS x1, concat('Item ', l_partkey, ' units') AS text, CAST(560 AS DOUBLE) AS edge FROM numbered UNION ALL SELECT l_orderkey, place, 480, 640, {both}, 560 FROM numbered UNION ALL SELECT l_orderkey, n, 10, 60, 'Total', 560 FROM sums UNION ALL SELECT l_orderkey, n, 480, 560, {indian(d, 'total')}, 560 FROM sums"),
     ]
 
 
@@ -421,7 +440,41 @@ def case_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CASE_ROWS = ("sundry_creditors", "unsecured_loans", "secured_loan_ccod", "reserves", "deferred_tax_liability", "debtors", "fixed_assets", "intangible_assets", "investments", "other_non_current_assets", "total_liabilities", "total_assets")
 
-#: Sequential operators: no SQL form, tested on literal fixtures.
+def ocr_table(d: Spark):
+    text = "STRING" if d.name == "spark" else "VARCHAR"
+    return [("ocr", f"SELECT user_id AS page, event_id % 500 AS left, event_id % 300 AS top, 40 AS width, 12 AS height, CASE WHEN event_id % 11 = 0 THEN ' ' ELSE event_type END AS text, CASE WHEN event_id % 13 = 0 THEN '-1' WHEN event_id % 17 = 0 THEN 'x' ELSE CAST(event_id % 100 AS {text}) END AS conf FROM events")]
+
+
+def polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    corner = lambda x, y: f"named_struct('x', CAST(event_id % 500 + {x} AS DOUBLE), 'y', CAST(event_id % 300 + {y} AS DOUBLE))"
+    box = f"array({corner(3, 0)}, {corner(40, 2)}, {corner(38, 14)}, {corner(0, 12)})"
+    return documents.polygon_words(runner(lambda d: [("polygons", f"SELECT user_id AS page, {box} AS box, event_type AS text, CAST(event_id % 100 AS DOUBLE) / 100 AS score FROM events")])(spark, sf_dir))
+
+
+def rotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as pages, read at the angle of each turn; every third has a page's words in one of them."""
+    words = "repeat('balance sheet total year ended march tax income ', 2)"
+    return documents.best_rotation(runner(lambda d: [("turned", f"SELECT conv_id AS page, CAST(turn % 4 * 90 AS INT) AS angle, CASE WHEN conv_id % 3 = 0 AND turn % 4 = 1 THEN concat({words}, text) ELSE text END AS text FROM conversations")])(spark, sf_dir))
+
+
+def learned_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = "SELECT DISTINCT label, CASE seq % 5 WHEN 0 THEN 'sundry_creditors' WHEN 1 THEN 'no such row' WHEN 2 THEN 'purchases' ELSE 'debtors' END AS key FROM lines"
+    return cache.cacheable(runner(upto(lambda d: [("pairs", pairs)]))(spark, sf_dir))
+
+
+def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents.identified(runner(lambda d: [("contents", "SELECT url AS path, CAST(html AS BINARY) AS content FROM pages WHERE html IS NOT NULL AND url IS NOT NULL")])(spark, sf_dir)).select("doc_id", "source_name")
+
+
+#: Operators of the sources, on tables made of the driver's.
+QUERIES |= {
+    "ocr_words": lambda spark, sf: documents.tesseract_words(runner(ocr_table)(spark, sf)),
+    "polygon_words": polygons,
+    "best_rotation": rotations,
+    "learned_labels": learned_labels,
+    "source_files": source_files,
+}
+#: Sequential operators, and the whole way of a case.
 QUERIES |= {
     "case_spread": case_spread,
     "row_assembly": lambda spark, sf: grouped.row_assembly(runner(words)(spark, sf)),

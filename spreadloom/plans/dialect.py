@@ -59,6 +59,10 @@ class Spark:
     def head(self, x: str, n: int) -> str:
         return f"slice({x}, 1, {n})"
 
+    def sliced(self, x: str, n: str) -> str:
+        """The first ``n`` elements, an expression."""
+        return f"slice({x}, 1, CAST({n} AS INT))"
+
     def each(self, x: str) -> str:
         return f"explode({x})"
 
@@ -163,6 +167,9 @@ class Duck(Spark):
     def head(self, x: str, n: int) -> str:
         return f"({x})[1:{n}]"
 
+    def sliced(self, x: str, n: str) -> str:
+        return f"({x})[1:{n}]"
+
     def each(self, x: str) -> str:
         return f"unnest({x})"
 

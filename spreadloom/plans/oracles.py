@@ -379,3 +379,32 @@ SQL |= {
       seen AS (SELECT doc, bool_or(length(h) <= 80 AND regexp_matches(h, '(?i)^.{{0,10}}({SHEET_WORDS})')) AS a, bool_or(length(h) <= 80 AND regexp_matches(h, '(?i)^.{{0,10}}({RESULT_WORDS})')) AS b FROM head GROUP BY doc)
       SELECT DISTINCT turn_page.doc, coalesce(a, FALSE) AND coalesce(b, FALSE) AS has_both FROM turn_page LEFT JOIN seen ON turn_page.doc = seen.doc""",
 }
+
+# ---- harvests, geometry and sources
+
+PLACED_LINES = "src AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS place, round_even(l_extendedprice, 0)::BIGINT AS amount FROM lineitem)"
+BOX = "box AS (SELECT day(ts) AS page, user_id % 50 AS row_no, (event_id * 37 % 1000)::DOUBLE AS x0, (event_id * 37 % 1000 + 12)::DOUBLE AS x1, event_type AS text, round_even(value, 0)::BIGINT AS amount FROM events)"
+INDIAN = "regexp_replace(regexp_replace(({0})::VARCHAR, '(\\d)(\\d{{3}})$', '\\1,\\2'), '(\\d)(\\d{{2}}),', '\\1,\\2,', 'g')"
+SQL |= {
+    "t_account_harvest": f"""WITH {PLACED_LINES}, t AS (SELECT l_orderkey, sum(amount)::BIGINT AS total FROM src GROUP BY l_orderkey)
+      SELECT src.l_orderkey AS page, side, (place - 1)::INT AS seq, if(side = 'left', 'Item ' || l_partkey, 'Asset ' || l_suppkey) || ' units' AS label, amount, total AS printed, 'verified' AS status FROM src JOIN t ON src.l_orderkey = t.l_orderkey, (VALUES ('left'), ('right')) v(side)""",
+    "vertical_harvest": f"""WITH {PLACED_LINES} SELECT l_orderkey AS page, 0::INT AS section, '' AS name, (place - 1)::INT AS seq, 'Item ' || l_partkey || ' units' AS label, amount, sum(amount) OVER (PARTITION BY l_orderkey)::BIGINT AS total, if(count(*) OVER (PARTITION BY l_orderkey) > 1, TRUE, NULL) AS passed FROM src""",
+    "overlapping_boxes": f"""WITH {BOX}, f AS (SELECT *, lag(x0) OVER w AS p0, lag(x1) OVER w AS p1 FROM box WINDOW w AS (PARTITION BY page, row_no ORDER BY x0, x1, text)) SELECT page, row_no, x0, x1, p0, p1, p1 - x0 > 0.3 * 12 AS overlap FROM f WHERE p0 IS NOT NULL""",
+    "period_right_edge": f"""WITH {BOX}, near AS (SELECT page, row_no, arg_min(x1, (abs(x0 + x1 - 1060), x1)) AS e FROM box WHERE x0 >= 760 OR x1 <= 700 GROUP BY page, row_no), l AS (SELECT page, list(e ORDER BY e) AS es FROM near GROUP BY page) SELECT page, es[len(es) // 2 + 1] AS edge FROM l""",
+    "side_tags": f"""WITH {sheets()} SELECT item.block, seq::BIGINT AS seq, side, if(kind = 'profit_loss' AND label NOT LIKE '[%', if(side = 'left', '[EXP] ', '[INC] ') || label, label) AS label, amount FROM item JOIN sheet ON item.block = sheet.block""",
+    "split_cells": f"""WITH src AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_partkey, l_linenumber, {INDIAN.format("round_even(l_extendedprice, 0)::BIGINT")} AS a, {INDIAN.format("round_even(l_quantity * 1000, 0)::BIGINT")} AS b, round_even(l_extendedprice, 0)::BIGINT AS p, round_even(l_quantity * 100, 0)::BIGINT AS q FROM lineitem),
+      part AS (SELECT id, l_partkey % 7 AS m, CASE l_partkey % 7 WHEN 0 THEN [a || '.00', b] WHEN 1 THEN [a || '.00', 'Furniture & Fixtures'] WHEN 2 THEN ['(' || a || ')'] WHEN 3 THEN ['Mh-12-' || (1000 + l_partkey % 9000)] WHEN 4 THEN [(1995 + l_partkey % 20)::VARCHAR] WHEN 5 THEN [p || '', q || '.50'] ELSE ['Note ' || l_linenumber] END AS ts,
+                      CASE l_partkey % 7 WHEN 0 THEN [p, round_even(replace(b, ',', '')::DOUBLE, 0)] WHEN 1 THEN [p, NULL] WHEN 2 THEN [-p] WHEN 5 THEN [p, q + 0.5] ELSE [NULL] END::DOUBLE[] AS vs FROM src),
+      one AS (SELECT id, m, ts, vs, unnest(range(1, len(ts) + 1)) AS i FROM part), wide AS (SELECT *, CASE WHEN len(ts) = 1 THEN 1.0 ELSE (length(ts[1]) + (m <> 1)::INT)::DOUBLE / (length(ts[1]) + (m <> 1)::INT + length(ts[2])) END AS cut FROM one)
+      SELECT id, if(m = 1, 1, i)::BIGINT AS k, if(m = 1, i, 1)::INT AS half, round(if(i = 1, 100, 100 + 200 * cut), 6)::DOUBLE AS x0, round(if(i = len(ts), 300, 100 + 200 * cut), 6)::DOUBLE AS x1, ts[i] AS text, vs[i] AS amount, m = 3 OR m = 6 OR (m = 1 AND i = 2) AS labelled FROM wide""",
+    "ocr_words": """SELECT user_id AS page, event_id % 500 AS x0, event_id % 300 AS y0, event_id % 500 + 40 AS x1, event_id % 300 + 12 AS y1, event_type AS text FROM events WHERE event_id % 11 <> 0 AND event_id % 13 <> 0 AND event_id % 17 <> 0 AND event_id % 100 >= 30""",
+    "polygon_words": """SELECT user_id AS page, (event_id % 500)::DOUBLE AS x0, (event_id % 300)::DOUBLE AS y0, (event_id % 500 + 40)::DOUBLE AS x1, (event_id % 300 + 14)::DOUBLE AS y1, event_type AS text FROM events WHERE event_id % 100 >= 50""",
+    "best_rotation": """WITH t AS (SELECT conv_id AS page, turn % 4 * 90 AS angle, if(conv_id % 3 = 0 AND turn % 4 = 1, repeat('balance sheet total year ended march tax income ', 2), '') || text AS text FROM conversations WHERE text IS NOT NULL),
+      s AS (SELECT page, angle, len(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda w: w IN ('balance', 'sheet', 'profit', 'loss', 'account', 'capital', 'assets', 'liabilities', 'income', 'tax', 'total', 'year', 'ended', 'march', 'loans', 'expenses'))) AS n FROM t)
+      SELECT page, if(max(n) >= 8 AND max(n) >= 3 * coalesce(max(n) FILTER (angle = 0), 0), arg_max(angle, (n, -angle)), 0)::INT AS angle FROM s GROUP BY page""",
+    "learned_labels": f"""WITH {ledger()} SELECT DISTINCT label, ['sundry_creditors', NULL, 'purchases', 'debtors', 'debtors'][seq % 5 + 1] AS key FROM line WHERE seq % 5 <> 1 AND NOT regexp_matches(label, '\\d{{4}}') AND NOT ((label LIKE '[INC]%' OR label LIKE '[EXP]%') AND seq % 5 <> 2)""",
+    "source_files": "SELECT sha256(encode(html)) AS doc_id, string_split(url, '/')[-1] AS source_name FROM pages WHERE html IS NOT NULL AND url IS NOT NULL",
+    "sheet_formulas": f"""WITH {year_rows()}, c AS (SELECT entity, year, chr((65 + row_number() OVER (PARTITION BY entity ORDER BY year))::INT) AS c FROM vals)
+      SELECT entity, year, unnest(['gross_receipts', 'gross_expenses', 'profit_before_tax', 'profit_after_tax', 'profit_available', 'cash_profit', 'total_liabilities', 'total_assets']) AS key, unnest(['IFERROR(SUM(' || c || '6:' || c || '6),0)', 'IFERROR(SUM(' || c || '8:' || c || '14),0)',
+        'IFERROR(' || c || '7-' || c || '15,0)', c || '16-' || c || '17-' || c || '18', c || '19+' || c || '20', 'IFERROR(' || c || '21+' || c || '13,0)', 'SUM(' || c || '24:' || c || '34)', 'SUM(' || c || '37:' || c || '44)']) AS formula FROM c""",
+}

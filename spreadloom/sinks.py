@@ -53,6 +53,18 @@ def audit(d: Spark):
     return [("audit", "SELECT entity, year, CASE WHEN key IS NULL THEN 'unmapped' WHEN key = '__ignored__' THEN 'ignored' ELSE 'source' END AS kind, label, key, amount, n FROM mapped")]
 
 
+def formulas(d: Spark):
+    """The live formulas of the sheet's derived rows, in the column of each year."""
+    rows = row_map()
+    spelt = {k: re.sub(r"\{(\w+)\}", lambda m: f"#{rows[m[1]]}", f) for k, f in T.FORMULAS.items()}
+    told = "CASE key " + " ".join(f"WHEN '{k}' THEN {d.text(f)}" for k, f in spelt.items()) + " END"
+    return [
+        ("sheet_years", "SELECT entity, year, row_number() OVER (PARTITION BY entity ORDER BY year) + 1 AS c FROM vals"),
+        ("formula_keys", f"SELECT entity, year, c, {d.each(d.list([repr(k) for k in spelt]))} AS key FROM sheet_years"),
+        ("formulas", f"SELECT entity, year, key, replace({told}, '#', chr(CAST(64 + c AS INT))) AS formula FROM formula_keys"),
+    ]
+
+
 def blocks(d: Spark):
     """The blocks under the sheet: snap, ratios and growth, each figure with its formula in the sheet's cells.
 

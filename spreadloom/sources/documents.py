@@ -20,8 +20,12 @@ WORDS = "doc_id string, page_no int, width double, x0 double, y0 double, x1 doub
 
 def files(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, source_name, content): a file is known by the hash of its bytes."""
-    read = spark.read.format("binaryFile").load(path)
-    return read.select(F.sha2("content", 256).alias("doc_id"), F.element_at(F.split("path", "/"), -1).alias("source_name"), "content")
+    return identified(spark.read.format("binaryFile").load(path))
+
+
+def identified(contents: DataFrame) -> DataFrame:
+    """(path, content) -> (doc_id, source_name, content)."""
+    return contents.select(F.sha2("content", 256).alias("doc_id"), F.element_at(F.split("path", "/"), -1).alias("source_name"), "content")
 
 
 def with_pages(reader: Callable[[bytes, list[int]], list[tuple]], pages: list[int]) -> Callable[[bytes], list[tuple]]:
