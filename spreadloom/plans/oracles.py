@@ -394,7 +394,7 @@ SQL |= {
     "side_tags": f"""WITH {sheets()} SELECT item.block, seq::BIGINT AS seq, side, if(kind = 'profit_loss' AND label NOT LIKE '[%', if(side = 'left', '[EXP] ', '[INC] ') || label, label) AS label, amount FROM item JOIN sheet ON item.block = sheet.block""",
     "split_cells": f"""WITH src AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_partkey, l_linenumber, {INDIAN.format("round_even(l_extendedprice, 0)::BIGINT")} AS a, {INDIAN.format("round_even(l_quantity * 1000, 0)::BIGINT")} AS b, round_even(l_extendedprice, 0)::BIGINT AS p, round_even(l_quantity * 100, 0)::BIGINT AS q FROM lineitem),
       part AS (SELECT id, l_partkey % 7 AS m, CASE l_partkey % 7 WHEN 0 THEN [a || '.00', b] WHEN 1 THEN [a || '.00', 'Furniture & Fixtures'] WHEN 2 THEN ['(' || a || ')'] WHEN 3 THEN ['Mh-12-' || (1000 + l_partkey % 9000)] WHEN 4 THEN [(1995 + l_partkey % 20)::VARCHAR] WHEN 5 THEN [p || '', q || '.50'] ELSE ['Note ' || l_linenumber] END AS ts,
-                      CASE l_partkey % 7 WHEN 0 THEN [p, round_even(replace(b, ',', '')::DOUBLE, 0)] WHEN 1 THEN [p, NULL] WHEN 2 THEN [-p] WHEN 5 THEN [p, q + 0.5] ELSE [NULL] END::DOUBLE[] AS vs FROM src),
+                      CASE l_partkey % 7 WHEN 0 THEN [p, round_even(replace(b, ',', '')::DOUBLE, 0)] WHEN 1 THEN [p, NULL] WHEN 2 THEN [-p] WHEN 5 THEN [if(p BETWEEN 1900 AND 2100, NULL, p), q + 0.5] ELSE [NULL] END::DOUBLE[] AS vs FROM src),
       one AS (SELECT id, m, ts, vs, unnest(range(1, len(ts) + 1)) AS i FROM part), wide AS (SELECT *, CASE WHEN len(ts) = 1 THEN 1.0 ELSE (length(ts[1]) + (m <> 1)::INT)::DOUBLE / (length(ts[1]) + (m <> 1)::INT + length(ts[2])) END AS cut FROM one)
       SELECT id, if(m = 1, 1, i)::BIGINT AS k, if(m = 1, i, 1)::INT AS half, round(if(i = 1, 100, 100 + 200 * cut), 6)::DOUBLE AS x0, round(if(i = len(ts), 300, 100 + 200 * cut), 6)::DOUBLE AS x1, ts[i] AS text, vs[i] AS amount, m = 3 OR m = 6 OR (m = 1 AND i = 2) AS labelled FROM wide""",
     "ocr_words": """SELECT user_id AS page, event_id % 500 AS x0, event_id % 300 AS y0, event_id % 500 + 40 AS x1, event_id % 300 + 12 AS y1, event_type AS text FROM events WHERE event_id % 11 <> 0 AND event_id % 13 <> 0 AND event_id % 17 <> 0 AND event_id % 100 >= 30""",
