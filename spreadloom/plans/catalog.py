@@ -351,6 +351,45 @@ PLANS |= {
     "checked_trust": upto(*ALL_CHECKS, trust.checked),
     "combined_accounts": given(reading.combined, account_lines=(fixtures.ACCOUNT_LINES, "block, seq, side, label, amount")),
 }
+
+
+def return_pages(step: Callable) -> Plan:
+    """Conversations as returns: an acknowledgement, a computation and a note of owners' loans among other turns."""
+
+    def plan(d: Spark):
+        text = "STRING" if d.name == "spark" else "VARCHAR"
+        lines = lambda *parts: f"concat({f', {d.newline}, '.join(parts)}, {d.newline}, text)"
+        pan = f"concat('Assessment Year 2023-24 PAN ABCDE', CAST(1000 + conv_id % 9000 AS {text}), 'F ITR-3')"
+        loss = f"concat('Current Year business loss, if any 1 ', {indian(d, 'conv_id * 7919 + 1000')})"
+        paid = f"concat('Taxes Paid 7 ', {indian(d, 'conv_id * 31 + 1000')})"
+        profit = f"concat('Net profit as per P & L A/c : ', CASE WHEN conv_id % 2 = 0 THEN '(' ELSE '' END, {indian(d, 'conv_id * 113 + 5000')}, CASE WHEN conv_id % 2 = 0 THEN ')' ELSE '' END)"
+        loan = f"concat('Loans from directors (Unsecured) ', {indian(d, 'conv_id * 17 + 9000')})"
+        body = f"CASE turn % 4 WHEN 0 THEN {lines(chr(39) + 'INDIAN INCOME TAX RETURN ACKNOWLEDGEMENT' + chr(39), pan, loss, paid)} WHEN 1 THEN {lines(chr(39) + 'COMPUTATION OF INCOME' + chr(39), profit)} WHEN 2 THEN {lines(loan)} ELSE text END"
+        return [("pages_in", f"SELECT conv_id AS doc, CAST(turn AS BIGINT) AS page, {body} AS text FROM conversations WHERE text IS NOT NULL"), *step(d)]
+
+    return plan
+
+
+def owner_loans(d: Spark):
+    return [("page_lines", f"SELECT doc, page, {d.each(d.lines('text'))} AS line FROM pages_in"), ("result", f"SELECT doc, page, trim(line) AS line FROM page_lines WHERE {scalars.owner_loan(d, 'line')}")]
+
+
+def parsed_lines(d: Spark):
+    """Every line of every document through the readers of lines, headings, periods and units."""
+    parts = {
+        "label": scalars.line_label(d, "line"), "amount": scalars.line_amount(d, "line"), "row": scalars.row_kind(d, "line"), "title": scalars.is_title(d, "line"), "address": scalars.is_address(d, "line"),
+        "year": scalars.period_year(d, "line"), "scale": scalars.unit_scale(d, "line"), "number": scalars.to_int(d, "line"), "repaired": scalars.repaired(d, "line"), "section": rules.first_of(d, "line", rules.SECTIONS),
+    }
+    return [("text_lines", f"SELECT doc_id, {d.each(d.lines('text'))} AS line FROM documents"), ("result", f"SELECT doc_id, {', '.join(f'{e} AS {n}' for n, e in parts.items())} FROM text_lines WHERE line <> ''")]
+
+
+PLANS |= {
+    "book_profit_turns": return_pages(reading.book_profit),
+    "return_figures_turns": return_pages(reading.return_figures),
+    "identity_turns": return_pages(lambda d: [("result", f"SELECT doc, page, {', '.join(f'{e} AS {n}' for n, e in scalars.identity(d, 'text').items())} FROM pages_in")]),
+    "owner_loans_turns": return_pages(owner_loans),
+    "parse_lines_documents": parsed_lines,
+}
 QUERIES = {name: runner(plan) for name, plan in PLANS.items()}
 #: Answers written by hand where there are any, else the same plan for the other engine.
 ORACLES = {name: statement(plan, DUCK) for name, plan in PLANS.items()} | oracles.SQL

@@ -408,3 +408,11 @@ SQL |= {
       SELECT entity, year, unnest(['gross_receipts', 'gross_expenses', 'profit_before_tax', 'profit_after_tax', 'profit_available', 'cash_profit', 'total_liabilities', 'total_assets']) AS key, unnest(['IFERROR(SUM(' || c || '6:' || c || '6),0)', 'IFERROR(SUM(' || c || '8:' || c || '14),0)',
         'IFERROR(' || c || '7-' || c || '15,0)', c || '16-' || c || '17-' || c || '18', c || '19+' || c || '20', 'IFERROR(' || c || '21+' || c || '13,0)', 'SUM(' || c || '24:' || c || '34)', 'SUM(' || c || '37:' || c || '44)']) AS formula FROM c""",
 }
+
+GROUPED = INDIAN.replace("{0}", "{0}::BIGINT")
+SQL |= {
+    "book_profit_turns": "SELECT conv_id AS doc, min(turn)::BIGINT AS page, (conv_id * 113 + 5000) * if(conv_id % 2 = 0, -1, 1) AS profit FROM conversations WHERE turn % 4 = 1 AND text IS NOT NULL GROUP BY conv_id",
+    "return_figures_turns": """SELECT conv_id AS doc, min(turn)::BIGINT AS page, conv_id * 7919 + 1000 AS current_year_business_loss, NULL::BIGINT AS gross_total_income, NULL::BIGINT AS total_income, NULL::BIGINT AS net_tax_payable, conv_id * 31 + 1000 AS taxes_paid,
+      NULL::BIGINT AS tax_payable_or_refund FROM conversations WHERE turn % 4 = 0 AND text IS NOT NULL GROUP BY conv_id""",
+    "owner_loans_turns": f"SELECT conv_id AS doc, turn::BIGINT AS page, 'Loans from directors (Unsecured) ' || {GROUPED.format('conv_id * 17 + 9000')} AS line FROM conversations WHERE turn % 4 = 2 AND text IS NOT NULL",
+}
