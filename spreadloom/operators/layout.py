@@ -107,10 +107,20 @@ def filled_tags(d: Spark):
     return [("tagged", f"SELECT page, row_no, label, {d.last('tag', 'PARTITION BY page ORDER BY row_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW')} AS tag FROM rows_in")]
 
 
-def divider_gaps(d: Spark, most: int = 7):
-    """The widest gaps within the middle band of a page, as dividers of a two-sided account."""
-    return [
+def divider_gaps(d: Spark, most: int = 8):
+    """Where a two-sided page may be divided: its centre, then the middles of the widest gaps in the band between 30 % and 70 % of its width.
+
+    A middle within 2 % of the width of one before it is passed over; ``most`` are kept, in order.
+    """
+    steps = [
         ("marks", "SELECT DISTINCT page, width, x0 AS x FROM boxes WHERE x0 BETWEEN 0.3 * width AND 0.7 * width"),
-        ("gaps", "SELECT page, (x + lead(x) OVER (PARTITION BY page ORDER BY x)) / 2 AS middle, lead(x) OVER (PARTITION BY page ORDER BY x) - x AS gap FROM marks"),
-        ("dividers", f"SELECT page, middle, gap FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY gap DESC, middle) AS k FROM gaps WHERE gap IS NOT NULL) AS g WHERE k <= {most}"),
+        ("gaps", "SELECT page, width, (x + lead(x) OVER (PARTITION BY page ORDER BY x)) / 2 AS middle, lead(x) OVER (PARTITION BY page ORDER BY x) - x AS gap FROM marks"),
+        ("middles", f"SELECT page, max(width) AS width, {d.in_order('middle', 'struct(-gap, middle)' if d.name == 'spark' else '-gap, middle')} AS middles FROM gaps WHERE gap IS NOT NULL GROUP BY page"),
+    ]
+    if d.name != "spark":
+        return steps
+    return [
+        *steps,
+        ("kept", f"SELECT page, aggregate(middles, array(width / 2), (acc, m) -> CASE WHEN size(acc) < {most} AND forall(acc, o -> abs(m - o) >= 0.02 * width) THEN array_append(acc, m) ELSE acc END) AS dividers FROM middles"),
+        ("dividers", "SELECT page, CAST(pos + 1 AS INT) AS k, col AS middle FROM kept LATERAL VIEW posexplode(dividers) AS pos, col"),
     ]

@@ -92,6 +92,24 @@ def comparative(d: Spark):
     ]
 
 
+#: The grand totals worth reading from a comparative column.
+ANCHORS = (
+    ("total_revenue", r"total\s+revenue|total\s+income\b"),
+    ("total_expenses", r"total\s+expenses?\b"),
+    ("total_assets", r"total\s+assets\b"),
+    ("total_equity_liabilities", r"total\s+equity\s+(?:and|&)\s+liabilit|total\s+liabilit\w*\s+(?:and|&)\s+equity"),
+)
+
+
+def comparative_totals(d: Spark):
+    """The named grand totals of a statement's comparative column; ``prior_rows`` (block, seq, label, prior), the last of a name counts."""
+    anchor = "CASE " + " ".join(f"WHEN {d.match('label', p)} THEN '{k}'" for k, p in ANCHORS) + " END"
+    return [
+        ("anchored", f"SELECT block, seq, prior, {anchor} AS anchor FROM prior_rows WHERE prior IS NOT NULL"),
+        ("comparative_totals", "SELECT block, " + ", ".join(f"max_by(CASE WHEN anchor = '{k}' THEN prior END, CASE WHEN anchor = '{k}' THEN seq END) AS {k}" for k, _ in ANCHORS) + " FROM anchored WHERE anchor IS NOT NULL GROUP BY block"),
+    ]
+
+
 def segmented(d: Spark):
     """Parts of an account between its subtotals; taken only when every part's two sides agree, and then the parts add up."""
     return [

@@ -321,6 +321,11 @@ def subtotalled(d: Spark):
     return [*statements(d), ("sub_lines", "SELECT block, seq, side, amount, CASE WHEN seq % 2 = 0 THEN 1 ELSE 0 END AS subtotal FROM lines_in")]
 
 
+def prior_rows(d: Spark):
+    """Totals of sections as lines of a comparative column."""
+    return [*statements(d), ("prior_rows", "SELECT block, CAST(section AS BIGINT) AS seq, max(name) AS label, CASE WHEN block % 6 <> 5 THEN max(total) END AS prior FROM lines_in GROUP BY block, section")]
+
+
 def year_headers(d: Spark):
     return [
         ("own_years", "SELECT o_orderkey AS own_block, CAST(year(o_orderdate) AS INT) AS year FROM orders"),
@@ -336,6 +341,7 @@ PLANS |= {
     "continuations": given(reading.continued, page_ends=(fixtures.PAGE_ENDS, "doc, page, first_line, last_line")),
     "header_years": given(reading.header_years, page_rows=(fixtures.PAGE_ROWS, "page, row_no, text")),
     "comparative_statements": after(year_headers, reading.comparative),
+    "comparative_totals": after(prior_rows, reading.comparative_totals),
     "segmented_accounts": after(subtotalled, reading.segmented),
     "restated_parents": given(reading.restated_parents, lines_in=(fixtures.RESTATED, "block, section, seq, amount, total")),
     "vision_adoption": given(reading.adopted, first_reading=(fixtures.FIRST, "block, l0, r0"), second_reading=(fixtures.SECOND, "block, l1, r1")),

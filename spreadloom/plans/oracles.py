@@ -416,3 +416,11 @@ SQL |= {
       NULL::BIGINT AS tax_payable_or_refund FROM conversations WHERE turn % 4 = 0 AND text IS NOT NULL GROUP BY conv_id""",
     "owner_loans_turns": f"SELECT conv_id AS doc, turn::BIGINT AS page, 'Loans from directors (Unsecured) ' || {GROUPED.format('conv_id * 17 + 9000')} AS line FROM conversations WHERE turn % 4 = 2 AND text IS NOT NULL",
 }
+SQL |= {
+    "comparative_totals": f"""WITH {sheets()}, named AS (SELECT block, section, says, CASE WHEN block % 9 <> 5 THEN CASE says WHEN 'revenue' THEN 'total_revenue' WHEN 'assets' THEN 'total_assets' WHEN 'liabilities' THEN 'total_equity_liabilities' END END AS anchor, total FROM sect WHERE block % 6 <> 5 AND total IS NOT NULL)
+      SELECT block, {", ".join(f"max(total) FILTER (anchor = '{k}') AS {k}" for k in ("total_revenue", "total_expenses", "total_assets", "total_equity_liabilities"))} FROM named WHERE anchor IS NOT NULL GROUP BY block""",
+    "divider_candidates": f"""WITH RECURSIVE {BOX}, mark AS (SELECT DISTINCT page, x0 AS x FROM box WHERE x0 BETWEEN 300 AND 700), gap AS (SELECT page, x, lead(x) OVER (PARTITION BY page ORDER BY x) AS y FROM mark),
+      mid AS (SELECT page, (x + y) / 2 AS m, row_number() OVER (PARTITION BY page ORDER BY y - x DESC, (x + y) / 2) AS i FROM gap WHERE y IS NOT NULL),
+      fold AS (SELECT page, 0::BIGINT AS i, [500.0::DOUBLE] AS ds FROM (SELECT DISTINCT page FROM mid) UNION ALL SELECT fold.page, mid.i, if(len(ds) < 8 AND len(list_filter(ds, lambda o: abs(m - o) < 20)) = 0, ds || [m], ds) FROM fold JOIN mid ON fold.page = mid.page AND mid.i = fold.i + 1),
+      whole AS (SELECT page, arg_max(ds, i) AS ds FROM fold GROUP BY page) SELECT page, unnest(range(1, len(ds) + 1))::INT AS k, unnest(ds) AS middle FROM whole""",
+}
