@@ -10,7 +10,7 @@ from spreadloom.plans.dialect import SPARK
 SF = "/root/testdata/sf0.001"
 TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}
 #: Too few rows at this size for a match.
-SPARSE = {"joint_subset", "dedupe_overlap", "comparative_recovery", "schedule_match"}
+SPARSE = {"joint_subset", "pages_retried", "comparative_recovery"}
 
 
 @pytest.fixture(scope="module")
