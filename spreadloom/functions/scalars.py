@@ -116,6 +116,16 @@ def is_business(d: Spark, x: str) -> str:
     return f"length(trim({x})) BETWEEN 4 AND 70 AND NOT {d.match(x, PROSE)} AND {d.size(words)} BETWEEN 1 AND 9 AND {strong} >= greatest(2, floor({d.size(words)} / 2))"
 
 
+PROPRIETOR = r"^\(?\s*(?:proprietors?|prop|partners?|owners?)\s*[:.]"
+
+
+def name_line(d: Spark, x: str) -> str:
+    """What a line above a heading says of whose it is: the line, cleaned, or NULL for an address, a heading, a skipped line or figures."""
+    clean = stripped(d, d.replace(x, r"\s+", " "), r" .:|=\t-")
+    digits = f"(length({clean}) - length({d.replace(clean, '[0-9]', '', True)}))"
+    return f"CASE WHEN length({clean}) >= 4 AND NOT {is_address(d, clean)} AND NOT {d.match(clean, SKIP)} AND NOT {d.match(clean, TITLES)} AND {digits} <= 0.3 * length({clean}) THEN {clean} END"
+
+
 def norm_entity(d: Spark, x: str) -> str:
     return d.replace(f"lower({x})", "[^a-z0-9]", "", True)
 

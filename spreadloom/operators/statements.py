@@ -40,6 +40,24 @@ def classified(d: Spark):
     ]
 
 
+def entities(d: Spark, most: int = 3):
+    """The name above each heading: of the three lines before it the nearest that names something, a proprietor's only if none else does.
+
+    ``heading_rows`` (doc, row_no, text, title) are the lines of pages.
+    """
+    from spreadloom.functions import scalars
+
+    own = f"CASE WHEN NOT {d.match('found', scalars.PROPRIETOR)} THEN found END"
+    owner = f"CASE WHEN {d.match('found', scalars.PROPRIETOR)} THEN found END"
+    above = lambda c: ", ".join(f"lag({c}, {k}) OVER (PARTITION BY doc ORDER BY row_no)" for k in range(1, most + 1))
+    return [
+        ("named_lines", f"SELECT *, {scalars.name_line(d, 'text')} AS found FROM heading_rows"),
+        ("told_lines", f"SELECT *, {own} AS own, {owner} AS owner FROM named_lines"),
+        ("above", f"SELECT doc, row_no, title, coalesce({above('own')}, {above('owner')}, '') AS entity FROM told_lines"),
+        ("entities", "SELECT doc, row_no, entity FROM above WHERE title"),
+    ]
+
+
 def continued(d: Spark):
     """Pages (doc, page, first_line, last_line) -> the page each belongs to: carried over at its end, brought forward on the next."""
     return [

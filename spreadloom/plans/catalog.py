@@ -321,6 +321,18 @@ def subtotalled(d: Spark):
     return [*statements(d), ("sub_lines", "SELECT block, seq, side, amount, CASE WHEN seq % 2 = 0 THEN 1 ELSE 0 END AS subtotal FROM lines_in")]
 
 
+def heading_rows(d: Spark):
+    """Each order as four lines: a business, a proprietor, an address or figures, and a heading, some of them missing."""
+    text = "STRING" if d.name == "spark" else "VARCHAR"
+    key = f"CAST(o_orderkey AS {text})"
+    return [(
+        "heading_rows",
+        f"""SELECT o_orderkey AS doc, 0 AS row_no, CASE WHEN o_orderkey % 5 = 0 THEN 'To' ELSE concat('Shree  Traders ', CASE o_orderkey % 3 WHEN 0 THEN 'Pune' ELSE 'Road Carriers' END, ' :-') END AS text, FALSE AS title FROM orders
+          UNION ALL SELECT o_orderkey, 1, concat('(Proprietor : R ', CASE WHEN o_orderkey % 2 = 0 THEN 'Rao' ELSE 'Shah' END, ')'), FALSE FROM orders WHERE o_orderkey % 4 <> 1
+          UNION ALL SELECT o_orderkey, 2, CASE o_orderkey % 3 WHEN 0 THEN 'Plot 12, MIDC, Pune 411001' WHEN 1 THEN concat('No ', {key}, '00000') ELSE 'Balance Sheet total' END, FALSE FROM orders UNION ALL SELECT o_orderkey, 3, 'Balance Sheet as on 31.03.2024', TRUE FROM orders""",
+    )]
+
+
 def prior_rows(d: Spark):
     """Totals of sections as lines of a comparative column."""
     return [*statements(d), ("prior_rows", "SELECT block, CAST(section AS BIGINT) AS seq, max(name) AS label, CASE WHEN block % 6 <> 5 THEN max(total) END AS prior FROM lines_in GROUP BY block, section")]
@@ -341,6 +353,7 @@ PLANS |= {
     "continuations": given(reading.continued, page_ends=(fixtures.PAGE_ENDS, "doc, page, first_line, last_line")),
     "header_years": given(reading.header_years, page_rows=(fixtures.PAGE_ROWS, "page, row_no, text")),
     "comparative_statements": after(year_headers, reading.comparative),
+    "entity_above": after(heading_rows, reading.entities),
     "comparative_totals": after(prior_rows, reading.comparative_totals),
     "segmented_accounts": after(subtotalled, reading.segmented),
     "restated_parents": given(reading.restated_parents, lines_in=(fixtures.RESTATED, "block, section, seq, amount, total")),

@@ -424,3 +424,5 @@ SQL |= {
       fold AS (SELECT page, 0::BIGINT AS i, [500.0::DOUBLE] AS ds FROM (SELECT DISTINCT page FROM mid) UNION ALL SELECT fold.page, mid.i, if(len(ds) < 8 AND len(list_filter(ds, lambda o: abs(m - o) < 20)) = 0, ds || [m], ds) FROM fold JOIN mid ON fold.page = mid.page AND mid.i = fold.i + 1),
       whole AS (SELECT page, arg_max(ds, i) AS ds FROM fold GROUP BY page) SELECT page, unnest(range(1, len(ds) + 1))::INT AS k, unnest(ds) AS middle FROM whole""",
 }
+SQL["entity_above"] = """SELECT o_orderkey AS doc, 3 AS row_no, CASE WHEN o_orderkey % 5 <> 0 THEN if(o_orderkey % 3 = 0, 'Shree Traders Pune', 'Shree Traders Road Carriers')
+  WHEN o_orderkey % 4 <> 1 THEN '(Proprietor : R ' || if(o_orderkey % 2 = 0, 'Rao', 'Shah') || ')' ELSE '' END AS entity FROM orders"""

@@ -43,17 +43,18 @@ def blocks_of(rows: DataFrame) -> DataFrame:
     """(page, block, row_no, text, kind, year, entity, scale): rows of statements with what their headings say.
 
     Titles open blocks, a footer ends one; the period is read on the heading and three rows below, the unit from four
-    rows above to seven below, the entity on the nearest plausible of three rows above.
+    rows above to seven below, the entity on the nearest of three rows above that names something, a proprietor's row only if no other does.
     """
     w = Window.partitionBy("page").orderBy("row_no")
     text = rows.withColumns({"title": scalars.columns(scalars.is_title, "text"), "footer": scalars.columns(scalars.row_kind, "text") == "footer", "period": scalars.columns(scalars.period_year, "text")})
-    plausible = scalars.columns(scalars.is_business, "text") & ~scalars.columns(scalars.is_address, "text") & ~F.col("title")
-    text = text.withColumn("name", F.when(plausible, F.trim("text")))
+    text = text.withColumn("found", scalars.columns(scalars.name_line, "text"))
+    owner = F.col("found").rlike(f"(?i){scalars.PROPRIETOR}")
+    text = text.withColumns({"name": F.when(~owner, F.col("found")), "owner": F.when(owner, F.col("found"))})
     band = F.array_join(F.collect_list("text").over(w.rowsBetween(-4, 7)), " ")
     text = text.withColumns(
         {
             "year": F.coalesce("period", *[F.lead("period", k).over(w) for k in (1, 2, 3)]),
-            "entity": F.coalesce(*[F.lag("name", k).over(w) for k in (1, 2, 3)]),
+            "entity": F.coalesce(*[F.lag(c, k).over(w) for c in ("name", "owner") for k in (1, 2, 3)]),
             "band": band,
             "block": F.sum(F.col("title").cast("int")).over(w),
         }
