@@ -50,6 +50,15 @@ def discard(df: DataFrame) -> None:
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+#: Rows of a table of two numbers up to which it is handed to all tasks whole (32 MB).
+HANDED = 2_000_000
+
+
+def handed(table: DataFrame, rows: int) -> DataFrame:
+    """``table``, whose rows are at most ``rows``, marked for broadcast where these are few."""
+    return F.broadcast(table) if rows <= HANDED else table
+
+
 def join_frequent(rows: DataFrame, table: DataFrame, on: list[str], often: int) -> DataFrame:
     """``rows`` joined with ``table`` (on..., n, more), which says that n rows have an entry's key.
 
