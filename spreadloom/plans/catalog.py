@@ -394,12 +394,15 @@ def owner_loans(d: Spark):
 
 
 def parsed_lines(d: Spark):
-    """Every line of every document through the readers of lines, headings, periods and units."""
+    """Every line of every document through the readers of lines, headings, periods and units.
+
+    Accented letters are made plain first: the engines differ in whether one is part of a word.
+    """
     parts = {
         "label": scalars.line_label(d, "line"), "amount": scalars.line_amount(d, "line"), "row": scalars.row_kind(d, "line"), "title": scalars.is_title(d, "line"), "address": scalars.is_address(d, "line"),
         "year": scalars.period_year(d, "line"), "scale": scalars.unit_scale(d, "line"), "number": scalars.to_int(d, "line"), "repaired": scalars.repaired(d, "line"), "section": rules.first_of(d, "line", rules.SECTIONS),
     }
-    return [("text_lines", f"SELECT doc_id, {d.each(d.lines('text'))} AS line FROM documents"), ("result", f"SELECT doc_id, {', '.join(f'{e} AS {n}' for n, e in parts.items())} FROM text_lines WHERE line <> ''")]
+    return [("raw_lines", f"SELECT doc_id, {d.each(d.lines('text'))} AS raw FROM documents"), ("text_lines", f"SELECT doc_id, {d.replace('raw', r'[^\x00-\x7F]', 'e', True)} AS line FROM raw_lines"), ("result", f"SELECT doc_id, {', '.join(f'{e} AS {n}' for n, e in parts.items())} FROM text_lines WHERE line <> ''")]
 
 
 PLANS |= {
