@@ -302,7 +302,9 @@ fy AS (SELECT doc, arg_min(year, (-n, year)) AS fy FROM (SELECT doc, year, count
 own AS (SELECT page.*, fy FROM page JOIN fy USING (doc)),
 rival AS (SELECT m.block, bool_or(2 * len(list_intersect(m.amounts, a.amounts)) > len(m.amounts)) AS reprint FROM own m JOIN own a ON m.case_id = a.case_id AND m.year = a.year AND a.year = a.fy WHERE m.year <> m.fy GROUP BY m.block),
 stays AS (SELECT own.block, own.case_id, if(reprint IS NOT NULL AND NOT reprint, fy, year) AS y FROM own LEFT JOIN rival ON own.block = rival.block),
-whole AS (SELECT stays.case_id, y, item.* EXCLUDE (case_id, year) FROM stays JOIN item ON stays.block = item.block)
+each_line AS (SELECT stays.case_id, y, item.* EXCLUDE (case_id, year), count(*) OVER (PARTITION BY stays.block) AS n FROM stays JOIN item ON stays.block = item.block),
+restated AS (SELECT e.block FROM each_line e LEFT JOIN (SELECT case_id, y, amount, max(n) AS most FROM each_line GROUP BY ALL) o ON e.case_id = o.case_id AND e.y = o.y AND e.amount = o.amount GROUP BY e.block HAVING 2 * count(*) FILTER (o.most > e.n) > count(*)),
+whole AS (SELECT * FROM each_line WHERE block NOT IN (SELECT block FROM restated))
 """
 SQL["case_spread"] = CASES + f"""SELECT case_id, y AS year, {", ".join(f"sum(if(l = '{k}', amount, 0))::BIGINT AS {k}" for k in LEFT_ROWS)}, {", ".join(f"sum(if(r = '{k}', amount, 0))::BIGINT AS {k}" for k in RIGHT_ROWS)},
   sum(amount)::BIGINT AS total_liabilities, sum(amount)::BIGINT AS total_assets FROM whole GROUP BY case_id, y"""
