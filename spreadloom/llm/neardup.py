@@ -21,10 +21,8 @@ How a group (bucket or cluster) of any size meets (``meetings``): a small one is
 to strips of about ``BLOCK`` rows, or ``SHINGLES`` shingles, by hash, and ``LEADERS`` of its rows go to every strip. What is
 alike is connected within strips and through the leaders, so most groups are one component by then. Rows of a group
 that are outside its largest component meet all rows of it in a second pass, in blocks, so every pair that could still
-connect something is compared. A bucket with more than ``2 * BLOCK`` such rows is taken apart by a second band instead:
-texts alike share some ten bands, others that met by one common passage do not meet again. Exchanged rows are those of
-the group, a few per cent for the leaders, and 2 * n * k / ``BLOCK`` for k rows outside the largest component, or 29 for
-each row of a bucket that is taken apart; no row count is capped.
+connect something is compared, in a group of any size. Exchanged rows are those of the group, a few per cent for the
+leaders, and some 4 * n * k / ``BLOCK`` for k rows outside the largest component; no row count is capped.
 
 Defined cases: a null or empty text has no shingles, is its own component and is kept; a row with a null doc_id has its
 shingles counted, a null component and is kept; rows of one doc_id, with equal or different texts, are in one component;
@@ -227,12 +225,8 @@ def crossings(rows: DataFrame) -> DataFrame:
     return outer.unionByName(inner)
 
 
-def meetings(groups: DataFrame, compare: Callable[[DataFrame], DataFrame], known: DataFrame | None = None, shingles: int | None = None, split: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """(node, component) of what ``compare`` finds alike in units of ``groups``, a table of ``sized``, and of ``known`` links.
-
-    Large groups with more than ``2 * BLOCK`` rows outside their largest component are taken apart by ``split``, if given,
-    which makes new groups of their rows; all others cross.
-    """
+def meetings(groups: DataFrame, compare: Callable[[DataFrame], DataFrame], known: DataFrame | None = None, shingles: int | None = None) -> DataFrame:
+    """(node, component) of what ``compare`` finds alike in units of ``groups``, a table of ``sized``, and of ``known`` links."""
     links = compare(strips(groups, shingles))
     links = materialise(links if known is None else links.unionByName(known), "found")
     found = components(links)
@@ -242,11 +236,7 @@ def meetings(groups: DataFrame, compare: Callable[[DataFrame], DataFrame], known
     left = rest(groups, found)
     if left.isEmpty():
         return found
-    many = left.where(F.col("k") > 2 * BLOCK)
-    if split is None or many.isEmpty():
-        return components(links.unionByName(compare(crossings(left))))
-    links = materialise(links.unionByName(compare(crossings(left.where(F.col("k") <= 2 * BLOCK)))), "found")
-    return meetings(sized(split(many), shingles), compare, links, shingles)
+    return components(links.unionByName(compare(crossings(left))))
 
 
 def star(ids: np.ndarray, links: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -257,15 +247,8 @@ def star(ids: np.ndarray, links: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def candidates(reps: DataFrame) -> DataFrame:
     """(node, component) of representatives (id, n, bands, sig) connected by a band that they share and by looking alike."""
-
-    def again(rows: DataFrame) -> DataFrame:
-        """A bucket's rows meet anew where they share a second band."""
-        both = rows.select("id", "n", F.col("grp").alias("band")).join(reps.select("id", "bands"), "id")
-        both = both.select("id", "n", "band", F.explode("bands").alias("second")).where("second <> band")
-        return both.select(F.xxhash64("band", "second").alias("grp"), "id", "n")
-
     banded = sized(reps.select(F.explode("bands").alias("grp"), "id", "n"))
-    return meetings(banded, lambda units: resembling(units, reps), split=again)
+    return meetings(banded, lambda units: resembling(units, reps))
 
 
 def resembling(units: DataFrame, reps: DataFrame) -> DataFrame:
