@@ -4,6 +4,7 @@ import numpy as np
 
 from spreadloom.functions import scalars
 from spreadloom.llm import common, neardup
+from spreadloom.operators import grouped
 
 
 def test_figures_beyond_a_bigint_are_no_error(spark):
@@ -21,3 +22,10 @@ def test_a_link_of_one_band_does_not_depend_on_the_size_of_its_bucket(spark, mon
     reps = [(k, 100, [7, *range(10_000 + k * 100, 10_000 + k * 100 + neardup.BANDS - 1)], signs[k % pairs]) for k in range(2 * pairs)]
     found = neardup.candidates(common.materialise(spark.createDataFrame(reps, "id long, n long, bands array<long>, sig binary"), "reps"))
     assert {(r["node"], r["component"]) for r in found.collect()} == {(k, k % pairs) for k in range(2 * pairs)}
+
+
+def test_figures_across_the_edge_are_no_other_column():
+    """Two rows whose figures share a cell five to three end 27 behind the edge, at the same place."""
+    lines = [("Stock", "1,041 937", 1041), ("Cash", "1,050 945", 1050), ("Plant", "24,350 21,915", 24350), ("Land", "69,731 62,758", 69731)]
+    rows = [[(10.0, 200.0, name), (480.0, 640.0, both)] for name, both, _ in lines] + [[(10.0, 60.0, "Total"), (480.0, 560.0, "96,172")]]
+    assert grouped.vertical(rows, 560.0, 640.0) == [("", [(name, float(v)) for name, _, v in lines], 96172.0)]
