@@ -29,3 +29,23 @@ def test_figures_across_the_edge_are_no_other_column():
     lines = [("Stock", "1,041 937", 1041), ("Cash", "1,050 945", 1050), ("Plant", "24,350 21,915", 24350), ("Land", "69,731 62,758", 69731)]
     rows = [[(10.0, 200.0, name), (480.0, 640.0, both)] for name, both, _ in lines] + [[(10.0, 60.0, "Total"), (480.0, 560.0, "96,172")]]
     assert grouped.vertical(rows, 560.0, 640.0) == [("", [(name, float(v)) for name, _, v in lines], 96172.0)]
+
+
+def test_cells_that_come_dealt_by_page_are_sorted_in_tasks_of_their_own(spark, monkeypatch):
+    """However few tasks number the lines of a page, its cells are dealt anew, to as many as their size asks for."""
+    monkeypatch.setattr(grouped, "SHARE", 1 << 20)
+    path = common.materialise(spark.range(400_000).selectExpr("id DIV 4 AS page", "id % 4 AS place", "CAST(xxhash64(id) AS STRING) AS text"), "lines").shared_path
+    lines = spark.read.parquet(path).selectExpr("page", "row_number() OVER (PARTITION BY page ORDER BY place, text) AS row_no", "text")
+    cells = lines.selectExpr("page", "row_no", "CAST(10 AS DOUBLE) AS x0", "CAST(200 AS DOUBLE) AS x1", "text")
+    for _ in range(4):
+        cells = cells.unionByName(lines.selectExpr("page", "row_no", "CAST(350 AS DOUBLE) AS x0", "CAST(430 AS DOUBLE) AS x1", "text"))
+    made = grouped.per_group(cells, ["page"], ["row_no", "x0"], ["x1", "text"], lambda key, rows: [(*key, len(rows))], "page long, n long")
+    assert made.rdd.getNumPartitions() > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert made.groupBy("n").count().collect() == [(20, 100_000)]
+
+
+def test_the_search_for_a_divider_ends_with_the_first_that_misses_nothing(monkeypatch):
+    tried = []
+    monkeypatch.setattr(grouped, "divided", lambda *args, f=grouped.divided: tried.append(args[1]) or f(*args))
+    rows = [[(10, 200, "Capital"), (350, 430, "1,000"), (520, 700, "Stock"), (850, 930, "1,000")], [(10, 200, "Creditors"), (350, 430, "2,000"), (520, 700, "Cash"), (850, 930, "2,000")], [(350, 430, "3,000"), (850, 930, "3,000")]]
+    assert grouped.account(rows)[2] == "verified" and len(tried) == 1 < len(grouped.dividers(rows))
