@@ -5,6 +5,7 @@ import numpy as np
 from spreadloom.functions import scalars
 from spreadloom.llm import common, neardup
 from spreadloom.operators import grouped
+from spreadloom.plans import pipeline
 
 
 def test_figures_beyond_a_bigint_are_no_error(spark):
@@ -49,3 +50,11 @@ def test_the_search_for_a_divider_ends_with_the_first_that_misses_nothing(monkey
     monkeypatch.setattr(grouped, "divided", lambda *args, f=grouped.divided: tried.append(args[1]) or f(*args))
     rows = [[(10, 200, "Capital"), (350, 430, "1,000"), (520, 700, "Stock"), (850, 930, "1,000")], [(10, 200, "Creditors"), (350, 430, "2,000"), (520, 700, "Cash"), (850, 930, "2,000")], [(350, 430, "3,000"), (850, 930, "3,000")]]
     assert grouped.account(rows)[2] == "verified" and len(tried) == 1 < len(grouped.dividers(rows))
+
+
+def test_a_verified_account_is_not_read_by_periods(monkeypatch):
+    """Two sides with labels beside their figures that prove themselves; their columns need no reading."""
+    monkeypatch.setattr(grouped, "periods", None)
+    texts = [("Capital", "1,000", "Stock", "1,000"), ("Creditors", "2,000", "Cash", "2,000"), (None, "3,000", None, "3,000")]
+    group = [(k, float(a), float(b), t, 2024) for k, row in enumerate(texts) for (a, b), t in zip(((10, 200), (350, 430), (520, 700), (850, 930)), row, strict=True) if t]
+    assert [r[3:7] for r in pipeline._read((1, 1), group)] == [("left", 0, "Capital", 1000.0), ("left", 1, "Creditors", 2000.0), ("right", 2, "Stock", 1000.0), ("right", 3, "Cash", 2000.0)]
