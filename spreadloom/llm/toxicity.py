@@ -6,9 +6,10 @@ gradients and of squared gradients for each coordinate, so rare features learn a
 most weights at exactly zero: the model is the short list of the others, at most ``2 ** BITS`` of them (a proven bound
 for handing them to all tasks).
 
-Training reads a bounded sample of the labelled rows, the ``SAMPLE`` with the smallest hash of their id (a quarter of
-them toxic where there are as many), whatever the size of the table, in one task over ``EPOCHS`` passes. Of an id that
-comes with several texts the one with the smallest hash is learned from, so at most ``SAMPLE`` texts reach that task. Rows whose crc32(doc_id as text) mod 3 is 1 are never learned
+Training reads every labelled row. Their ids are dealt by hash to shares of about ``SAMPLE``; each share is learned in
+``EPOCHS`` passes of one task, and the model is the mean of the shares' models, whose scores are as good as linear in the
+weights. Of an id that comes with several texts the one with the smallest hash is learned from, so a task holds one share
+whatever the size of the table. Rows whose crc32(doc_id as text) mod 3 is 1 are never learned
 from. Scoring sees the text alone and needs no exchange.
 
 Defined cases: a null or empty text has the bias alone; a row without label is scored like any other; labels are joined
@@ -21,13 +22,15 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spreadloom.llm.common import documents
+from spreadloom.llm.common import documents, materialise
 from spreadloom.llm.tokens import LONGEST, small_batches
 
 BITS = 20
@@ -123,27 +126,30 @@ def remainder(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict[int, float]:
-    """Weights learned from a bounded sample of the labelled rows of ``docs``."""
+    """Weights learned from all labelled rows of ``docs``, in shares of about ``sample`` ids; the mean of the shares' weights."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    usable = known.where(remainder(F.col("doc_id")) != 1)
-    # ids of the sample first, so that texts are read for them alone; a quarter of it is toxic where there are as many
-    order = F.xxhash64("doc_id", F.lit(4))
-    drawn = [usable.where(F.col("toxic") == c).orderBy(order, "doc_id").limit(n) for c, n in ((1, sample // 4), (0, sample - sample // 4))]
-    chosen = drawn[0].unionByName(drawn[1])
+    usable = known.where((remainder(F.col("doc_id")) != 1) & F.col("toxic").isin(0, 1))
+    texts = docs.select("doc_id", "text").join(usable, "doc_id")
+    texts = texts.groupBy("doc_id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    texts = materialise(texts, "labelled")
+    shares = max(1, -(-texts.count() // sample))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, rows = Hashes(), []
-        for batch in batches:
-            for text, label in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                rows.append((features(text, words), label))
-        weights = calibrated(rows) if rows else {}
-        yield pa.RecordBatch.from_arrays([pa.array(list(weights), pa.int32()), pa.array(list(weights.values()), pa.float64())], ["place", "weight"])
-
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    texts = texts.groupBy("doc_id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
-    ordered = texts.withColumn("_order", F.xxhash64("doc_id", F.lit(5))).repartition(1).sortWithinPartitions("_order", "doc_id", "text")
-    found = ordered.select("text", "toxic").mapInArrow(learn, "place int, weight double").collect()
-    return {r["place"]: r["weight"] for r in found}
+        words = Hashes()
+        read = (row for batch in batches for row in zip(batch.column("share").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("toxic").to_pylist(), strict=True))
+        for share, rows in groupby(read, key=itemgetter(0)):
+            weights = calibrated([(features(text, words), label) for _, text, label in rows])
+            yield pa.RecordBatch.from_arrays([pa.array([share] * len(weights), pa.int64()), pa.array(list(weights), pa.int32()), pa.array(list(weights.values()), pa.float64())], ["share", "place", "weight"])
+
+    dealt = texts.select(F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(shares)).alias("share"), F.xxhash64("doc_id", F.lit(5)).alias("_order"), "doc_id", "text", "toxic")
+    # by range, since a hash of so few numbers puts several in one task
+    ordered = dealt.repartitionByRange(shares, "share").sortWithinPartitions("share", "_order", "doc_id", "text")
+    made = materialise(ordered.select("share", "text", "toxic").mapInArrow(learn, "share long, place int, weight double"), "weights")
+    # summed in the order of the shares, so that equal rows give equal weights
+    own = F.transform(F.sort_array(F.collect_list(F.struct("share", "weight"))), lambda e: e["weight"])
+    learned = max(1, made.select("share").distinct().count())
+    found = made.groupBy("place").agg(F.aggregate(own, F.lit(0.0), lambda a, x: a + x).alias("weight")).collect()
+    return {r["place"]: r["weight"] / learned for r in found}
 
 
 def score(docs: DataFrame, weights: dict[int, float], keep: tuple[str, ...] = ("doc_id",), threshold: float = THRESHOLD) -> DataFrame:
