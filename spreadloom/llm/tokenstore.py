@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from spreadloom.llm import simple8b
 from spreadloom.llm.common import documents, file_system, rename, shared_folder
 from spreadloom.llm.sharding import looked_up, ranges
-from spreadloom.llm.tokens import ChunkTable, small_batches
+from spreadloom.llm.tokens import TextIds, small_batches
 
 MAGIC = b"S8BTOK01"
 BLOCK = 1 << 16
@@ -147,13 +147,13 @@ def write(df: DataFrame, path: str, end_id: int, key: str = "doc_id", text: str
     dealt, _ = ranges(df.select(F.col(key).alias("key"), F.col(text).alias("text")), "key", F.coalesce("text", F.lit("")), F.coalesce(F.octet_length("text"), F.lit(0)) + 1)
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks, files = ChunkTable(path), None
-        end = np.array([end_id], chunks.kind).tobytes()
+        encode, files = TextIds(path), None
         for batch in small_batches(batches, "text"):
             if batch.num_rows and files is None:
                 files = Files(folder, batch.column("part")[0].as_py(), file_ids, file_documents)
-            for k, x in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                files.add(k, np.frombuffer(chunks.ids(x) + end, chunks.kind))
+            ids, offsets = encode(batch.column("text"), end_id)
+            for k, lo, hi in zip(batch.column("key").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                files.add(k, ids[lo:hi])
         if files:
             files.close()
             yield pa.RecordBatch.from_pylist(files.rows, FIELDS)
