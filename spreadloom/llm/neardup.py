@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spreadloom.llm.common import HOT, documents, handed, join_frequent, materialise
+from spreadloom.llm.common import HOT, documents, handed, join_frequent, materialise, released
 from spreadloom.llm.components import components
 from spreadloom.llm.tokens import LONGEST, small_batches
 
@@ -113,6 +113,7 @@ def numbered(docs: DataFrame) -> DataFrame:
 def sketch(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(row, doc_id, n, k1, k2, bands, sig) of every row."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, factors = Hashes(), multipliers()
         for batch in small_batches(batches, "body"):
@@ -255,6 +256,7 @@ def resembling(units: DataFrame, reps: DataFrame) -> DataFrame:
     """Links (a, b) of representatives of a unit whose estimates reach ``ESTIMATE``."""
     signed = units.join(reps.select("id", "sig"), "id")
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
@@ -327,6 +329,7 @@ def confirm(docs: DataFrame, members: DataFrame, known: DataFrame, shingle: int
     # up to a bound the ids are handed to all tasks instead of exchanged with the texts
     texts = numbered(docs).select(F.col("row").alias("id"), "body").join(handed(wanted, wanted.count()), "id", "left_semi")
 
+    @released
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Hashes()
         for batch in small_batches(batches, "body"):
@@ -336,6 +339,7 @@ def confirm(docs: DataFrame, members: DataFrame, known: DataFrame, shingle: int
 
     sets = texts.mapInArrow(build, "id long, m long, hashes binary").where("m > 0")
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0

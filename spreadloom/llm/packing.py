@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spreadloom.llm.common import documents
+from spreadloom.llm.common import documents, released
 from spreadloom.llm.tokens import ChunkTable, id_type, lists, small_batches
 
 CAPACITY = 4096
@@ -38,6 +38,7 @@ DIGESTS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 def pieces(df: DataFrame, path: str, end_id: int, capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, start, doc_tokens, ids) of every piece of every document; ids as ``tokens.id_type`` has them."""
 
+    @released
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks = ChunkTable(path)
         end, width = np.array([end_id], chunks.kind).tobytes(), np.dtype(chunks.kind).itemsize
@@ -101,6 +102,7 @@ def pack(parts: DataFrame, groups: int, width: int, capacity: int = CAPACITY, se
         pieces = pieces.select(["doc_id", "start", "doc_tokens", "ids", "length", "sequence_id", "offset"])
         return then(pieces) if then else pieces
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
         for batch in batches:

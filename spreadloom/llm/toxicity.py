@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spreadloom.llm.common import documents, materialise
+from spreadloom.llm.common import documents, materialise, released
 from spreadloom.llm.tokens import LONGEST, small_batches
 
 BITS = 20
@@ -134,6 +134,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict[int,
     texts = materialise(texts, "labelled")
     shares = max(1, -(-texts.count() // sample))
 
+    @released
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Hashes()
         read = (row for batch in batches for row in zip(batch.column("share").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("toxic").to_pylist(), strict=True))
@@ -157,6 +158,7 @@ def score(docs: DataFrame, weights: dict[int, float], keep: tuple[str, ...] = ("
     places, values = np.array(sorted(k for k in weights if k >= 0), np.int64), np.array([weights[k] for k in sorted(weights) if k >= 0], np.float32)
     bias = weights.get(-1)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dense, words = np.zeros(1 << BITS, np.float32), Hashes()
         dense[places] = values
