@@ -51,6 +51,16 @@ def test_cells_that_come_dealt_by_page_are_sorted_in_tasks_of_their_own(spark, m
     assert made.groupBy("n").count().collect() == [(20, 100_000)]
 
 
+def test_tasks_over_joined_rows_follow_the_tables_and_not_their_product(spark):
+    """Two tables of some 100 KB are no work for hundreds of tasks, though Spark takes their join for their product."""
+    left, right = (spark.read.parquet(common.materialise(spark.range(20_000).selectExpr("id AS page", f"CAST(xxhash64(id, {k}) AS STRING) AS {name}"), name).shared_path) for k, name in enumerate(("text", "other")))
+    joined = left.join(right, "page").selectExpr("page", "CAST(0 AS INT) AS row_no", "concat(text, other) AS text")
+    assert int(str(joined._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > 1000 * grouped.SHARE
+    made = grouped.per_group(joined, ["page"], ["row_no"], ["text"], lambda key, rows: [(*key, len(rows))], "page long, n long")
+    assert made.rdd.getNumPartitions() <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert made.count() == 20_000
+
+
 def test_the_search_for_a_divider_ends_with_the_first_that_misses_nothing(monkeypatch):
     tried = []
     monkeypatch.setattr(grouped, "divided", lambda *args, f=grouped.divided: tried.append(args[1]) or f(*args))
