@@ -61,6 +61,29 @@ def test_tasks_over_joined_rows_follow_the_tables_and_not_their_product(spark):
     assert made.count() == 20_000
 
 
+def test_a_long_text_of_a_wide_table_counts_with_all_its_bytes(spark, monkeypatch):
+    """Spark takes a text for 20 bytes, so it thinks little of the one column of a table that has all of its bytes."""
+    numbers = [f"CAST({k} AS DOUBLE) AS n{k}" for k in range(20)]
+    wide = spark.range(4_000).selectExpr("id AS page", "CAST(0 AS INT) AS row_no", "array_join(transform(sequence(1, 40), k -> CAST(xxhash64(id, k) AS STRING)), '') AS text", *numbers)
+    read = spark.read.parquet(common.materialise(wide, "wide").shared_path)
+    narrow = read.select("page", "row_no", "text")
+    plain, size = int(spark.conf.get("spark.sql.shuffle.partitions")), int(str(read._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    monkeypatch.setattr(grouped, "SHARE", size // (2 * plain))
+    assert int(str(narrow._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < plain * grouped.SHARE
+    made = grouped.per_group(narrow, ["page"], ["row_no"], ["text"], lambda key, rows: [(*key, len(rows))], "page long, n long")
+    assert made.rdd.getNumPartitions() >= 2 * plain and made.count() == 4_000
+
+
+def test_cells_without_two_figures_are_not_searched_for_them(monkeypatch):
+    """A label or a lone figure is neither split nor held against the patterns of several figures."""
+    monkeypatch.setattr(grouped, "_RUN", None)
+    monkeypatch.setattr(grouped, "_WELDED", None)
+    cells = [(10.0, 200.0, "Item 21 of 3 units"), (350.0, 430.0, " 73,057 "), (500.0, 500.0, "")]
+    assert grouped.unwelded(grouped.spread_runs(cells)) == [(10.0, 200.0, "Item 21 of 3 units"), (350.0, 430.0, "73,057"), (500.0, 500.0, "")]
+    monkeypatch.undo()
+    assert [t for *_, t in grouped.unwelded(grouped.spread_runs([(0.0, 90.0, "1,000 (2,000)"), (90.0, 180.0, "3,000 Stock")]))] == ["1,000", "(2,000)", "3,000", "Stock"]
+
+
 def test_the_search_for_a_divider_ends_with_the_first_that_misses_nothing(monkeypatch):
     tried = []
     monkeypatch.setattr(grouped, "divided", lambda *args, f=grouped.divided: tried.append(args[1]) or f(*args))
